@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codec import encode_decode_digests
 from .language import language_of_documents
+from .packing import pack_documents
 from .quality import quality_verdicts
 from .sharding import balanced_shards
+from .token_files import read_token_files, write_token_files
+from .workspace import Workspace
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,22 +25,36 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(_documents(spark, sf_dir))
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_documents(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{Workspace(spark, 'token_files').root}/ids"
+    write_token_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), out)
+    return read_token_files(spark, out)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP8_SQL = """
-WITH steps AS (SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-        (c, x) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 raw AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
 bytes AS (SELECT doc_id, strlen(s) + 8 AS size,
-        list_transform(regexp_extract_all(hex(s), '..'), p -> CAST('0x' || p AS BIGINT)) AS b FROM raw),
-crcs AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), (c, x) -> xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32
+        list_transform(regexp_extract_all(hex(s), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS b FROM raw),
+crcs AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32
         FROM bytes, steps),
 sums AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte,
         CAST(sum(size) OVER () AS BIGINT) AS total FROM crcs),
@@ -47,8 +66,11 @@ FROM cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op8_sharding": op8_sharding,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_sharding": OP8_SQL}
