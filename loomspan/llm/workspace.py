@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,11 @@ class Workspace:
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each has about ``rows_each`` rows, and never fewer than the session's default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+
+
+def small_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows have at most ``most`` bytes, and as it is (to be shuffled) if not."""
+    wide = [c for c, kind in df.dtypes if kind in ("binary", "string")]
+    fixed = 8 * len(df.columns)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(fixed).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
