@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .class_lm import class_lm_scores_of_documents
 from .codec import encode_decode_digests
 from .embedding_dedup import near_vectors
 from .language import language_of_documents
@@ -45,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores_of_documents(_documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
+    "op7_class_lm": op7_class_lm,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
