@@ -16,6 +16,7 @@ from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .sharding import balanced_shards
+from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .workspace import Workspace
 
@@ -28,6 +29,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(_documents(spark, sf_dir))
 
@@ -107,6 +112,7 @@ FROM cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_language_id": op3_language_id,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
