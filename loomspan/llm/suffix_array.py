@@ -5,6 +5,10 @@ length is a multiple of three and its last value occurs nowhere else, so no comp
 leaves a block.  Triples at the places 1 and 2 mod 3 are sorted and named; if names repeat, the string
 of names, two thirds as long, is ranked in the same way; then the remaining suffixes are merged in by
 two sorts on (value, rank behind) and (value, value, rank behind).
+
+Who only compares prefixes up to a length gives each value a size and says the length.  A triple that
+long needs no further order, so its place decides between equal ones, and the recursion is as deep as
+the shortest values demand and not as the longest repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, partitions_for
 
 #: Strings of at most so many values are ranked by one task.
-BASE = 1_000_000
+BASE = 100_000
 
 
 def _table(batch) -> dict[str, np.ndarray]:
@@ -34,8 +38,8 @@ def _ordered(df: DataFrame, keys: list[str], rows: int):
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def _name(triples: DataFrame, rows: int, ws: Workspace, label: str) -> tuple[DataFrame, int]:
-    """(block, at, name): dense ranks from 0 of the triples, and how many different ones there are."""
+def _name(triples: DataFrame, rows: int, enough: int, ws: Workspace, label: str) -> tuple[DataFrame, int]:
+    """(block, at, name, size): ranks from 0 of the triples, and how many different ones there are."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, last, first = TaskContext.get().partitionId(), -1, None, None
@@ -44,28 +48,29 @@ def _name(triples: DataFrame, rows: int, ws: Workspace, label: str) -> tuple[Dat
             keys = np.stack([t["t0"], t["t1"], t["t2"]], axis=1)
             if not len(keys):
                 continue
-            new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
-            if last is not None and (keys[0] == last).all():
+            settled = t["size"] >= enough
+            new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1)) | settled
+            if last is not None and (keys[0] == last).all() and not settled[0]:
                 new[0] = False
             if first is None:
-                first = keys[0]
+                first = [*keys[0].tolist(), int(settled[0])]
             names = seen + np.cumsum(new)
             seen, last = int(names[-1]), keys[-1].copy()
             n = len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(t["block"]), pa.array(t["at"]), pa.array(names), pa.nulls(n, pa.list_(pa.int64()))], ["part", "block", "at", "name", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(t["block"]), pa.array(t["at"]), pa.array(names), pa.array(t["size"]), pa.nulls(n, pa.list_(pa.int64()))], ["part", "block", "at", "name", "size", "edge"])
         if last is not None:
-            edge = pa.array([[*first.tolist(), *last.tolist()]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([seen + 1]), edge], ["part", "block", "at", "name", "edge"])
+            edge = pa.array([[*first, *last.tolist()]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([seen + 1]), pa.nulls(1, pa.int32()), edge], ["part", "block", "at", "name", "size", "edge"])
 
-    named = ws.save(_ordered(triples, ["t0", "t1", "t2"], rows).mapInArrow(local, "part int, block long, at long, name long, edge array<long>"), label)
+    named = ws.save(_ordered(triples, ["t0", "t1", "t2"], rows).mapInArrow(local, "part int, block long, at long, name long, size int, edge array<long>"), label)
     before, total, last = [], 0, None
     for r in named.where("edge is not null").orderBy("part").select("part", "name", "edge").collect():  # one row a partition
-        total -= last == r.edge[:3]
+        total -= last == r.edge[:3] and not r.edge[3]
         before.append((r.part, total))
-        total, last = total + r.name, r.edge[3:]
+        total, last = total + r.name, r.edge[4:]
     spark = triples.sparkSession
     offsets = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    return named.where("edge is null").join(offsets, "part").select("block", "at", (F.col("name") + F.col("before")).alias("name")), total
+    return named.where("edge is null").join(offsets, "part").select("block", "at", (F.col("name") + F.col("before")).alias("name"), "size"), total
 
 
 def _merge_counts(rows: DataFrame, keys: list[str], n: int, ws: Workspace, label: str) -> DataFrame:
@@ -109,41 +114,45 @@ def _whole(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows["block"], "ranks": pa.array([r.astype(np.int64).tobytes() for r in ranks], pa.binary())})
 
 
-def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int = BASE) -> DataFrame:
+def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int = BASE, enough: int = 1 << 30) -> DataFrame:
     """(block, ranks): for each place of each block the rank, from 0, of its suffix among all.
 
-    ``blocks`` has block (long) and names (64-bit integers, any order).  No blocks give no rows.
+    ``blocks`` has block (long), names (64-bit integers, any order) and sizes (32-bit).  Suffixes whose
+    first values agree up to a total size of ``enough`` are neighbours in any order.  No blocks give no rows.
     """
     total = blocks.agg(F.sum(F.octet_length("names") / 8).cast("long")).first()[0] or 0
     if total <= base:
-        return blocks.groupBy(F.lit(0).alias("all")).applyInArrow(_whole, "block long, ranks binary")
+        return blocks.select("block", "names").groupBy(F.lit(0).alias("all")).applyInArrow(_whole, "block long, ranks binary")
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch["block"].to_pylist(), batch["names"].to_pylist(), strict=True):
+            for block, raw, sizes in zip(*(batch[c].to_pylist() for c in ("block", "names", "sizes")), strict=True):
                 t = np.append(np.frombuffer(raw, np.int64), [0, 0])
+                size = np.append(np.frombuffer(sizes, np.int32), [0, 0]).astype(np.int64)
+                size = np.minimum(size[:-2] + size[1:-1] + size[2:], enough).astype(np.int32)
                 at = np.arange(len(t) - 2)
                 at = at[at % 3 != 0]
-                yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(t[at + 1]), pa.array(t[at + 2]), pa.array(np.full(len(at), block)), pa.array(at)], ["t0", "t1", "t2", "block", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(t[at + 1]), pa.array(t[at + 2]), pa.array(np.full(len(at), block)), pa.array(at), pa.array(size[at])], ["t0", "t1", "t2", "block", "at", "size"])
 
     sampled = total // 3 * 2
-    named, distinct = _name(blocks.select("block", "names").mapInArrow(triples, "t0 long, t1 long, t2 long, block long, at long"), sampled, ws, f"{label}_names")
+    named, distinct = _name(blocks.select("block", "names", "sizes").mapInArrow(triples, "t0 long, t1 long, t2 long, block long, at long, size int"), sampled, enough, ws, f"{label}_names")
 
     def shorter(rows: pa.Table) -> pa.Table:
-        at, name = rows["at"].to_numpy(), rows["name"].to_numpy()
-        r = np.concatenate([name[at % 3 == k][np.argsort(at[at % 3 == k])] for k in (1, 2)])
+        at, name, size = (rows[c].to_numpy() for c in ("at", "name", "size"))
+        order = np.concatenate([np.flatnonzero(at % 3 == k)[np.argsort(at[at % 3 == k])] for k in (1, 2)])
+        r, size = name[order], size[order]
         block = rows["block"][0].as_py()
         if distinct < sampled:
             pad = np.arange((-len(r)) % 3) + distinct + 3 * block  # larger than all names, and each used once
-            r = np.append(r, pad)
-        return pa.table({"block": pa.array([block]), "names": pa.array([r.astype(np.int64).tobytes()], pa.binary())})
+            r, size = np.append(r, pad), np.append(size, np.full(len(pad), enough, np.int32))
+        return pa.table({"block": pa.array([block]), "names": pa.array([r.astype(np.int64).tobytes()], pa.binary()), "sizes": pa.array([size.astype(np.int32).tobytes()], pa.binary())})
 
-    shorter_string = ws.save(named.groupBy("block").applyInArrow(shorter, "block long, names binary"), f"{label}_string")
+    shorter_string = ws.save(named.groupBy("block").applyInArrow(shorter, "block long, names binary, sizes binary"), f"{label}_string")
     ws.drop(f"{label}_names")
     if distinct == sampled:
         samples = shorter_string.select("block", F.col("names").alias("ranks"))
     else:
-        samples = ws.save(suffix_ranks(shorter_string, ws, f"{label}c", base), f"{label}_samples")
+        samples = ws.save(suffix_ranks(shorter_string, ws, f"{label}c", base, enough), f"{label}_samples")
     whole = ws.save(blocks.join(samples, "block").select("block", "names", "ranks"), f"{label}_whole")
 
     def sides(which: int):

@@ -124,7 +124,9 @@ def _block(rows: pa.Table) -> pa.Table:
     sign = np.zeros(len(uid), np.uint64)
     sign[ok] = textkit.spans(sums, np.flatnonzero(ok), reach[ok] + 1) | np.uint64(1)
     pad = lambda x: (lambda full: (full.__setitem__(at, x), full)[1])(np.zeros(n, x.dtype))
-    cols = {"names": names, "uids": pad(uid), "offs": pad(off), "signs": pad(sign)}
+    sizes = np.full(n, RUN, np.int32)
+    sizes[at] = size
+    cols = {"names": names, "sizes": sizes, "uids": pad(uid), "offs": pad(off), "signs": pad(sign)}
     return pa.table({"block": pa.array([block])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in cols.items()})
 
 
@@ -267,11 +269,11 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     kept = ws.save(kept, "kept")
     places = kept.count()
     blocks = partitions_for(docs.sparkSession, places, 500_000)
-    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(_block, "block long, names binary, uids binary, offs binary, signs binary")
+    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(_block, "block long, names binary, sizes binary, uids binary, offs binary, signs binary")
     string = ws.save(string, "string")
     ws.drop("kept")
-    ranks = suffix_ranks(string.select("block", "names"), ws, base=base)
-    spots = _candidates(string, ranks, places).distinct().groupBy("uid").agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    ranks = suffix_ranks(string.select("block", "names", "sizes"), ws, base=base, enough=RUN)
+    spots = _candidates(string, ranks, places).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.col("off").cast("int"))).alias("offs"))
     spots = ws.save(spots.select("uid", "offs"), "spots")
     ws.drop("string")
     contexts = ws.save(_contexts(held.join(_small_lists(spots), "uid"), False), "contexts")
@@ -281,7 +283,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     full = groups.where(f"one != two and l + r >= {SPAN}").select("core", "ctx", F.col("l").alias("lo"), F.col("r").alias("hi"))
     many = groups.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
     spread = ws.save(groups.join(many, "core").select("core", "ctx", "k", F.col("one.h1").alias("h1"), F.col("one.h2").alias("h2"), F.col("one.off").alias("off")), "open")
-    wanted = spread.groupBy(F.col("h1").alias("uid")).agg(F.sort_array(F.collect_set("off")).alias("offs"))
+    wanted = spread.groupBy(F.col("h1").alias("uid")).agg(F.sort_array(F.collect_set(F.col("off").cast("int"))).alias("offs"))
     shown = _contexts(held.join(_small_lists(ws.save(wanted, "wanted")), "uid"), True)
     shown = ws.save(shown.join(spread.select("core", "ctx", "k").distinct(), ["core", "ctx"]).dropDuplicates(["core", "ctx"]), "shown")
     parts = partitions_for(docs.sparkSession, shown.count(), 20_000)
@@ -290,14 +292,27 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     extents = extents.unionByName(_extents_of_large(shown.where(F.col("k") > large)))
     partial = extents.select("core", "ctx", F.col("most").alias("lo"), (F.lit(SPAN) - F.col("least")).alias("hi"))
     verdicts = full.unionByName(partial).groupBy("core", "ctx").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    verdicts = small_side(ws.save(verdicts, "verdicts"))
     found = contexts.join(verdicts, ["core", "ctx"]).select("h1", "h2", F.struct((F.col("off") - F.col("lo")).alias("a"), (F.col("off") + F.col("hi")).alias("b")).alias("s"))
-    spans = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    spans = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("s")).alias("s")).mapInArrow(_joined, "h1 long, h2 long, spans binary")
     return copied, ws.save(spans, "spans")
 
 
-def _small_lists(lists: DataFrame, most: int = 16 << 20) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ranges of each content as pairs of 64-bit places, those that touch in one."""
+    for batch in batches:
+        out = []
+        for ranges in batch["s"].to_pylist():
+            a, b = np.array([(r["a"], r["b"]) for r in ranges], np.int64).T
+            b = np.maximum.accumulate(b)
+            new = np.append(True, a[1:] > b[:-1])
+            out.append(np.stack([a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]], axis=1).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.array(out, pa.binary())], ["h1", "h2", "spans"])
+
+
+def _small_lists(lists: DataFrame, most: int = 64 << 20) -> DataFrame:
     """``lists`` (uid, offs) for broadcast if all of them have at most ``most`` bytes."""
-    size = lists.agg(F.sum(16 + 8 * F.size("offs"))).first()[0] or 0
+    size = lists.agg(F.sum(24 + 4 * F.size("offs"))).first()[0] or 0
     return F.broadcast(lists) if size <= most else lists
 
 
@@ -318,8 +333,7 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), raw.alias("text"), F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2"))
     rows = rows.join(small_side(copied.select("h1", "h2", "copies")), ["h1", "h2"], "left")
-    size = spans.agg(F.sum(32 + 16 * F.size("spans"))).first()[0] or 0
-    rows = rows.join(F.broadcast(spans) if size <= 16 << 20 else spans, ["h1", "h2"], "left")
+    rows = rows.join(small_side(spans), ["h1", "h2"], "left")
     fields = [*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, inner, strict=True)), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept_text string"]
     names = [f.split()[0] for f in fields]
 
@@ -329,23 +343,14 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
             texts = batch["text"].cast(pa.binary()).to_pylist()
             for data, copies, spans in zip(texts, batch["copies"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 n = len(data)
-                if copies is not None and n >= SPAN:
-                    spans = [{"a": 0, "b": n}]
-                kept, at, removed, runs = [], 0, 0, 0
-                end = -1
-                for s in spans or []:
-                    a, b = s["a"], s["b"]
-                    if a > end:
-                        runs += 1
-                        kept.append(data[at:a])
-                        removed += b - a
-                        at = end = b
-                    elif b > end:
-                        removed += b - end
-                        at = end = b
+                ranges = [(0, n)] if copies is not None and n >= SPAN else np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist()
+                kept, at, removed = [], 0, 0
+                for a, b in ranges:
+                    kept.append(data[at:a])
+                    removed, at = removed + b - a, b
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((n, removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+                out.append((n, removed, len(ranges), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in inner), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
