@@ -1,10 +1,11 @@
 """Near duplicates by exact Jaccard similarity of word shingles: a grouped prefix join.
 
-Shingles are ordered by how often they occur (a fixed-size table of counts says so; rare ones first).
-Two sets of similarity t can only be linked if their prefixes, the first ``n - ceil(t n) + 1`` shingles
-in that order, share one.  Documents of equal prefix and size are one group; groups that share a prefix
-shingle are filtered as group pairs; members of the groups that remain are expanded and verified
-on their whole sets.
+Two sets of similarity t share at least ``ceil(t n)`` shingles, so whatever the order of shingles, the
+first ``n - ceil(t n) + l`` of either hold l of them.  In hash order, that leaves out sets of which too
+few such shingles occur anywhere else.  For the sets that remain, how many of them have a shingle is
+counted, and rare ones come first; now the first ``n - ceil(t n) + 1`` are a set's prefix.  Sets of equal
+prefix and size are one group; groups that share a prefix shingle are candidates; members of the groups
+are expanded and verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -19,11 +20,8 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import connected_components
-from .workspace import Workspace, partitions_for, small_side
+from .workspace import Workspace, small_side
 
-#: Cells of the table of counts; it orders shingles and so never changes a result.
-CELLS = 1 << 22
-_BLOCK = 1 << 18
 _FLUSH = 3_000_000
 
 
@@ -37,116 +35,180 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield docs.first + i, np.unique(textkit.grams(own, min(n, max(1, len(own)))))
 
 
-def _count_table(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """Occurrences of shingles by cell (saturating at 65,535), and of all shingles."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(CELLS, np.uint32), [], 0
 
-        def settle() -> None:
-            nonlocal waiting, held
-            if waiting:
-                total[:] += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
-            waiting, held = [], 0
+def _least_shared(n, percent: int):
+    """Shingles that any two linked sets of about this size surely share in their first ones by hash."""
+    return np.maximum(1, n // 10)
 
-        for batch in batches:
-            for _, s in shingle_sets(batch["text"], n):
-                waiting.append((s >> np.uint64(42)).astype(np.int64))
-                held += len(s)
-                if held > _FLUSH:
-                    settle()
-        settle()
-        for b in range(0, CELLS, _BLOCK):
-            some = np.flatnonzero(total[b : b + _BLOCK]).astype(np.uint32)
-            if len(some):
-                cells, counts = some.tobytes(), total[b : b + _BLOCK][some].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([cells], pa.binary()), pa.array([counts], pa.binary())], ["block", "cells", "counts"])
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK, np.int64)
-        for cells, counts in zip(parts["cells"].to_pylist(), parts["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint32)
-        counts = np.minimum(total, 65_535).astype(np.uint16)
-        return pa.table({"block": pa.array([parts["block"][0].as_py()]), "counts": pa.array([counts.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
-
-    parts = docs.select("text").mapInArrow(count, "block long, cells binary, counts binary")
-    table, n_shingles = np.zeros(CELLS, np.uint16), 0
-    for r in parts.groupBy("block").applyInArrow(add, "block long, counts binary, n long").collect():  # 16 rows, 8 MB in all
-        table[r.block : r.block + _BLOCK] = np.frombuffer(r.counts, np.uint16)
-        n_shingles += r.n
-    return table, n_shingles
 
+class _Deal:
+    """Collects shingles of sets and deals them into buckets as packed rows."""
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    names = ("bucket", "tokens", "owners", "sizes")
 
+    def __init__(self, buckets: int):
+        self.buckets, self.tokens, self.owners, self.held = buckets, [], [], 0
 
-def _prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> DataFrame:
-    """Rows of documents (kind 0) and of prefix shingles dealt into buckets (kind 1)."""
+    def add(self, tokens: np.ndarray, owner: int) -> None:
+        if len(tokens):
+            self.tokens.append(tokens)
+            self.owners.append(owner)
+            self.held += len(tokens)
+
+    def rows(self) -> list[pa.Array]:
+        if not self.tokens:
+            return [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 3]
+        key = np.concatenate(self.tokens)
+        which = np.repeat(np.arange(len(self.tokens)), [len(t) for t in self.tokens])
+        owners = np.array(self.owners, np.int64)
+        part = (key % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(self.buckets + 1))
+        rows = []
+        for b in range(self.buckets):
+            at = order[cut[b] : cut[b + 1]]
+            if len(at):
+                who, size = np.unique(which[at], return_counts=True)
+                rows.append((b, key[at].tobytes(), owners[who].tobytes(), size.astype(np.uint32).tobytes()))
+        self.tokens, self.owners, self.held = [], [], 0
+        cols = list(zip(*rows, strict=True))
+        return [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])]
+
+
+def _dealt(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, how many owners have the token), sorted by token and owner, each pair once."""
+    key = np.frombuffer(b"".join(parts["tokens"].to_pylist()), np.uint64)
+    owner = np.repeat(np.frombuffer(b"".join(parts["owners"].to_pylist()), np.int64), np.frombuffer(b"".join(parts["sizes"].to_pylist()), np.uint32))
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    if len(key):
+        new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+        key, owner = key[new], owner[new]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    count = np.diff(np.append(start, len(key)))
+    return key, owner, np.repeat(count, count)
+
+
+def _scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Rows of documents (kind 0) and their first shingles by hash, dealt into buckets (kind 1)."""
+    names = ["kind", "doc_id", "n", "f1", "f2", *_Deal.names]
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        names = ["kind", "doc_id", "n", "f1", "f2", "gid", "bucket", "tokens", "gids", "sizes"]
-        tokens: list[np.ndarray] = []
-        gids: list[int] = []
-
-        def dealt() -> pa.RecordBatch:
-            key = np.concatenate(tokens)
-            owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-            ids = np.array(gids, np.int64)
-            part = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                at = order[cut[b] : cut[b + 1]]
-                if len(at):
-                    who, size = np.unique(owner[at], return_counts=True)
-                    rows.append((b, key[at].tobytes(), ids[who].tobytes(), size.astype(np.uint32).tobytes()))
-            k = len(rows)
+        deal = _Deal(buckets)
+
+        def flushed(id_type: pa.DataType) -> pa.RecordBatch:
+            rows = deal.rows()
+            k = len(rows[0])
             none = pa.nulls(k, pa.int64())
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, kind), none, none, none, none, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, id_type), none, none, none, *rows], names)
 
         for batch in batches:
-            kind, rows, held = batch["doc_id"].type, [], 0
+            rows = []
             for _, s in shingle_sets(batch["text"], n):
                 size = len(s)
-                order = np.sort((table[s >> np.uint64(42)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16)))
-                prefix = order[: size - -(-percent * size // 100) + 1] if size else order
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                gid = _signed(xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=size))
-                rows.append((size, _signed(whole >> 64), _signed(whole & (1 << 64) - 1), gid))
+                f1, f2 = _signed(whole >> 64), _signed(whole & (1 << 64) - 1)
+                rows.append((size, f1, f2))
                 if size:
-                    tokens.append(prefix)
-                    gids.append(gid)
-                    held += len(prefix)
-                if held > _FLUSH:
-                    yield dealt()
-                    tokens, gids, held = [], [], 0
-            if tokens:
-                yield dealt()
-                tokens, gids = [], []
+                    deal.add(s[: size - -(-percent * size // 100) + int(_least_shared(size, percent))], f1)
+                if deal.held > _FLUSH:
+                    yield flushed(batch["doc_id"].type)
+            yield flushed(batch["doc_id"].type)
             k = len(rows)
             if k:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 empty = pa.nulls(k, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch["doc_id"], *cols, pa.nulls(k, pa.int32()), empty, empty, empty], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, f1 long, f2 long, gid long, bucket int, tokens binary, gids binary, sizes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, f1 long, f2 long, bucket int, tokens binary, owners binary, sizes binary")
+
+
+def _shared_by_owner(blocks: int):
+    def count(parts: pa.Table) -> pa.Table:
+        """How many of each owner's shingles of this bucket others have too, by block of owners."""
+        _, owner, holders = _dealt(parts)
+        who, n = np.unique(owner[holders > 1], return_counts=True)
+        block = who % blocks
+        own = [np.flatnonzero(block == b) for b in range(blocks)]
+        own = [(b, x) for b, x in enumerate(own) if len(x)]
+        return pa.table({"block": pa.array([b for b, _ in own], pa.int32()), "owners": pa.array([who[x].tobytes() for _, x in own], pa.binary()), "counts": pa.array([n[x].astype(np.uint32).tobytes() for _, x in own], pa.binary())})
+
+    return count
+
+
+def _total(parts: pa.Table) -> pa.Table:
+    owner = np.frombuffer(b"".join(parts["owners"].to_pylist()), np.int64)
+    n = np.frombuffer(b"".join(parts["counts"].to_pylist()), np.uint32)
+    who, at = np.unique(owner, return_inverse=True)
+    return pa.table({"f1": who, "shared": np.bincount(at, n, len(who)).astype(np.int64)})
+
+
+def _deal_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = _Deal(buckets)
+        for batch in batches:
+            for owner, raw in zip(batch["f1"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
+                deal.add(np.frombuffer(raw, np.uint64), owner)
+                if deal.held > _FLUSH:
+                    yield pa.RecordBatch.from_arrays(deal.rows(), list(_Deal.names))
+        yield pa.RecordBatch.from_arrays(deal.rows(), list(_Deal.names))
+
+    return sets.select("f1", "shingles").mapInArrow(run, "bucket int, tokens binary, owners binary, sizes binary")
+
+
+def _frequencies(blocks: int):
+    def count(parts: pa.Table) -> pa.Table:
+        """Shingles that several sets have, with their number, by block of owners."""
+        key, owner, holders = _dealt(parts)
+        some = holders > 1
+        key, owner, holders = key[some], owner[some], np.minimum(holders[some], (1 << 32) - 1).astype(np.uint32)
+        block = owner % blocks
+        order = np.lexsort((owner, block))
+        cut = np.searchsorted(block[order], np.arange(blocks + 1))
+        rows = []
+        for b in range(blocks):
+            x = order[cut[b] : cut[b + 1]]
+            if len(x):
+                who, size = np.unique(owner[x], return_counts=True)
+                rows.append((b, key[x].tobytes(), who.tobytes(), size.astype(np.uint32).tobytes(), holders[x].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table({"block": pa.array(cols[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("tokens", "owners", "sizes", "holders"), cols[1:], strict=True)})
+
+    return count
+
+
+def _prefixes(percent: int):
+    def order(sizes: pa.Table, parts: pa.Table) -> pa.Table:
+        """(f1, gid, tokens): each set's prefix without shingles that it alone has, if anything is left of it."""
+        key = np.frombuffer(b"".join(parts["tokens"].to_pylist()), np.uint64)
+        owner = np.repeat(np.frombuffer(b"".join(parts["owners"].to_pylist()), np.int64), np.frombuffer(b"".join(parts["sizes"].to_pylist()), np.uint32))
+        holders = np.frombuffer(b"".join(parts["holders"].to_pylist()), np.uint32)
+        by = np.lexsort((key, holders, owner))
+        key, owner = key[by], owner[by]
+        who, start = np.unique(owner, return_index=True)
+        stop = np.append(start[1:], len(owner))
+        total = dict(zip(sizes["f1"].to_pylist(), sizes["n"].to_pylist(), strict=True))
+        out = []
+        for f1, a, b in zip(who.tolist(), start.tolist(), stop.tolist(), strict=True):
+            n = total[f1]
+            alone = n - (b - a)
+            keep = n - -(-percent * n // 100) + 1 - alone
+            if keep > 0:
+                prefix = key[a : min(b, a + keep)].tobytes()
+                out.append((f1, f1 if alone else _signed(xxhash.xxh3_64_intdigest(prefix, seed=n)), prefix))
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({"f1": pa.array(cols[0], pa.int64()), "gid": pa.array(cols[1], pa.int64()), "tokens": pa.array(cols[2], pa.binary())})
+
+    return order
 
 
 def _shared_lists(parts: pa.Table) -> pa.Table:
     """(list, gid, hub) of each distinct set of two or more groups that share a prefix shingle of this bucket."""
-    key = np.frombuffer(b"".join(parts["tokens"].to_pylist()), np.uint64)
-    gids = np.frombuffer(b"".join(parts["gids"].to_pylist()), np.int64)
-    size = np.frombuffer(b"".join(parts["sizes"].to_pylist()), np.uint32)
-    owner = np.repeat(gids, size)
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, bool)
-    key, owner = key[new], owner[new]
+    key, owner, _ = _dealt(parts)
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
     count = np.diff(np.append(start, len(key)))
     some = count > 1
@@ -200,9 +262,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, uni
     """(doc_id, n_shingles, component_id) of every row; links are pairs with 100 * both >= percent * either.
 
     Copies are judged once, as one class.  Groups that share prefix shingles, directly or through others,
-    form clusters.  A cluster of up to ``unit`` classes is verified by one task.  In a larger one, each
-    list of groups that share a shingle is verified by itself, and a list that is too long is cut by
-    set size into blocks of which each pair of blocks, unless too different in size, is one task's work.
+    form clusters.  A cluster of up to ``unit`` classes is verified by one task.  A larger one is cut by set
+    size into blocks, and each pair of blocks, unless too different in size, is one task's work.  Of
+    clusters of more than 64 units, each list of groups that share a shingle is treated so by itself.
     Only sets of clustered documents are moved, and no pair is written as a row.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing.  With fewer
@@ -213,30 +275,49 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, uni
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram_join")
     docs = docs.select("doc_id", "text")
-    table, total = _count_table(docs, n)
-    counts = spark.sparkContext.broadcast(table)  # CELLS numbers of two bytes
-    buckets = partitions_for(spark, total * (100 - percent) // 100, 4_000_000)
-    both = ws.save(_prefixes(docs, n, percent, counts, buckets), "prefixes")
-    rows = ws.save(both.where("kind = 0").select("doc_id", "n", "f1", "f2", "gid"), "rows")
-    dealt = both.where("kind = 1").select("bucket", "tokens", "gids", "sizes")
-    lists = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_lists, "list long, gid long, hub long")
-    lists = ws.save(lists.dropDuplicates(["list", "gid"]), "lists")
-    ws.drop("prefixes")
-    clusters = connected_components(lists.select(F.col("gid").alias("a"), F.col("hub").alias("b")), ws, "clusters")
-    classes = ws.save(rows.where("n > 0").groupBy("f1", "f2", "n", "gid").agg(F.min("doc_id").alias("node")), "classes")
-    placed = classes.join(clusters.withColumnRenamed("node", "gid"), "gid", "left").select("node", "n", "gid", F.coalesce("component", "gid").alias("cluster")).where("node is not null")
-    sizes = placed.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
-    placed = ws.save(placed.join(sizes, "cluster"), "placed")
-    # sets of clustered classes only; small tables of ids are broadcast, larger ones shuffled
-    wanted = small_side(placed.select(F.col("node").alias("doc_id")))
+    # of about six bytes a word, some 35 of 100 shingles are dealt
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, size // 6 * 35 // 100 // 2_000_000)
+    scan = ws.save(_scan(docs, n, percent, buckets), "scan")
+    rows = ws.save(scan.where("kind = 0").select("doc_id", "n", "f1", "f2"), "rows")
+    classes = ws.save(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
+    dealt = scan.where("kind = 1").select(*_Deal.names).repartition(buckets, "bucket").groupBy("bucket")
+    shared = dealt.applyInArrow(_shared_by_owner(buckets), "block int, owners binary, counts binary").groupBy("block").applyInArrow(_total, "f1 long, shared long")
+    # a set of n shingles may be linked with one of percent * n, which is sure to share so many of its first
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    left = ws.save(classes.join(shared, "f1").where(F.col("shared") >= least).select("node", "f1", "f2", "n"), "left")
+    ws.drop("scan")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = pa.array((s.tobytes() for _, s in shingle_sets(batch["text"], n)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], held], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["f1"], batch["n"], held], ["node", "f1", "n", "shingles"])
+
+    wanted = docs.join(small_side(left.select(F.col("node").alias("doc_id"), "f1", "n")), "doc_id").select(F.col("doc_id").alias("node"), "f1", "n", "text")
+    found = ws.save(wanted.mapInArrow(sets, f"node {kind}, f1 long, n long, shingles binary"), "sets")
+    tokens = found.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, tokens // 2_000_000)
+    counted = _deal_sets(found, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_frequencies(buckets), "block int, tokens binary, owners binary, sizes binary, holders binary")
+    owners = found.select(F.expr(f"cast(pmod(f1, {buckets}) as int)").alias("block"), "f1", "n").distinct()
+    prefixes = owners.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_prefixes(percent), "f1 long, gid long, tokens binary")
+    prefixes = ws.save(prefixes, "prefixes")
+
+    def deal_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = _Deal(buckets)
+        for batch in batches:
+            for gid, raw in zip(batch["gid"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+                deal.add(np.frombuffer(raw, np.uint64), gid)
+        yield pa.RecordBatch.from_arrays(deal.rows(), list(_Deal.names))
 
-    found = ws.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, shingles binary"), "sets")
+    lists = prefixes.select("gid", "tokens").mapInArrow(deal_prefixes, "bucket int, tokens binary, owners binary, sizes binary")
+    lists = lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_lists, "list long, gid long, hub long")
+    lists = ws.save(lists.dropDuplicates(["list", "gid"]), "lists")
+    clusters = connected_components(lists.select(F.col("gid").alias("a"), F.col("hub").alias("b")), ws, "clusters")
+    placed = left.join(prefixes.select("f1", "gid"), "f1").join(clusters.withColumnRenamed("node", "gid"), "gid", "left").select("node", "n", "gid", F.coalesce("component", "gid").alias("cluster"))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
+    placed = ws.save(placed.join(sizes, "cluster"), "placed")
+    found = found.select("node", "shingles")
     small = placed.where(F.col("members") <= unit).select("node", F.struct(F.lit(0).alias("k"), F.col("cluster").alias("u"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("unit"))
     big = _large_units(placed.where(F.col("members") > unit), lists, unit, percent)
     units = small.unionByName(big) if big is not None else small
@@ -260,15 +341,17 @@ def _large_units(placed: DataFrame, lists: DataFrame, unit: int, percent: int) -
     """Units of clusters that are too large for one task, or None if there are no such clusters."""
     if not placed.limit(1).count():
         return None
-    members = lists.select("list", "gid").join(placed.select("gid", "node", "n"), "gid")
-    twins = placed.select(F.col("gid").alias("list"), "gid", "node", "n")  # classes of one group
-    members = members.unionByName(twins)
+    whole = placed.where(F.col("members") <= 64 * unit).select(F.col("cluster").alias("list"), "gid", "node", "n")
+    largest = placed.where(F.col("members") > 64 * unit)
+    members = lists.select("list", "gid").join(largest.select("gid", "node", "n"), "gid").select("list", "gid", "node", "n")
+    twins = largest.select(F.col("gid").alias("list"), "gid", "node", "n")  # classes of one group
+    members = whole.unionByName(members).unionByName(twins)
     per = members.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
     members = members.join(per, "list")
     # blocks of neighbouring sizes: every power of 1.05 is dealt into as many parts as its rows need
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).cast("int")
     banded = members.withColumn("band", F.when(F.col("k") <= unit, F.lit(0)).otherwise(band))
-    fill = banded.groupBy("list", "band").agg(F.count("*").alias("c")).withColumn("parts", F.when(F.col("c") <= unit, F.lit(1)).otherwise(F.ceil(F.col("c") / (unit / 4)).cast("int")))
+    fill = banded.groupBy("list", "band").agg(F.count("*").alias("c")).withColumn("parts", F.when(F.col("c") <= unit, F.lit(1)).otherwise(F.ceil(F.col("c") / (unit / 2)).cast("int")))
     banded = banded.join(fill, ["list", "band"]).withColumn("block", F.col("band") * 1_000_000 + F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     blocks = banded.select("list", "block", "band").distinct()
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.05))) + 1
