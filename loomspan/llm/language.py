@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZES = (1, 2, 3)
+#: Rows that a task holds as Python objects at a time.
+ROWS = 500
 _BITS = 18  # the largest code point of a letter fits
 
 
@@ -49,8 +51,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     waiting: dict[str, int] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            part = np.unique(ngrams(text), return_counts=True)
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
+            part = np.unique(ngrams(text.as_py()), return_counts=True)
             held.setdefault(lang, []).append(part)
             waiting[lang] = waiting.get(lang, 0) + len(part[0])
             if waiting[lang] > 1_000_000:
@@ -107,15 +109,18 @@ def identify_language(docs: DataFrame, profiles: list[tuple[str, int, int]], kee
     with score 0.  Repeated rows are scored alike; no rows give no rows.
     """
     spec = docs.sparkSession.sparkContext.broadcast(profiles)  # size rows for each language at most
+    passed = keep if "text" in keep else [*keep, "text"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(spec.value, size)
-        for batch in batches:
-            found = [model.nearest(t) for t in batch["__text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [model.nearest(t.as_py()) for t in batch["text"]]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predict, fields)
+    return docs.select(*passed).mapInArrow(predict, fields)
 
 
 def language_of_documents(docs: DataFrame, size: int = 400) -> DataFrame:

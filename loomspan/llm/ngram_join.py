@@ -22,7 +22,7 @@ from . import textkit
 from .components import connected_components
 from .workspace import Workspace, small_side
 
-_FLUSH = 3_000_000
+_FLUSH = 1_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:

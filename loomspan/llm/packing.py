@@ -125,8 +125,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
         enc, end = encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                raw = enc.encode_bytes(text) + end
+            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                raw = enc.encode_bytes(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -340,8 +340,8 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            texts = batch["text"].cast(pa.binary()).to_pylist()
-            for data, copies, spans in zip(texts, batch["copies"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for text, copies, spans in zip(batch["text"].cast(pa.binary()), batch["copies"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                data = text.as_py()
                 n = len(data)
                 ranges = [(0, n)] if copies is not None and n >= SPAN else np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist()
                 kept, at, removed = [], 0, 0

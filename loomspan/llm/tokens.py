@@ -26,7 +26,7 @@ _ASCII_WORDS = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}"
 _PLAIN = re.compile(r"[\n\t -~À-ɏ‐-‧]*")
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Unsplit pieces of more characters are encoded in halves.
 LEAF = 4_096
 
