@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,16 +38,31 @@ def _tokens(found: Column, start: Column) -> Column:
     return F.transform(found, lambda _, i: F.concat(F.lit("__KEEP_"), (i + start).cast("string"), F.lit("__")))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mask_one(pattern: str) -> Callable[[Column], Column]:
+    """From struct(text, kept) to the same with the spans of one more pattern masked."""
+
+    def replaced(s: Column) -> Column:
+        parts = F.zip_with(F.split(s["text"], pattern, -1), _tokens(s["found"], F.size(s["kept"])), lambda part, token: F.concat(part, F.coalesce(token, F.lit(""))))
+        return F.struct(F.array_join(parts, "").alias("text"), F.concat(s["kept"], s["found"]).alias("kept"))
+
+    def step(s: Column) -> Column:
+        found = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
+        return bind(F.struct(s["text"].alias("text"), s["kept"].alias("kept"), found.alias("found")), replaced)
+
+    return step
+
+
 def mask(text: Column, kinds: tuple[str, ...] = tuple(PROTECTED)) -> Column:
     """struct(text, kept): protected spans become ``__KEEP_n__``, n counting through all kinds; kept[n] is the span."""
-    kept = F.array().cast("array<string>")
+    masked = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kept"))
     for kind in kinds:
-        pattern, start = PROTECTED[kind], F.size(kept)
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        tokens = _tokens(found, start)
-        text = F.array_join(F.zip_with(F.split(text, pattern, -1), tokens, lambda part, token: F.concat(part, F.coalesce(token, F.lit("")))), "")
-        kept = F.concat(kept, found)
-    return F.struct(text.alias("text"), kept.alias("kept"))
+        masked = bind(masked, _mask_one(PROTECTED[kind]))
+    return masked
 
 
 def unmask(text: Column, kept: Column) -> Column:

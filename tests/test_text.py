@@ -53,3 +53,14 @@ def test_markup(spark):
     assert list(one(spark, html, markup.hrefs)) == ["u", "v"]
     assert "p class x" in one(spark, html, markup.attributes)
     assert one(spark, html, lambda h: markup.same_structure(h, F.replace(h, F.lit("<b>"), F.lit("<i>")))) is False
+
+
+def test_mask_counts_through_all_kinds(spark):
+    rows = [("a b@c.de 5 mm https://x.y/z SKU: AB-12 6 kg",), (None,), ("",)]
+    found = spark.createDataFrame(rows, "t string").select(T.mask(F.col("t")).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in found] == [("a __KEEP_1__ __KEEP_3__ __KEEP_0__ __KEEP_2__ __KEEP_4__", ["https://x.y/z", "b@c.de", "SKU: AB-12", "5 mm", "6 kg"]), (None, None), ("", [])]
+
+
+def test_masked_spans_are_searched_once(spark):
+    plan = spark.range(1).select(T.mask(F.lit("a").cast("string")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == len(T.PROTECTED)
