@@ -1,9 +1,9 @@
 """Brown class-based bigram scores: exchange clustering of words, class transitions and word emissions.
 
 A word's class comes from exchange clustering over the counts of all word pairs of the training texts.
-Words that make up less than ``share`` of all tokens stay in the class of rare words, so at most
-1/share words take part in the exchange, whatever the size of the corpus; their counts, like all
-others, are exact and kept in Spark, dealt by word.
+Every word of the training texts takes part, however rare.  Words, their counts, classes and neighbours
+are kept in Spark, dealt by word: before each pass, the owners of words send the classes to those
+buckets where the words are neighbours.  Only tables of classes by classes are broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,152 +96,233 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
 
 @dataclass
 class ClassModel:
-    """What scoring needs: at most 1/share words with their classes, and tables of classes by classes."""
+    """What scoring needs: words with counts and classes, dealt by word, and tables of classes by classes."""
 
-    words: np.ndarray  # sorted hashes of the words that were exchanged
-    counts: np.ndarray
-    classes: np.ndarray  # of each word, and last of all rare words
-    transitions: np.ndarray  # log10 P(class | class before)
-    emissions: np.ndarray  # log10 P(word | class) of the words
+    words: DataFrame  # bucket, keys (sorted hashes), counts, classes
+    transitions: np.ndarray  # log10 P(class | class before), last of unknown words
+    sizes: np.ndarray  # tokens of each class
+    members: np.ndarray  # words of each class
     tokens: int
     distinct: int
-    rare_tokens: int
-    rare_distinct: int
 
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at, len(self.words))
 
+def _transitions(pairs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """P(class | class before), smoothed towards the classes' own shares.
 
-def _transitions(pairs: np.ndarray, strength: float = 10.0) -> np.ndarray:
-    """P(class | class before), smoothed towards the classes' own shares."""
+    Shares weigh as much as there are different word pairs in a row (Witten and Bell): rare words fit
+    the classes to single pairs, and rows of many such pairs say less about texts not seen.
+    """
     share = (pairs.sum(axis=0) + 1) / (pairs.sum() + len(pairs))
-    return (pairs + strength * share) / (pairs.sum(axis=1, keepdims=True) + strength)
+    return (pairs + (kinds[:, None] + 1) * share) / (pairs.sum(axis=1, keepdims=True) + kinds[:, None] + 1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8).tobytes()
+
+
+def _unpack(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}" if n else np.uint8).astype(np.int64)
+
+
+_PAIRS = "bucket int, side int, own binary, runs binary, other binary, at binary, n binary, pairs long"
+_CONTEXTS = "bucket int, keys binary, others binary, rruns binary, rat binary, rn binary, lruns binary, lat binary, ln binary"
+
+
+def _pair_rows(words: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, side: int, buckets: int) -> Iterator[tuple]:
+    """Rows of ``_PAIRS`` of counted pairs (words[x], words[y]), dealt by words[x]; each own word has a run of others."""
+    deal = (words % np.uint64(buckets)).astype(np.int64)[x]
+    order = np.lexsort((y, x, deal))
+    x, y, n, deal = x[order], y[order], n[order], deal[order]
+    cut = np.searchsorted(deal, np.arange(buckets + 1))
+    for b in range(buckets):
+        lo, hi = cut[b], cut[b + 1]
+        if lo < hi:
+            own, runs = np.unique(x[lo:hi], return_counts=True)
+            other, at = np.unique(y[lo:hi], return_inverse=True)
+            yield b, side, words[own].tobytes(), _pack(runs), words[other].tobytes(), _pack(at), _pack(n[lo:hi]), int(hi - lo)
+
+
+def _side(rows: list[tuple], keys: np.ndarray, others: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Runs, places among ``others`` and counts of all pairs of ``rows``, merged."""
+    c, k = _Counter(), max(1, len(others))
+    rank = np.argsort(others, kind="stable")
+    for own, runs, other, at, n, m in rows:
+        own, other = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+        x = np.repeat(np.searchsorted(keys, own), _unpack(runs, len(own)))
+        y = rank[np.searchsorted(others, other, sorter=rank)][_unpack(at, m)]
+        c.add((x * k + y).astype(np.uint64), _unpack(n, m))
+    pairs, n = c.merge()
+    pairs = pairs.astype(np.int64)
+    return np.bincount(pairs // k, minlength=len(keys)).astype(np.uint32).tobytes(), (pairs % k).astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()
+
 
+def word_contexts(train: DataFrame, buckets: int) -> DataFrame:
+    """One row for each bucket of words: its words and, with counts, all words that follow and precede each.
 
-def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: int = 96, share: float = 1 / 32768, sweeps: int = 8, buckets: int = 24) -> ClassModel:
+    ``others`` are the bucket's own words and all their neighbours, ordered by their own buckets and hashes;
+    neighbours are places in it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate(held), return_inverse=True)
+            end, k = int(np.searchsorted(words, END)), len(words)
+            pairs, n = np.unique(np.append(end, ids[:-1]) * k + ids, return_counts=True)
+            x, y = pairs // k, pairs % k
+            rows = [*_pair_rows(words, x, y, n, 0, buckets), *_pair_rows(words, y, x, n, 1, buckets)]
+            held.clear()
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "side", "own", "runs", "other", "at", "n", "pairs"])
+
+        for batch in batches:
+            for docs in textkit.slices(batch["text"]):
+                held.append(_tokens(docs)[0])
+                if sum(map(len, held)) > _HELD:
+                    yield flush()
+        if sum(map(len, held)):
+            yield flush()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        cols = [rows[c].to_pylist() for c in ("own", "runs", "other", "at", "n", "pairs")]
+        side = rows["side"].to_numpy()
+        every = list(zip(*cols, strict=True))
+        right, left = ([r for r, k in zip(every, side, strict=True) if k == want] for want in (0, 1))
+        keys = np.unique(np.concatenate([np.frombuffer(r[0], np.uint64) for r in every]))
+        others = np.unique(np.concatenate([keys, *(np.frombuffer(r[2], np.uint64) for r in every)]))
+        others = others[np.argsort(others % np.uint64(buckets), kind="stable")]
+        parts = [keys.tobytes(), others.tobytes(), *_side(right, keys, others), *_side(left, keys, others)]
+        return pa.table({"bucket": rows["bucket"][:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("keys", "others", "rruns", "rat", "rn", "lruns", "lat", "ln"), parts, strict=True)}})
+
+    return train.select("text").mapInArrow(count, _PAIRS).groupBy("bucket").applyInArrow(merge, _CONTEXTS)
+
+
+def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: int = 96, sweeps: int = 8, buckets: int = 24) -> ClassModel:
     """Exchange clustering: each sweep moves words to the class at which the likelihood of all pairs is greatest.
 
     Sweeps see fixed class counts and move one half of the words in turn, so that a sweep runs in
-    parallel over words.  The end of a text and the rare words have classes of their own.
+    parallel over words.  The end of a text has a class of its own, and so have words that training
+    texts lack; behind that class follows what follows words that occur once.
     """
     spark = train.sparkSession
     total = counts.agg(F.sum("n"), F.sum("v")).first()
     tokens, distinct = int(total[0] or 0), int(total[1] or 0)
-    least = max(1, tokens * share)
+    kind, cells = np.uint8 if classes <= 256 else np.uint16, classes * classes
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                some = (n >= least) | (k == END)
-                yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int64)), pa.array(n[some])], ["word", "n"])
-
-    rows = counts.select("keys", "counts").mapInArrow(frequent, "word long, n long").collect()  # 1/share words at most
-    found = dict((r.word, r.n) for r in rows)
-    found.setdefault(int(END), 0)
-    words = np.array(list(found), np.int64).astype(np.uint64)
-    order = np.argsort(words)
-    words, number = words[order], np.array(list(found.values()), np.int64)[order]
-    k = len(words)
-    sizes = np.append(number, tokens - number.sum()).astype(np.float64)
-    end = int(np.searchsorted(words, END))
-    known = spark.sparkContext.broadcast(words)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c = known.value, _Counter()
+    # what each pass reads stays dealt by bucket, so that a pass shuffles classes only
+    contexts = word_contexts(train, buckets).repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs in textkit.slices(batch["text"]):
-                seq = _tokens(docs)[0]
-                at = np.minimum(np.searchsorted(w, seq), k - 1)
-                ids = np.where(w[at] == seq, at, k).astype(np.uint64)
-                c.add(np.append(np.uint64(end), ids[:-1]) * np.uint64(k + 1) + ids)
-        keys, n = c.merge()
-        yield _dealt(keys, n, (keys // np.uint64(k + 1) % np.uint64(buckets)).astype(np.int64), buckets)
+            for owner, others in zip(batch["bucket"].to_pylist(), batch["others"].to_pylist(), strict=True):
+                others = np.frombuffer(others, np.uint64)
+                cut = np.searchsorted((others % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([owner] * len(own), pa.int32()), pa.array([others[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary())], ["bucket", "owner", "words"])
 
-    right = train.select("text").mapInArrow(pairs, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(_merged, _MERGED)
-    right = ws.save(right, "pairs")
+    asked = contexts.select("bucket", "others").mapInArrow(ask, "bucket int, owner int, words binary")
+    asked = asked.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
 
-    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                x, n = np.frombuffer(x, np.uint64), np.frombuffer(n, np.int64)
-                a, b = x // np.uint64(k + 1), x % np.uint64(k + 1)
-                yield _dealt(b * np.uint64(k + 1) + a, n, (b % np.uint64(buckets)).astype(np.int64), buckets)
-
-    left = right.select("keys", "counts").mapInArrow(turned, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(_merged, _MERGED)
-    left = left.select("bucket", F.col("keys").alias("lkeys"), F.col("counts").alias("lcounts"))
-    both = ws.save(right.select("bucket", "keys", "counts").join(left, "bucket", "full").repartition(buckets, "bucket"), "contexts")
-
-    # the most frequent words start in classes of their own, the others in turn
-    cls = np.zeros(k + 1, np.int64)
-    cls[np.argsort(-number, kind="stable")] = np.arange(k) % (classes - 2) + 1
-    cls[end], cls[k] = 0, classes - 1
-
-    def class_pairs(cls: np.ndarray) -> np.ndarray:
-        now = spark.sparkContext.broadcast(cls)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, out = now.value, np.zeros(classes * classes)
-            for batch in batches:
-                for x, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                    if x:
-                        x = np.frombuffer(x, np.uint64).astype(np.int64)
-                        out += np.bincount(c[x // (k + 1)] * classes + c[x % (k + 1)], np.frombuffer(n, np.int64), classes * classes)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
-
-        parts = both.select("keys", "counts").mapInArrow(add, "m binary").collect()  # a class table for each partition of at most ``buckets`` rows
-        return sum((np.frombuffer(r.m) for r in parts), np.zeros(classes * classes)).reshape(classes, classes)
+            for b, k, n in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
+                # the most frequent words start in classes of their own, the others in turn
+                c = np.zeros(len(k), kind)
+                c[np.argsort(-n, kind="stable")] = (np.arange(len(k)) * buckets + b) % (classes - 2) + 1
+                c[k == END] = 0
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([0])], ["bucket", "keys", "counts", "classes", "moved"])
+
+    fields = "bucket int, keys binary, counts binary, classes binary, moved long"
+    state = ws.save(counts.select("bucket", "keys", "counts").mapInArrow(begin, fields), "state")
+
+    def answer(asked: pa.Table, state: pa.Table) -> pa.Table:
+        keys, cls = np.frombuffer(state["keys"][0].as_py(), np.uint64), np.frombuffer(state["classes"][0].as_py(), kind)
+        found = [cls[np.searchsorted(keys, np.frombuffer(w, np.uint64))].tobytes() for w in asked["words"].to_pylist()]
+        return pa.table({"bucket": asked["owner"], "owner": asked["bucket"], "classes": pa.array(found, pa.binary())})
+
+    def answers(state: DataFrame, name: str) -> DataFrame:
+        return ws.save(asked.groupBy("bucket").cogroup(state.select("bucket", "keys", "classes").groupBy("bucket")).applyInArrow(answer, "bucket int, owner int, classes binary"), name)
+
+    def opened(context: pa.Table, near: pa.Table) -> tuple:
+        """Words, their classes, neighbours' classes, and both sides as (own place, class beside it, count)."""
+        keys, others = (np.frombuffer(context[c][0].as_py(), np.uint64) for c in ("keys", "others"))
+        parts = sorted(zip(near["owner"].to_pylist(), near["classes"].to_pylist(), strict=True))
+        cls = np.frombuffer(b"".join(c for _, c in parts), kind).astype(np.int64)
+        rank = np.argsort(others, kind="stable")
+        own = cls[rank[np.searchsorted(others, keys, sorter=rank)]]
+        sides = []
+        for r in "rl":
+            runs, at, n = (np.frombuffer(context[r + c][0].as_py(), np.uint32) for c in ("runs", "at", "n"))
+            sides.append((np.repeat(np.arange(len(keys)), runs), cls[at], n.astype(np.float64)))
+        return keys, own, sides
+
+    def tables(context: pa.Table, near: pa.Table) -> pa.Table:
+        _, own, (right, left) = opened(context, near)
+        once = np.bincount(left[0], left[2], len(own)) == 1
+        behind = np.bincount(right[1][once[right[0]]], right[2][once[right[0]]], classes)
+        out = np.concatenate([np.bincount(own[right[0]] * classes + right[1], right[2], cells), np.bincount(own, minlength=classes), np.bincount(own[right[0]], minlength=classes), behind])
+        some = np.flatnonzero(out)
+        return pa.table({"cell": pa.array(some), "x": pa.array(out[some].astype(np.int64))})
+
+    def sums(near: DataFrame) -> tuple:
+        """Class pairs, and for each class its words, different word pairs that begin in it, and times it follows words that occur once."""
+        found = contexts.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(tables, "cell long, x long").groupBy("cell").agg(F.sum("x").alias("x"))
+        out = np.zeros(cells + 3 * classes)
+        for r in found.collect():  # classes x classes numbers
+            out[r.cell] = r.x
+        return out[:cells].reshape(classes, classes), *out[cells:].reshape(3, classes)
 
     for sweep in range(sweeps):
-        state = spark.sparkContext.broadcast((cls, class_pairs(cls)))
-
-        def move(batches: Iterator[pa.RecordBatch], sweep: int = sweep, state=state) -> Iterator[pa.RecordBatch]:
-            c, m = state.value
-            log = np.log(_transitions(m))
-            size = np.bincount(c, sizes, classes)
-            for batch in batches:
-                for b, x, n, y, o in zip(*(batch[f].to_pylist() for f in ("bucket", "keys", "counts", "lkeys", "lcounts")), strict=True):
-                    own = np.arange(b, k, buckets)
-                    if not len(own):
-                        continue
-                    score = np.zeros((len(own), classes))
-                    for pairs, count, table in ((x, n, log.T), (y, o, log)):
-                        if not pairs:
-                            continue
-                        pairs = np.frombuffer(pairs, np.uint64).astype(np.int64)
-                        w, other = pairs // (k + 1), c[pairs % (k + 1)]
-                        ok = w < k
-                        near = np.bincount((w[ok] // buckets) * classes + other[ok], np.frombuffer(count, np.int64)[ok], len(own) * classes)
-                        score += near.reshape(len(own), classes) @ table
-                    inside = np.zeros((len(own), classes))
-                    inside[np.arange(len(own)), c[own]] = 1
-                    score -= sizes[own, None] * np.log(size[None, :] + (1 - inside) * sizes[own, None] + 1)
-                    score[:, [0, classes - 1]] = -np.inf
-                    best = score.argmax(axis=1)
-                    turn = (own // buckets + sweep) % 2 == 0
-                    turn &= (own != end) & (best != c[own])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[turn]), pa.array(best[turn])], ["word", "class"])
-
-        moves = both.mapInArrow(move, "word long, class long").collect()  # 1/share words at most
-        cls = cls.copy()
-        cls[[r.word for r in moves]] = [r["class"] for r in moves]
-        if not moves and sweep:
+        near = answers(state, f"answers{sweep}")
+        pairs, _, kinds, _ = sums(near)
+        table = spark.sparkContext.broadcast((pairs, kinds))
+
+        def move(context: pa.Table, near: pa.Table) -> pa.Table:
+            m, kinds = table.value
+            log, size = np.log(_transitions(m, kinds)), m.sum(axis=0)
+            keys, own, (right, left) = opened(context, near)
+            n = np.bincount(left[0], left[2], len(keys))
+            best = own.copy()
+            turn = (np.arange(len(keys)) + sweep) % 2 == 0
+            turn &= keys != END
+            for lo in range(0, len(keys), 20_000):
+                hi = min(lo + 20_000, len(keys))
+                score = np.zeros((hi - lo, classes))
+                for (x, c, k), weight in ((right, log.T), (left, log)):
+                    i, j = np.searchsorted(x, [lo, hi])
+                    score += np.bincount((x[i:j] - lo) * classes + c[i:j], k[i:j], (hi - lo) * classes).reshape(hi - lo, classes) @ weight
+                inside = np.zeros((hi - lo, classes))
+                inside[np.arange(hi - lo), own[lo:hi]] = 1
+                score -= n[lo:hi, None] * np.log(size[None, :] + (1 - inside) * n[lo:hi, None] + 1)
+                score[:, [0, classes - 1]] = -np.inf
+                best[lo:hi] = np.where(turn[lo:hi], score.argmax(axis=1), own[lo:hi])
+            return pa.table({"bucket": context["bucket"], "keys": context["keys"], "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "classes": pa.array([best.astype(kind).tobytes()], pa.binary()), "moved": pa.array([int((best != own).sum())])})
+
+        state = ws.save(contexts.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(move, fields), f"state{sweep}")
+        ws.drop(f"answers{sweep}")
+        if not state.agg(F.sum("moved")).first()[0] and sweep:
             break
-    table = class_pairs(cls)
-    size, members = np.bincount(cls[:k], sizes[:k], classes), np.bincount(cls[:k], minlength=classes)
-    emissions = np.log10((number + 0.5) / (size + 0.5 * members)[cls[:k]])
-    return ClassModel(words, number, cls, np.log10(_transitions(table)), emissions, tokens, distinct, tokens - int(number.sum()), distinct - int((number > 0).sum()))
+    pairs, members, kinds, behind = sums(answers(state, "answers"))
+    sizes = pairs.sum(axis=0)
+    pairs[-1], kinds[-1] = behind, behind.sum()
+    transitions = np.log10(_transitions(pairs, kinds))
+    transitions[:, -1] = -np.log10(tokens + distinct + 1)
+    contexts.unpersist()
+    asked.unpersist()
+    return ClassModel(state, transitions, sizes, members, tokens, distinct)
 
 
-def class_lm_scores(docs: DataFrame, held_out, classes: int = 96, share: float = 1 / 32768, sweeps: int = 8, docs_per_bucket: int = 50_000) -> DataFrame:
+def class_lm_scores(docs: DataFrame, held_out, classes: int = 96, sweeps: int = 8, docs_per_bucket: int = 10_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     ``held_out`` is a boolean column of ``docs``; rows where it is true teach nothing.  Tokens are words
     cut at ASCII white space, with A-Z lower-cased, and one end.  base_score is the add-one unigram's
     log10 probability, score the class model's: each token's class given the class before, and the token
-    given its class.  A rare or unknown word is given by the rare words' add-one counts.  Rare words of
-    a text are looked up where their counts are, and only sums return to it.
+    given its class.  An unknown word is as likely as by base_score.  Each part of the texts looks its different words up where their counts
+    and classes are.
 
     A null or empty text is an end alone.  Repeated rows are scored alike; with no training rows every
     word is unknown.  No rows give no rows.  Columns other than doc_id and text are ignored.
@@ -252,83 +333,70 @@ def class_lm_scores(docs: DataFrame, held_out, classes: int = 96, share: float =
     train = docs.where(~F.col("held_out"))
     buckets = partitions_for(spark, train.count(), docs_per_bucket)
     counts = ws.save(word_counts(train, buckets), "counts")
-    model = learn_classes(train, counts, ws, classes, share, sweeps)
-    shared = spark.sparkContext.broadcast(model)  # 1/share words and classes x classes numbers
+    model = learn_classes(train, counts, ws, classes, sweeps, buckets)
+    table = spark.sparkContext.broadcast((model.transitions, model.sizes, model.members))  # classes x classes numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
     base_floor = np.log10(model.tokens + model.distinct + 1)
-    rare_floor = np.log10(model.rare_tokens + model.rare_distinct + 1)
-    names = ["kind", "part", "at", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bucket", "words", "owners"]
+    small, fixed = np.uint8 if classes <= 256 else np.uint16, model.tokens
+    names = ["kind", "part", "doc_id", "held_out", "n_tokens", "seq", "bucket", "words"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        k, last = len(m.words), len(m.words)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, flush = TaskContext.get().partitionId(), 0
-        base = np.log10(m.counts + 1) - base_floor
         for batch in batches:
             for d in textkit.slices(batch["text"]):
                 seq, first = _tokens(d)
-                ids = m.ids(seq)
-                rare = ids == last
-                c = m.classes[ids]
-                before = np.append(m.classes[np.searchsorted(m.words, END)], c[:-1])
-                safe = np.where(rare, 0, ids)
-                each = m.transitions[before, c] + np.where(rare, -rare_floor, m.emissions[safe])
-                plain = np.where(rare, -base_floor, base[safe])
-                known = ~rare & (m.counts[safe] > 0)
-                n = len(d)
-                part = (task << 32) + flush
+                n, part = len(d), (task << 32) + flush
                 flush += 1
-                sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), plain, each)]
-                own = batch.slice(d.first, n)
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), pa.array(np.arange(n)), own["doc_id"], own["held_out"], pa.array(np.diff(first)), *map(pa.array, sums), pa.nulls(n, pa.int32()), none, none], names)
-                owner = np.repeat(np.arange(n), np.diff(first))[rare].astype(np.uint32)
-                words = seq[rare]
-                if len(words):
-                    deal = (words % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(deal, kind="stable")
-                    cut = np.searchsorted(deal[order], np.arange(buckets + 1))
-                    rows = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1]]
-                    r = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(r, np.int32)), pa.array(np.full(r, part)), pa.nulls(r, pa.int64()), pa.nulls(r, batch["doc_id"].type), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.float64()), pa.nulls(r, pa.float64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([words[at].tobytes() for _, at in rows], pa.binary()), pa.array([owner[at].tobytes() for _, at in rows], pa.binary())],
-                        names,
-                    )
-
-    fields = f"kind int, part long, at long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, words binary, owners binary"
-    scored = ws.save(docs.mapInArrow(score, fields), "scored")
-
-    def look_up(words: pa.Table, table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(table["keys"][0].as_py(), np.uint64) if len(table) else np.zeros(0, np.uint64)
-        values = np.frombuffer(table["counts"][0].as_py(), np.int64) if len(table) else np.zeros(0, np.int64)
-        keys, values = np.append(keys, np.uint64(0)), np.append(values, 0)
+                words, ids = np.unique(seq, return_inverse=True)
+                deal = (words % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(deal, kind="stable")
+                place = np.empty(len(words), np.uint32)
+                place[order] = np.arange(len(words))
+                ids, words, own = place[ids], words[order], batch.slice(d.first, n)
+                ids = ids.astype(np.uint16) if len(words) <= 1 << 16 else ids
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), own["doc_id"], own["held_out"], pa.array(np.diff(first)), pa.array([ids[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                at = np.searchsorted(deal[order], np.arange(buckets + 1))
+                rows = [b for b in range(buckets) if at[b] < at[b + 1]]
+                r = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(r, np.int32)), pa.array(np.full(r, part)), pa.nulls(r, batch["doc_id"].type), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.binary()), pa.array(rows, pa.int32()), pa.array([words[at[b] : at[b + 1]].tobytes() for b in rows], pa.binary())], names)
+
+    parts = ws.save(docs.mapInArrow(cut, f"kind int, part long, doc_id {kind}, held_out boolean, n_tokens long, seq binary, bucket int, words binary"), "parts")
+
+    def look_up(words: pa.Table, own: pa.Table) -> pa.Table:
+        known = len(own) > 0
+        keys = np.append(np.frombuffer(own["keys"][0].as_py(), np.uint64) if known else np.zeros(0, np.uint64), np.uint64(0))
+        counts = np.append(np.frombuffer(own["counts"][0].as_py(), np.int64) if known else np.zeros(0, np.int64), 0)
+        cls = np.append(np.frombuffer(own["classes"][0].as_py(), small) if known else np.zeros(0, small), small(classes - 1))
         out = []
-        for part, w, o in zip(words["part"].to_pylist(), words["words"].to_pylist(), words["owners"].to_pylist(), strict=True):
-            w, o = np.frombuffer(w, np.uint64), np.frombuffer(o, np.uint32).astype(np.int64)
+        for w in words["words"].to_pylist():
+            w = np.frombuffer(w, np.uint64)
             at = np.searchsorted(keys[:-1], w)
-            n = np.where(keys[at] == w, values[at], 0)
-            who, o = np.unique(o, return_inverse=True)
-            out.append((part, who.astype(np.uint32).tobytes(), np.bincount(o, n > 0).astype(np.uint32).tobytes(), np.bincount(o, np.log10(n + 1)).tobytes()))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({"part": pa.array(cols[0], pa.int64()), "who": pa.array(cols[1], pa.binary()), "known": pa.array(cols[2], pa.binary()), "logs": pa.array(cols[3], pa.binary())})
+            at = np.where(keys[at] == w, at, len(keys) - 1)
+            out.append((_pack(counts[at]), cls[at].tobytes()))
+        return pa.table({"part": words["part"], "bucket": words["bucket"], "n": pa.array([n for n, _ in out], pa.binary()), "classes": pa.array([c for _, c in out], pa.binary())})
 
-    rare = scored.where("kind = 1").select("part", "bucket", "words", "owners").groupBy("bucket")
-    found = rare.cogroup(counts.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(look_up, "part long, who binary, known binary, logs binary")
-    fixed = model.tokens
+    asked = parts.where("kind = 1").select("part", "bucket", "words").groupBy("bucket")
+    found = asked.cogroup(model.words.select("bucket", "keys", "counts", "classes").groupBy("bucket")).applyInArrow(look_up, "part long, bucket int, n binary, classes binary")
 
     def complete(rows: pa.Table, more: pa.Table) -> pa.Table:
-        at = rows["at"].to_numpy()
-        known, logs = np.zeros(at.max() + 1 if len(at) else 0, np.int64), np.zeros(at.max() + 1 if len(at) else 0)
-        for w, n, x in zip(more["who"].to_pylist(), more["known"].to_pylist(), more["logs"].to_pylist(), strict=True):
-            w = np.frombuffer(w, np.uint32)
-            known[w] += np.frombuffer(n, np.uint32)
-            logs[w] += np.frombuffer(x)
+        transitions, sizes, members = table.value
+        answers = sorted(zip(more["bucket"].to_pylist(), more["n"].to_pylist(), more["classes"].to_pylist(), strict=True))
+        cls = np.frombuffer(b"".join(c for _, _, c in answers), small).astype(np.int64)
+        n = np.concatenate([_unpack(x, len(c) // small().itemsize) for _, x, c in answers])
+        emission = np.where(n > 0, np.log10((n + 0.5) / (sizes + 0.5 * members + 1e-9)[cls]), 0.0)
+        length = rows["n_tokens"].to_numpy()
+        seq = np.frombuffer(b"".join(rows["seq"].to_pylist()), np.uint16 if len(cls) <= 1 << 16 else np.uint32)
+        first = np.append(0, np.cumsum(length)[:-1])
+        c = cls[seq]
+        before = np.append(0, c[:-1])
+        before[first] = 0
+        score, base, known = (np.add.reduceat(x, first) for x in (transitions[before, c] + emission[seq], (np.log10(n + 1) - base_floor)[seq], (n > 0)[seq].astype(np.int64)))
         return pa.table({
-            "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": rows["n_known"].to_numpy() + known[at],
-            "train_tokens": np.full(len(at), fixed, np.int64), "base_score": rows["base"].to_numpy() + logs[at], "score": rows["score"].to_numpy() + logs[at],
+            "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": known,
+            "train_tokens": np.full(len(length), fixed, np.int64), "base_score": base, "score": score,
         })
 
-    whole = scored.where("kind = 0").select("part", "at", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").groupBy("part")
+    whole = parts.where("kind = 0").select("part", "doc_id", "held_out", "n_tokens", "seq").groupBy("part")
     return whole.cogroup(found.groupBy("part")).applyInArrow(complete, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -91,3 +91,20 @@ def test_scores_without_training(spark, sf_dir):
     docs = documents(spark, sf_dir)
     assert class_lm_scores_of_documents(docs.where("doc_id < 0")).collect() == []
     assert all(r.n_known == 0 for r in class_lm_scores_of_documents(docs.limit(300), modulus=1, rest=0).collect())
+
+
+def test_every_word_has_a_class(spark, tmp_path):
+    from loomspan.llm.class_lm import learn_classes, word_counts
+    from loomspan.llm.workspace import Workspace
+
+    # 50,005 tokens, of which one word is two and another is one
+    texts = ["det noun verb noun"] * 9_998 + ["det seldom verb noun"] * 2 + ["det single verb noun"]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    ws = Workspace(spark, "classes")
+    counts = ws.save(word_counts(train, 3), "counts")
+    model = learn_classes(train, counts, ws, classes=8, buckets=3)
+    rows = model.words.collect()
+    assert sum(len(r.keys) // 8 for r in rows) == model.distinct == 6
+    assert model.members.sum() == 6 and model.members[-1] == 0 and model.sizes[-1] == 0  # none is in the class of unknown words
+    assert int(model.sizes.sum()) == model.tokens == 5 * len(texts)
+    assert model.sizes.shape == (8,) and model.transitions.shape == (8, 8)
