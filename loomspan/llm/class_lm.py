@@ -117,12 +117,14 @@ def _transitions(pairs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8).tobytes()
+    """Unsigned numbers in as few bytes each as the largest needs, the first bytes of all before the second ones, compressed."""
+    x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+    return bytes([x.itemsize]) + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, f"u{len(x) // n}" if n else np.uint8).astype(np.int64)
+    raw = pa.decompress(x[1:], decompressed_size=n * x[0], codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(x[0], n).T).view(f"u{x[0]}").ravel().astype(np.int64)
 
 
 _PAIRS = "bucket int, side int, own binary, runs binary, other binary, at binary, n binary, pairs long"
@@ -154,7 +156,7 @@ def _side(rows: list[tuple], keys: np.ndarray, others: np.ndarray) -> tuple[byte
         c.add((x * k + y).astype(np.uint64), _unpack(n, m))
     pairs, n = c.merge()
     pairs = pairs.astype(np.int64)
-    return np.bincount(pairs // k, minlength=len(keys)).astype(np.uint32).tobytes(), (pairs % k).astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()
+    return _pack(np.bincount(pairs // k, minlength=len(keys))), _pack(pairs % k), _pack(n)
 
 
 def word_contexts(train: DataFrame, buckets: int) -> DataFrame:
@@ -212,7 +214,9 @@ def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: i
     kind, cells = np.uint8 if classes <= 256 else np.uint16, classes * classes
 
     # what each pass reads stays dealt by bucket, so that a pass shuffles classes only
-    contexts = word_contexts(train, buckets).repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    contexts = ws.save(word_contexts(train, buckets), "contexts")
+    ws.release()
+    contexts = contexts.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,8 +259,10 @@ def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: i
         own = cls[rank[np.searchsorted(others, keys, sorter=rank)]]
         sides = []
         for r in "rl":
-            runs, at, n = (np.frombuffer(context[r + c][0].as_py(), np.uint32) for c in ("runs", "at", "n"))
-            sides.append((np.repeat(np.arange(len(keys)), runs), cls[at], n.astype(np.float64)))
+            runs, at, n = (context[r + c][0].as_py() for c in ("runs", "at", "n"))
+            runs = _unpack(runs, len(keys))
+            m = int(runs.sum())
+            sides.append((np.repeat(np.arange(len(keys)), runs), cls[_unpack(at, m)], _unpack(n, m).astype(np.float64)))
         return keys, own, sides
 
     def tables(context: pa.Table, near: pa.Table) -> pa.Table:
@@ -302,7 +308,8 @@ def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: i
             return pa.table({"bucket": context["bucket"], "keys": context["keys"], "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "classes": pa.array([best.astype(kind).tobytes()], pa.binary()), "moved": pa.array([int((best != own).sum())])})
 
         state = ws.save(contexts.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(move, fields), f"state{sweep}")
-        ws.drop(f"answers{sweep}")
+        ws.drop(f"answers{sweep}", f"state{sweep - 1}" if sweep else "state")
+        ws.release()
         if not state.agg(F.sum("moved")).first()[0] and sweep:
             break
     pairs, members, kinds, behind = sums(answers(state, "answers"))
@@ -310,8 +317,11 @@ def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: i
     pairs[-1], kinds[-1] = behind, behind.sum()
     transitions = np.log10(_transitions(pairs, kinds))
     transitions[:, -1] = -np.log10(tokens + distinct + 1)
-    contexts.unpersist()
     asked.unpersist()
+    contexts.unpersist()
+    ws.drop("contexts")
+    del asked, contexts
+    ws.release()
     return ClassModel(state, transitions, sizes, members, tokens, distinct)
 
 

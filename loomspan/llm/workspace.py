@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of DataFrames that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each has about ``rows_each`` rows, and never fewer than the session's default."""
