@@ -72,9 +72,9 @@ def _distances(rows: DataFrame, moments: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: float = 180.0, share: float = 0.75, steps: int = 3, least: int = 100) -> DataFrame:
     """``keep`` columns, the base statistics, base_failed, distance and kept, one row for each input row.
 
-    Groups are (lang, source).  Groups of fewer than ``least`` rows share one estimate for their
-    language, and languages of fewer such rows share one; where that has still fewer rows nothing is
-    rejected by distance.  In each group, the minimum-covariance-determinant estimate starts from the
+    Groups are (lang, source).  Groups of fewer than ``least`` rows are held against the estimate of all
+    rows of their language, and those of languages of fewer rows against that of all rows, however few
+    these are.  For each estimate, the minimum-covariance-determinant estimate starts from the
     ``share`` of rows nearest to the medians and is refined by ``steps`` concentration steps, each of
     which keeps the share at the smallest distance.  Rows of more than ``cutoff`` squared distance are
     rejected, as are those that fail the base rules.  Rows that fail them are no part of any estimate.
@@ -95,18 +95,20 @@ def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: flo
         F.log1p(20 * F.col("n_repeat_words") / words + F.col("n_dup_lines") / F.lit(4.0)).alias("x3"),
     )
     base = ws.save(base, "base")
-    good = base.where("not base_failed")
-    sizes = good.groupBy("ls").agg(F.count("*").alias("rows"))
-    small = sizes.where(F.col("rows") < least).groupBy(F.col("ls.lang").alias("pool_lang")).agg(F.sum("rows").alias("pool"))
-    group = F.when(F.col("rows") >= least, F.concat_ws("\x01", F.lit("g"), F.col("lang"), F.lit("\x02"), F.col("source"))).when(F.col("pool") >= least, F.concat_ws("\x01", F.lit("l"), F.col("lang"))).otherwise("all")
-    sizes = sizes.select("ls.lang", "ls.source", "rows").join(small, F.expr("lang <=> pool_lang"), "left")
-    sizes = sizes.select(F.struct("lang", "source").alias("ls"), group.alias("g"))
+    sizes = base.groupBy("ls").agg(F.count_if(~F.col("base_failed")).alias("rows"))
+    langs = sizes.groupBy(F.col("ls.lang").alias("pool_lang")).agg(F.sum("rows").alias("pool"), F.min("rows").alias("fewest"))
+    every = langs.agg(F.coalesce(F.min("pool") < least, F.lit(False)).alias("mixed"))
+    own, lang = F.concat_ws("\x01", F.lit("g"), F.col("lang"), F.lit("\x02"), F.col("source")), F.concat_ws("\x01", F.lit("l"), F.col("lang"))
+    large, whole = F.col("rows") >= least, F.col("pool") >= least
+    # the estimates that a group's rows are part of: only those against which some group is held
+    teaches = F.array_compact(F.array(F.when(large, own), F.when(whole & (F.col("fewest") < least), lang), F.when(F.col("mixed"), "all")))
+    sizes = sizes.select("ls.lang", "ls.source", "rows").join(langs, F.expr("lang <=> pool_lang"), "left").crossJoin(F.broadcast(every))  # one row
+    sizes = sizes.select(F.struct("lang", "source").alias("ls"), F.when(large, own).when(whole, lang).otherwise("all").alias("g"), teaches.alias("teaches"))
     sizes = ws.save(sizes, "sizes")
-    grouped = base.alias("a").join(sizes.alias("b"), F.expr("a.ls <=> b.ls"), "left").select("a.*", F.coalesce("b.g", F.lit("all")).alias("g"))
+    grouped = base.alias("a").join(sizes.alias("b"), F.expr("a.ls <=> b.ls"), "left").select("a.*", "b.g", "b.teaches")
     grouped = ws.save(grouped, "grouped")
     ws.drop("base")
-    rows = grouped.where("not base_failed").select("g", *STATS)
-    rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("r")).where(F.col("r") >= least).select("g"), "g", "left_semi")
+    rows = grouped.where("not base_failed").select(F.explode("teaches").alias("g"), *STATS)
     middle = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}") for i, x in enumerate(STATS)))
     near = rows.join(middle, "g").select("g", *STATS, sum((((F.col(x) - F.col(f"c{i}")) / FLOORS[i]) ** 2 for i, x in enumerate(STATS)), F.lit(0.0)).alias("d"))
     for k in range(steps + 1):

@@ -70,6 +70,21 @@ def test_quality_keeps_clean(spark, sf_dir):
     assert not poor or sum(poor) < len(poor)
 
 
+def test_quality_of_rare_sources(spark):
+    words = [f"{a}{b}" for a in "bcdfghjklmnp" for b in ("ana", "elo", "iru", "omi", "usa")]
+    text = lambda i, n: " ".join(words[(i * 7 + k * (k + i % 5)) % len(words)] + "xyz"[k % 3] * (k // 50 % 3) for k in range(n))
+    odd = " ".join(f"{w}#$%&#$%&" for w in words[:30])
+    hot = [(i, text(i, 20 + i % 20), "en", "hot") for i in range(150)]
+    rare = [(1_000 + i, text(i, 20 + i % 20), "en", "rare") for i in range(5)] + [(1_005, odd, "en", "rare")]
+    other = [(2_000 + i, text(i, 20 + i % 20), "fr", "hot") for i in range(5)] + [(2_005, odd, "fr", "hot")]
+    kind = "doc_id long, text string, lang string, source string"
+    for rows, strange in ((hot + rare, {1_005}), (hot + rare + other, {1_005, 2_005}), (other, {2_005})):
+        found = quality_verdicts(spark.createDataFrame(rows, kind)).collect()
+        passing = [r for r in found if not r.base_failed]
+        assert len(found) == len(rows) and strange <= {r.doc_id for r in passing}
+        assert {r.doc_id for r in passing if not r.kept} == strange
+
+
 def test_scores(spark, sf_dir):
     docs = documents(spark, sf_dir)
     texts = [(r.doc_id, [*WORD.findall((r.text or "").translate(LOWER)), None]) for r in docs.collect()]
