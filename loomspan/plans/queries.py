@@ -189,6 +189,32 @@ def quality_assess(spark, sf):
     return _pseudo(spark, sf).select("doc_id", q.alias("q")).select("doc_id", "q.ok", "q.code")
 
 
+_WHOLE = """SELECT doc_id, text AS source, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN '  ' || text || ' ' WHEN 3 THEN 'pouze ' || text WHEN 4 THEN text || ' ěřů' ELSE text || ' ktorý iba' END AS translated FROM documents"""
+
+
+def _whole(spark, sf):
+    """Pairs like those of ``_pseudo``, made from whole texts."""
+    n, s = F.col("doc_id") % 6, F.col("text")
+    made = F.when(n == 0, s).when(n == 1, "").when(n == 2, F.concat(F.lit("  "), s, F.lit(" "))).when(n == 3, F.concat(F.lit("pouze "), s)).when(n == 4, F.concat(s, F.lit(" ěřů"))).otherwise(F.concat(s, F.lit(" ktorý iba")))
+    return _docs(spark, sf).select("doc_id", s.alias("source"), made.alias("translated"))
+
+
+@query(f"SELECT doc_id, {_FINE} AS fine FROM ({_WHOLE})")
+def legit_unchanged_texts(spark, sf):
+    return _whole(spark, sf).select("doc_id", quality.unchanged_is_fine(F.col("source"), F.col("translated")).alias("fine"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN trim(source) = '' OR trim(translated) = '' THEN 'empty_translation' WHEN {_SAME} AND {_LEN('source')} >= 12 AND NOT {_FINE} THEN 'unchanged_text' ELSE 'ok' END AS fast,
+  CASE WHEN trim(source) = '' OR trim(translated) = '' THEN 'empty_translation' WHEN {_SAME} AND {_LEN('source')} >= 6 AND NOT {_FINE} THEN 'unchanged_text'
+  WHEN list_has_any(regexp_extract_all({_NORM('translated')}, '[A-Za-zÀ-ž]+'), {list(quality.CZECH_WORDS)}) AND NOT list_has_any(regexp_extract_all({_NORM('translated')}, '[A-Za-zÀ-ž]+'), {list(quality.SLOVAK_WORDS)}) THEN 'czech_wording'
+  WHEN regexp_matches({_NORM('translated')}, '[{quality.CZECH_DIACRITICS}]') AND NOT regexp_matches({_NORM('translated')}, '[{quality.SLOVAK_DIACRITICS}]') THEN 'czech_diacritics' ELSE 'ok' END AS strict FROM ({_WHOLE})""")
+def quality_assess_texts(spark, sf):
+    """The gate on whole texts in both tiers."""
+    codes = [quality.assess(F.col("source"), F.col("translated"), F.lit(t))["code"].alias(t) for t in ("fast", "strict")]
+    return _whole(spark, sf).select("doc_id", *codes)
+
+
 @query("""
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zvedák->zdvihák,černý->čierny' WHEN 1 THEN '' WHEN 2 THEN 'šedý->sivý' ELSE '' END AS labels FROM documents""")
 def residual_lexemes(spark, sf):
