@@ -1,7 +1,8 @@
 """Token ids in files of directly addressable codes.
 
-A file row is one document: its doc_id, the bucket of its doc_id range, and ``codes``.  Codes split
-each id into chunks of eight bits.  Level k holds the k-th chunk of every id that has one, a bitmap
+Each folder ``bucket=k`` holds one range of doc_ids, in one file sorted by doc_id; ranges ascend with k.
+A file row is one document: its doc_id and ``codes``, stored plainly, neither compressed nor in a
+dictionary, so that a reader of one token decodes nothing else.  Codes split each id into chunks of eight bits.  Level k holds the k-th chunk of every id that has one, a bitmap
 that tells which of them go on, and a rank directory with the number of set bits before each block of
 512.  Any id is found from its place by one rank a level, without decoding others.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,10 @@ def unpack(codes: bytes) -> np.ndarray:
     return ids
 
 
+def token_count(codes: bytes) -> int:
+    return int.from_bytes(codes[4:8], "little")
+
+
 def token_at(codes: bytes, place: int) -> int:
     """The id at a place, by one rank a level."""
     out = 0
@@ -81,40 +87,100 @@ def token_at(codes: bytes, place: int) -> int:
     raise IndexError(place)
 
 
+@dataclass
+class _Ranges:
+    """Buckets of ascending doc_ids: where each range begins, its first bucket, and over how many its rows are spread."""
+
+    starts: list
+    first: list[int]
+    spread: list[int]
+    nulls: int
+
+    def bucket(self, key, tie: int) -> int:
+        """Rows of one doc_id that are too many for a file are spread by ``tie``, in its order."""
+        if key is None:
+            return tie * self.nulls >> 32
+        i = max(0, bisect_right(self.starts, key) - 1)
+        return self.first[i] + (tie * self.spread[i] >> 32)
+
+
+def _ranges(docs: DataFrame, rows_per_file: int) -> tuple[_Ranges, int]:
+    """Ranges of about ``rows_per_file`` rows by a range partitioning of the ids alone, and the number of buckets."""
+    spark = docs.sparkSession
+    parts = partitions_for(spark, docs.count(), rows_per_file)
+    placed = docs.select("doc_id", F.lit(0).alias("one")).repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id())
+    nulls = F.count_if(F.col("doc_id").isNull())
+    found = placed.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n"), nulls.alias("nulls")).orderBy("part").collect()  # a row a file
+    many = lambda n: max(1, -(-n // rows_per_file))
+    empty = many(sum(r.nulls for r in found))
+    own = [r for r in found if r.n]
+    spread = [many(r.n) if r.a == r.b else 1 for r in own]
+    first = [empty + sum(spread[:i]) for i in range(len(own))]
+    return _Ranges([r.a for r in own], first, spread, empty), empty + sum(spread)
+
+
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, rows_per_file: int = 200_000) -> None:
     """Encode every whole text, append ``end_id`` and write codes in ascending doc_id order.
 
-    Ranges of doc_id come from its quantiles, so each text is encoded once and dealt straight to its
-    file; rows within a file are sorted.  Equal doc_ids are ordered by the checksum of their ids.  A
-    null text is an empty one; rows without doc_id come first.
+    Each text is encoded once and dealt straight to the file of its doc_id; rows within a file are
+    sorted.  Equal doc_ids, of any type that Spark can sort, are ordered by the checksum of their ids,
+    and spread over several files by it if they are too many for one.  A null text is an empty one;
+    rows without doc_id come first.  No rows give an empty table.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = partitions_for(spark, docs.count(), rows_per_file)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))  # as many as there are files
+    ranges, buckets = _ranges(docs, rows_per_file)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             keys, codes, sums = batch["doc_id"], [], []
-            for text in batch["text"].to_pylist():
-                raw = enc.encode_bytes(text) + end
+            for ids in enc.encode_column(batch["text"]):
+                raw = ids + end
                 codes.append(pack(np.frombuffer(raw, np.uint32)))
                 sums.append(zlib.crc32(raw))
-            bucket = [0 if k is None else bisect_right(cuts, k) for k in keys.to_pylist()]
+            bucket = [ranges.bucket(k, t) for k, t in zip(keys.to_pylist(), sums, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array(sums, pa.int64()), pa.array(codes, pa.binary())], ["bucket", "doc_id", "tie", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     coded = docs.select("doc_id", "text").mapInArrow(encode, f"bucket int, doc_id {kind}, tie long, codes binary")
-    dealt = coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
-    dealt.write.option("compression", "zstd").parquet(out)
+    dealt = coded.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
+    plain = dealt.write.option("compression", "none").option("parquet.enable.dictionary", "false")
+    plain.partitionBy("bucket").parquet(f"{out}/ids")
+    # an empty table has no folders, hence no columns to be found
+    docs.sparkSession.createDataFrame([(kind,)], "doc_id string").write.mode("overwrite").json(f"{out}/kind")
+
+
+def open_token_files(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, tie, codes, bucket) of the files."""
+    kind = spark.read.schema("doc_id string").json(f"{out}/kind").first().doc_id
+    return spark.read.schema(f"doc_id {kind}, tie long, codes binary, bucket int").parquet(f"{out}/ids")
+
+
+def tokens_at(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, place, id) of single tokens: each row of ``wanted`` (doc_id, place) with the id at that place.
+
+    Only the documents asked for are read, by the files' ranges of doc_id, and of each only the bytes
+    on the way to its token.  A place past the end gives null; so does a document that is not there.
+    """
+    files = open_token_files(spark, out).select("doc_id", "codes")
+    kind = files.schema["doc_id"].dataType.simpleString()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for codes, place in zip(batch["codes"], batch["place"].to_pylist(), strict=True):
+                raw = codes.as_py()
+                ids.append(token_at(raw, place) if raw is not None and 0 <= place < token_count(raw) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["place"], pa.array(ids, pa.int64())], ["doc_id", "place", "id"])
+
+    found = wanted.select("doc_id", F.col("place").cast("long")).join(files, "doc_id", "left")
+    return found.select("doc_id", "place", "codes").mapInArrow(pick, f"doc_id {kind}, place long, id long")
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: start counts all ids of documents before it."""
     ws = Workspace(spark, "token_index")
-    files = spark.read.parquet(out)
+    files = open_token_files(spark, out)
     kind = files.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

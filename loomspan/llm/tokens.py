@@ -1,8 +1,9 @@
 """Exact byte-pair encoding in tasks: pieces between safe cuts are encoded once and remembered.
 
-A vocabulary file of the tokenizers library says what each text's ids are.  Most pieces are words
-seen before, so encoding a document is one dictionary look-up a word.  New pieces go to a rank-based
-encoder over the same vocabulary, or to the library itself if they hold anything unusual.
+A vocabulary file of the tokenizers library says what each text's ids are.  A column of texts is cut
+at spaces; each different piece of a slice of it is encoded once, all of them in one call, and the ids
+of the texts are gathered from that table.  Pieces go to a rank-based encoder over the same
+vocabulary, or to the library itself if they hold anything unusual.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -26,7 +29,10 @@ _ASCII_WORDS = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}"
 _PLAIN = re.compile(r"[\n\t -~À-ɏ‐-‧]*")
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-REMEMBERED = 150_000
+_UNUSUAL = r"[^ -~À-ɏ‐-‧]|<\|"
+REMEMBERED = 50_000
+#: Bytes of texts whose pieces are encoded together.
+SLICE = 8_000_000
 #: Unsplit pieces of more characters are encoded in halves.
 LEAF = 4_096
 
@@ -74,7 +80,7 @@ class Encoder:
                 continue
             stem = token.removesuffix(end) if end else token
             ranks[bytes(chars[c] for c in stem) + (b"A" if end and token.endswith(end) else b"")] = i
-        pattern = "[^A]*A" if self.word_ends else BYTE_PATTERN
+        pattern = "\n|[^A\n]*A" if self.word_ends else BYTE_PATTERN
         self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         if not self.word_ends:
             self.bytes_of = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
@@ -83,6 +89,7 @@ class Encoder:
             for text, i in self.special.items():
                 self.bytes_of[i] = text.encode()
         self.words = regex.compile(WORD_PATTERN)
+        self.line = self.ranked.encode_ordinary("\n")[0]
         self.first = _Pieces(self._piece, "")
         self.later = self.first if self.word_ends else _Pieces(self._piece, " ")
 
@@ -111,6 +118,74 @@ class Encoder:
         later = self.later.__getitem__
         return b"".join([self.first[parts[0]], *map(later, parts[1:])])
 
+    def _pieces(self, pieces: pa.Array, ascii_only: bool) -> list[np.ndarray]:
+        """ids of usual pieces, each behind a space, as one array, and how many each has."""
+        if self.word_ends:
+            joined = "\n".join(pieces.to_pylist()).lower()
+            joined = _ASCII_WORDS.sub(r"\g<0>A", joined) if ascii_only else self.words.sub(r"\g<0>A", joined)
+            # what is no word, white space aside from line ends, is not in these pieces
+            joined += "\n"
+        else:
+            joined = " " + "\n ".join(pieces.to_pylist()) + "\n"
+        ids = self.ranked.encode_to_numpy(joined, disallowed_special=())
+        ends = np.flatnonzero(ids == self.line)
+        return [np.delete(ids, ends), np.diff(ends, prepend=-1) - 1]
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """``encode_bytes`` of every text of an Arrow column."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, side="right")))
+            out += self._encode_slice(texts.slice(i, j - i))
+            i = j
+        return out
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        whole = texts.to_pylist()
+        split = pc.split_pattern(texts, " ")
+        flat, starts = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        coded = flat.dictionary_encode()
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        unusual = pc.match_substring_regex(pieces, _UNUSUAL).to_numpy(zero_copy_only=False)
+        plain = pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False)
+        long = pc.binary_length(pieces).to_numpy(zero_copy_only=False) > LEAF
+        ids, size, first = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        held = 0
+        for ascii_only in (True, False):
+            own = np.flatnonzero(~unusual & ~long & (plain == ascii_only))
+            if len(own):
+                found, n = self._pieces(pieces.take(pa.array(own)), ascii_only)
+                ids.append(found)
+                size[own], first[own] = n, held + np.cumsum(n) - n
+                held += len(found)
+        # pieces that only begin texts are encoded without a space before them, below
+        later = np.ones(len(flat), bool)
+        later[starts[:-1]] = False
+        needed = np.zeros(len(pieces), bool)
+        needed[at[later]] = True
+        for k in np.flatnonzero((unusual | long) & (needed | self.word_ends)).tolist():
+            found = np.frombuffer(self.later[pieces[k].as_py()], np.uint32)
+            ids.append(found)
+            size[k], first[k], held = len(found), held, held + len(found)
+        if not self.word_ends:
+            heads = [np.frombuffer(self.first[p] if p else b"", np.uint32) for p in flat.take(pa.array(starts[:-1])).to_pylist()]
+            n = np.array([len(h) for h in heads], np.int64)
+            at[starts[:-1]] = len(size) + np.arange(len(heads))
+            size, first = np.append(size, n), np.append(first, held + np.cumsum(n) - n)
+            ids += heads
+        table = np.concatenate([np.zeros(0, np.uint32), *ids])
+        n = size[at]
+        begin = np.append(0, np.cumsum(n))
+        raw = table[np.repeat(first[at] - begin[:-1], n) + np.arange(begin[-1])].tobytes()
+        cut = 4 * begin[starts]
+        # where a space follows white space, pieces do not begin at every space
+        return [self.encode_bytes(t) if _ODD.search(t) else raw[a:b] for t, a, b in zip(whole, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), np.uint32)
 
