@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import tidy
+
 SIZES = (1, 2, 3)
 #: Rows that a task holds as Python objects at a time.
 ROWS = 500
@@ -69,7 +71,7 @@ def learn_profiles(train: DataFrame, size: int = 400) -> list[tuple[str, int, in
     ``train`` has text and lang; rows with a null in either teach nothing.  Ties go to the smaller
     key.  The result holds ``size`` rows for each language at most.
     """
-    rows = train.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    rows = train.where("text is not null and lang is not null").select("lang", "text").mapInArrow(tidy(_count), "lang string, gram long, n long")
     counts = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return [(r.lang, r.gram, r.r - 1) for r in counts.select("lang", "gram", rank.alias("r")).where(F.col("r") <= size).collect()]
@@ -120,7 +122,7 @@ def identify_language(docs: DataFrame, profiles: list[tuple[str, int, int]], kee
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*passed).mapInArrow(predict, fields)
+    return docs.select(*passed).mapInArrow(tidy(predict), fields)
 
 
 def language_of_documents(docs: DataFrame, size: int = 400) -> DataFrame:

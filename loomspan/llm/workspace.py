@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,36 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` of mapInArrow or applyInArrow; its buffers go back to the system when it ends.
+
+    Python workers are used again by later tasks, and would hold what their largest task held.
+    """
+
+    def end(out):
+        if isinstance(out, Iterator):
+            return _until_end(out)
+        _trim()
+        return out
+
+    if run.__code__.co_argcount == 2:
+        return lambda left, right: end(run(left, right))
+    return lambda rows: end(run(rows))
+
+
+def _until_end(out: Iterator) -> Iterator:
+    yield from out
+    _trim()
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each has about ``rows_each`` rows, and never fewer than the session's default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
