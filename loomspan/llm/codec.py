@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import encoder, join_tree
+from .workspace import tidy
 
 #: Texts of more characters are cut into leaves of this many, each encoded in a task of its own.
 LEAF_CHARS = 65_536
@@ -33,10 +34,10 @@ def encode_texts(docs: DataFrame, path: str, keep: list[str], leaf_chars: int =
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            ids = pa.array([enc.encode_bytes(t) for t in batch["__text"].to_pylist()], pa.binary())
+            ids = pa.array(enc.encode_column(batch["__text"]), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, "ids"])
 
-    short = docs.where(F.coalesce(~long, F.lit(True))).mapInArrow(here, f"{fields}, ids binary")
+    short = docs.where(F.coalesce(~long, F.lit(True))).mapInArrow(tidy(here), f"{fields}, ids binary")
     leaves = docs.where(long).withColumn("__uid", F.monotonically_increasing_id())
     leaves = leaves.select(*keep, "__uid", F.expr(f"posexplode(transform(sequence(0, (length(__text) - 1) div {leaf_chars}), i -> substr(__text, i * {leaf_chars} + 1, {leaf_chars})))").alias("__leaf", "__text"))
     inner = [*keep, "__uid", "__leaf"]
@@ -44,10 +45,10 @@ def encode_texts(docs: DataFrame, path: str, keep: list[str], leaf_chars: int =
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            ids = pa.array([enc.encode_bytes(t) for t in batch["__text"].to_pylist()], pa.binary())
+            ids = pa.array(enc.encode_column(batch["__text"]), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*inner, "ids"])
 
-    encoded = leaves.repartition("__uid", "__leaf").mapInArrow(leaf, f"{fields}, __uid long, __leaf int, ids binary")
+    encoded = leaves.repartition("__uid", "__leaf").mapInArrow(tidy(leaf), f"{fields}, __uid long, __leaf int, ids binary")
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__leaf")
@@ -73,4 +74,4 @@ def encode_decode_digests(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHA
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return encode_texts(docs, path, ["doc_id"], leaf_chars).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_texts(docs, path, ["doc_id"], leaf_chars).mapInArrow(tidy(digest), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,18 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .workspace import Workspace
+from .workspace import Workspace, tidy
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
 class _Sums:
-    """Which lengths are there, and which sums pairs of them make, as bit sets over 0..capacity."""
+    """Which sums one, two and three available lengths make, and for each sum a combination that made it.
+
+    Sums go up to the capacity, so the index is addressed by the sum itself: three bit sets say which
+    sums exist, and ``found`` keeps the combination last used for a sum, good until a length runs out.
+    """
 
     def __init__(self, counts: list[int]):
         self.counts = counts
         self.singles = sum(1 << n for n, k in enumerate(counts) if k)
-        self.pairs, self.stale = 0, True
+        self.pairs = self.triples = 0
+        self.found: dict[int, tuple[int, ...]] = {}
+        self.stale = True
 
     def take(self, lengths: tuple[int, ...], times: int) -> None:
         for n in lengths:
@@ -36,6 +42,16 @@ class _Sums:
     def times(self, lengths: tuple[int, ...]) -> int:
         return min(self.counts[n] // lengths.count(n) for n in set(lengths))
 
+    def _index(self) -> None:
+        some = [n for n, k in enumerate(self.counts) if k]
+        mask = (1 << len(self.counts)) - 1
+        self.pairs = self.triples = 0
+        for n in some:
+            self.pairs |= self.singles << n & mask
+        for n in some:
+            self.triples |= self.pairs << n & mask
+        self.stale = False
+
     def pair(self, gap: int, beside: tuple[int, ...]) -> tuple[int, int] | None:
         for a in range(gap - 1, (gap - 1) // 2, -1):
             if self.counts[a] and self.counts[gap - a] and self.times((*beside, a, gap - a)):
@@ -46,18 +62,22 @@ class _Sums:
         """One, two or three available lengths that fill the gap beside ``length`` exactly."""
         if self.counts[gap] and self.times((length, gap)):
             return (gap,)
+        known = self.found.get(gap)
+        if known and self.times((length, *known)):
+            return known
         if self.stale:
-            self.pairs = 0
-            for a in range(1, len(self.counts)):
-                if self.counts[a]:
-                    self.pairs |= self.singles << a
-            self.stale = False
-        if self.pairs >> gap & 1 and (two := self.pair(gap, (length,))):
-            return two
-        for a in range(gap - 2, 0, -1):
-            if self.counts[a] and self.pairs >> (gap - a) & 1 and (two := self.pair(gap - a, (length, a))):
-                return (a, *two)
-        return None
+            self._index()
+        new = None
+        if self.pairs >> gap & 1:
+            new = self.pair(gap, (length,))
+        if new is None and self.triples >> gap & 1:
+            for a in range(gap - 2, 0, -1):
+                if self.counts[a] and self.pairs >> (gap - a) & 1 and (two := self.pair(gap - a, (length, a))):
+                    new = (a, *two)
+                    break
+        if new:
+            self.found[gap] = new
+        return new
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
@@ -125,8 +145,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
         enc, end = encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                raw = enc.encode_bytes(text.as_py()) + end
+            for key, ids in zip(batch["doc_id"].to_pylist(), enc.encode_column(batch["text"]), strict=True):
+                raw = ids + end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -135,27 +155,30 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch["doc_id"].type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, rows_per_salt: int = 500_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, rows_per_salt: int = 2_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     Texts are encoded once.  The driver sees only the histogram of lengths (``capacity`` rows) and
-    plans on it.  Pieces are numbered within their length over salted groups, so a length that very
-    many pieces share is numbered by many tasks; the number is the piece's seat in the plan.
-
-    A null or empty text is a piece of one id, the end.  Repeated rows are packed each.  Which of
-    several equally long pieces gets which seat follows a hash and then doc_id and piece; fully equal
-    rows are interchangeable.  No rows give no rows.  Other columns are ignored.
+    plans on it.  Pieces are numbered within their length over salted groups of about
+    ``rows_per_salt``, so a length that very many pieces share is numbered by many tasks; the number
+    is the piece's seat in the plan.
+
+    A null or empty text is a piece of one id, the end.  Repeated rows are packed each, rows without
+    doc_id like others.  Which of several equally long pieces gets which seat follows a hash and then
+    doc_id and piece; fully equal rows are interchangeable.  No rows give no rows.  Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     pieces = ws.save(cut_pieces(docs, path, capacity, end_id), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     seats = spark.sparkContext.broadcast(_seats(plan_packing(histogram, capacity)))
-    salts = max(1, sum(histogram.values()) // rows_per_salt)
-    salted = pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {salts}) as int)"))
+    # a row a length at most
+    salts = F.broadcast(spark.createDataFrame([(n, max(1, k // rows_per_salt)) for n, k in histogram.items()], "length long, salts long"))
+    salted = pieces.join(salts, "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), salts)"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
