@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, partitions_for
+from .workspace import Workspace, partitions_for, tidy
 
 #: Strings of at most so many values are ranked by one task.
 BASE = 100_000
@@ -62,7 +62,7 @@ def _name(triples: DataFrame, rows: int, enough: int, ws: Workspace, label: str)
             edge = pa.array([[*first, *last.tolist()]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([seen + 1]), pa.nulls(1, pa.int32()), edge], ["part", "block", "at", "name", "size", "edge"])
 
-    named = ws.save(_ordered(triples, ["t0", "t1", "t2"], rows).mapInArrow(local, "part int, block long, at long, name long, size int, edge array<long>"), label)
+    named = ws.save(_ordered(triples, ["t0", "t1", "t2"], rows).mapInArrow(tidy(local), "part int, block long, at long, name long, size int, edge array<long>"), label)
     before, total, last = [], 0, None
     for r in named.where("edge is not null").orderBy("part").select("part", "name", "edge").collect():  # one row a partition
         total -= last == r.edge[:3] and not r.edge[3]
@@ -87,7 +87,7 @@ def _merge_counts(rows: DataFrame, keys: list[str], n: int, ws: Workspace, label
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(t["block"]), pa.array(t["at"]), pa.array(own), pa.array(other)], ["part", "block", "at", "own", "other"])
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a]), pa.array([b])], ["part", "block", "at", "own", "other"])
 
-    counted = ws.save(_ordered(rows, keys, n).mapInArrow(local, "part int, block long, at long, own long, other long"), label)
+    counted = ws.save(_ordered(rows, keys, n).mapInArrow(tidy(local), "part int, block long, at long, own long, other long"), label)
     before, a, b = [], 0, 0
     for r in counted.where("block is null").orderBy("part").collect():  # one row a partition
         before.append((r.part, a, b))
@@ -122,7 +122,7 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
     """
     total = blocks.agg(F.sum(F.octet_length("names") / 8).cast("long")).first()[0] or 0
     if total <= base:
-        return blocks.select("block", "names").groupBy(F.lit(0).alias("all")).applyInArrow(_whole, "block long, ranks binary")
+        return blocks.select("block", "names").groupBy(F.lit(0).alias("all")).applyInArrow(tidy(_whole), "block long, ranks binary")
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +135,7 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
                 yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(t[at + 1]), pa.array(t[at + 2]), pa.array(np.full(len(at), block)), pa.array(at), pa.array(size[at])], ["t0", "t1", "t2", "block", "at", "size"])
 
     sampled = total // 3 * 2
-    named, distinct = _name(blocks.select("block", "names", "sizes").mapInArrow(triples, "t0 long, t1 long, t2 long, block long, at long, size int"), sampled, enough, ws, f"{label}_names")
+    named, distinct = _name(blocks.select("block", "names", "sizes").mapInArrow(tidy(triples), "t0 long, t1 long, t2 long, block long, at long, size int"), sampled, enough, ws, f"{label}_names")
 
     def shorter(rows: pa.Table) -> pa.Table:
         at, name, size = (rows[c].to_numpy() for c in ("at", "name", "size"))
@@ -147,7 +147,7 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
             r, size = np.append(r, pad), np.append(size, np.full(len(pad), enough, np.int32))
         return pa.table({"block": pa.array([block]), "names": pa.array([r.astype(np.int64).tobytes()], pa.binary()), "sizes": pa.array([size.astype(np.int32).tobytes()], pa.binary())})
 
-    shorter_string = ws.save(named.groupBy("block").applyInArrow(shorter, "block long, names binary, sizes binary"), f"{label}_string")
+    shorter_string = ws.save(named.groupBy("block").applyInArrow(tidy(shorter), "block long, names binary, sizes binary"), f"{label}_string")
     ws.drop(f"{label}_names")
     if distinct == sampled:
         samples = shorter_string.select("block", F.col("names").alias("ranks"))
@@ -188,6 +188,6 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
         out[at[~rest]] += a[~rest]
         return pa.table({"block": own["block"], "ranks": pa.array([out.tobytes()], pa.binary())})
 
-    out = ws.save(counts.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(merged, "block long, ranks binary"), f"{label}_ranks")
+    out = ws.save(counts.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(tidy(merged), "block long, ranks binary"), f"{label}_ranks")
     ws.drop(*(f"{label}_{x}" for x in ("string", "samples", "whole", "one", "two")))
     return out

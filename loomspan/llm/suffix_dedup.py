@@ -7,6 +7,8 @@ it are the same in both; the first lies less than ``WINDOW`` bytes from its star
 following ``RUN`` bytes or more are shared.  So phrases that occur once can go, and what is left is a
 much shorter string whose suffixes the difference-cover algorithm sorts.  Neighbours in that order that
 share a prefix of ``RUN`` bytes or more are the candidates.  Their bytes around the cut are then compared.
+The shared prefixes also say how long the stretches are that a text has in common with others, below
+``SPAN`` bytes, too.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .suffix_array import BASE, suffix_ranks
-from .workspace import Workspace, partitions_for, small_side
+from .workspace import Workspace, partitions_for, small_side, tidy
 
 SPAN, WINDOW, GRAM = 400, 160, 16
 RUN = SPAN + 2 - GRAM - 2 * WINDOW
@@ -49,6 +51,8 @@ def cuts(docs: textkit.Docs, sums: np.ndarray) -> np.ndarray:
     for e in docs.ends:  # grams that would cross into the next document
         gram[max(0, e - GRAM + 1) : e] = _TOP
     least = _slide(gram, WINDOW, True)
+    for e in docs.ends:  # windows that would, too
+        least[max(0, e - WINDOW + 1) : e] = 0
     most = _slide(np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)]), WINDOW, False)
     return np.flatnonzero((most[:n] == gram) & (gram != _TOP))
 
@@ -80,7 +84,7 @@ def _phrases(docs: DataFrame, buckets: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "hashes", "uids", "sizes", "offs", "lens"])
 
-    return docs.select("uid", "text").mapInArrow(run, "bucket int, hashes binary, uids binary, sizes binary, offs binary, lens binary")
+    return docs.select("uid", "text").mapInArrow(tidy(run), "bucket int, hashes binary, uids binary, sizes binary, offs binary, lens binary")
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
@@ -123,41 +127,66 @@ def _block(rows: pa.Table) -> pa.Table:
     np.cumsum(textkit.mix(name.astype(np.uint64)) * textkit._power("up", len(uid)), out=sums[1:])
     sign = np.zeros(len(uid), np.uint64)
     sign[ok] = textkit.spans(sums, np.flatnonzero(ok), reach[ok] + 1) | np.uint64(1)
+    stops = off + size
+    stops[ok] = end[reach[ok]]
     pad = lambda x: (lambda full: (full.__setitem__(at, x), full)[1])(np.zeros(n, x.dtype))
     sizes = np.full(n, RUN, np.int32)
     sizes[at] = size
-    cols = {"names": names, "sizes": sizes, "uids": pad(uid), "offs": pad(off), "signs": pad(sign)}
+    cols = {"names": names, "sizes": sizes, "uids": pad(uid), "offs": pad(off), "ends": pad(stops), "signs": pad(sign)}
     return pa.table({"block": pa.array([block])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in cols.items()})
 
 
 def _candidates(blocks: DataFrame, ranks: DataFrame, rows: int) -> DataFrame:
-    """(uid, off) of places whose neighbour in suffix order shares a prefix of RUN bytes or more."""
+    """(uid, off, end) of places whose neighbour in suffix order shares a prefix of RUN bytes or more, which ends at ``end``."""
+    fields = "uid long, off long, end long, edge long, twin boolean"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for u, o, s, r in zip(*(batch[c].to_pylist() for c in ("uids", "offs", "signs", "ranks")), strict=True):
-                u, o, s, r = np.frombuffer(u, np.int64), np.frombuffer(o, np.int64), np.frombuffer(s, np.int64), np.frombuffer(r, np.int64)
-                k = s != 0
-                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (r, s, u, o)], ["rank", "sign", "uid", "off"])
+            for row in zip(*(batch[c].to_pylist() for c in ("ranks", "signs", "uids", "offs", "ends")), strict=True):
+                r, s, *rest = (np.frombuffer(x, np.int64) for x in row)
+                yield pa.RecordBatch.from_arrays([pa.array(x[s != 0]) for x in (r, s, *rest)], ["rank", "sign", "uid", "off", "end"])
 
     def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far; rows at a partition's edges stay candidates
+        def rows(cols: list[np.ndarray], twin: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            some = twin | edge
+            sign = pa.array(cols[0][some], mask=~edge[some])
+            return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in cols[1:]), sign, pa.array(twin[some])], names)
+
+        held, first = None, True  # the last row so far, and whether it shares with the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, u, o = (batch[c].to_numpy() for c in ("sign", "uid", "off"))
+            cols = [batch[c].to_numpy() for c in ("sign", "uid", "off", "end")]
+            before = False
             if held is not None:
-                s, u, o = np.append(held[0], s), np.append(held[1], u), np.append(held[2], o)
-            same = s[1:] == s[:-1]
-            twin = np.append(same, False) | np.append(held[3] if held is not None else True, same)
-            held = (s[-1], u[-1], o[-1], bool(twin[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(u[:-1][twin[:-1]]), pa.array(o[:-1][twin[:-1]])], ["uid", "off"])
+                cols, before = [np.append(h, c) for h, c in zip(held[0], cols, strict=True)], held[1]
+            same = cols[0][1:] == cols[0][:-1]
+            twin = np.append(before, same) | np.append(same, False)
+            edge = np.zeros(len(twin), bool)
+            edge[0] = first
+            if len(twin) > 1:
+                yield rows([c[:-1] for c in cols], twin[:-1], edge[:-1])
+                first = False
+            held = [c[-1:] for c in cols], bool(twin[-1])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[1]]), pa.array([held[2]])], ["uid", "off"])
+            yield rows(held[0], np.array([held[1]]), np.array([True]))
 
-    spots = blocks.join(ranks, "block").select("uids", "offs", "signs", "ranks").mapInArrow(spread, "rank long, sign long, uid long, off long")
+    spots = blocks.join(ranks, "block").select("uids", "offs", "ends", "signs", "ranks").mapInArrow(tidy(spread), "rank long, sign long, uid long, off long, end long")
     parts = partitions_for(blocks.sparkSession, rows, 500_000)
-    return spots.repartitionByRange(parts, "rank").sortWithinPartitions("rank").mapInArrow(adjacent, "uid long, off long")
+    return spots.repartitionByRange(parts, "rank").sortWithinPartitions("rank").mapInArrow(tidy(adjacent), fields)
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """``found`` without the first and last places of ranges of ranks whose neighbour beyond shares nothing: two rows a range."""
+    beyond = found.where("edge is not null").groupBy("edge").agg((F.count("*") > 1).alias("met"))
+    return found.join(F.broadcast(beyond), "edge", "left").where("twin or met").select("uid", "off", "end")
+
+
+#: Of sorted ranges (off, end) the longest stretch that they cover without a gap.
+_LONGEST = """aggregate(s, named_struct('a', 0L, 'b', -1L, 'most', 0L), (x, r) -> if(r.off <= x.b,
+    named_struct('a', x.a, 'b', greatest(x.b, r.end), 'most', greatest(x.most, greatest(x.b, r.end) - x.a)),
+    named_struct('a', r.off, 'b', r.end, 'most', greatest(x.most, r.end - r.off))), x -> x.most)"""
 
 
 _LEFT = WINDOW - 1
@@ -189,7 +218,7 @@ def _contexts(docs: DataFrame, raw: bool) -> DataFrame:
                     cols = [*map(pa.array, (core, ctx, h1, h2, p - d.starts[owner], (p - lo).astype(np.int32), (hi - p).astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields.split(", ")])
 
-    return docs.select("h1", "h2", "text", "offs").mapInArrow(run, fields)
+    return docs.select("h1", "h2", "text", "offs").mapInArrow(tidy(run), fields)
 
 
 def _window_keys(core: np.ndarray, left: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,14 +273,15 @@ def _extents_of_large(rows: DataFrame) -> DataFrame:
                 i, a = np.nonzero(there)
                 yield pa.RecordBatch.from_arrays([pa.array(core[i]), pa.array(ctx[i]), pa.array(a.astype(np.int32)), pa.array(keys[i, a].astype(np.int64))], ["core", "ctx", "a", "key"])
 
-    spots = rows.select("core", "ctx", "l", "raw").mapInArrow(spread, "core long, ctx long, a int, key long")
+    spots = rows.select("core", "ctx", "l", "raw").mapInArrow(tidy(spread), "core long, ctx long, a int, key long")
     twins = spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return spots.join(twins, "key").groupBy("core", "ctx").agg(F.max("a").alias("most"), F.min("a").alias("least"))
 
 
-def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(copied, spans): contents that several rows have, and for each
-    other content the byte ranges that are covered by strings of SPAN bytes found elsewhere.
+def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(copied, spans, shared): contents that several rows have; for each
+    other content the byte ranges that are covered by strings of SPAN bytes found elsewhere; and for each
+    content (h1, longest) the longest stretch of whole phrases that neighbours in suffix order share.
 
     Contents of several rows are one content here; if they have SPAN bytes or more, all of them repeat.
     """
@@ -265,18 +295,19 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     buckets = partitions_for(docs.sparkSession, size // (WINDOW // 2), 1_000_000)
     # of copies, the row with the least doc_id stands for all
     held = hashed.where(F.col("n_bytes") >= SPAN).join(small_side(copied.select("h1", "h2", "first")), ["h1", "h2"], "left").where("first is null or doc_id <=> first").select("h1", "h2", F.col("h1").alias("uid"), "text")
-    kept = _phrases(held, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "uid long, off int, len int, name long")
+    kept = _phrases(held, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy(_repeated), "uid long, off int, len int, name long")
     kept = ws.save(kept, "kept")
     places = kept.count()
     blocks = partitions_for(docs.sparkSession, places, 500_000)
-    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(_block, "block long, names binary, sizes binary, uids binary, offs binary, signs binary")
+    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(tidy(_block), "block long, names binary, sizes binary, uids binary, offs binary, ends binary, signs binary")
     string = ws.save(string, "string")
     ws.drop("kept")
     ranks = suffix_ranks(string.select("block", "names", "sizes"), ws, base=base, enough=RUN)
-    spots = _candidates(string, ranks, places).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.col("off").cast("int"))).alias("offs"))
-    spots = ws.save(spots.select("uid", "offs"), "spots")
+    places = ws.save(_candidates(string, ranks, places), "places")
+    spots = _settled(places).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("off", "end"))).alias("s"))
+    spots = ws.save(spots.select("uid", F.expr("transform(s, r -> cast(r.off as int))").alias("offs"), F.expr(_LONGEST).alias("longest")), "spots")
     ws.drop("string")
-    contexts = ws.save(_contexts(held.join(_small_lists(spots), "uid"), False), "contexts")
+    contexts = ws.save(_contexts(held.join(_small_lists(spots.select("uid", "offs")), "uid"), False), "contexts")
     place = F.struct("h1", "h2", "off")
     groups = contexts.groupBy("core", "ctx").agg(F.min(place).alias("one"), F.max(place).alias("two"), F.first("l").alias("l"), F.first("r").alias("r"))
     groups = ws.save(groups, "groups")
@@ -288,14 +319,14 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     shown = ws.save(shown.join(spread.select("core", "ctx", "k").distinct(), ["core", "ctx"]).dropDuplicates(["core", "ctx"]), "shown")
     parts = partitions_for(docs.sparkSession, shown.count(), 20_000)
     some = shown.where(F.col("k") <= large).withColumn("chunk", F.expr(f"pmod(xxhash64(core), {parts})"))
-    extents = some.groupBy("chunk").applyInArrow(_extents, "core long, ctx long, most int, least int")
+    extents = some.groupBy("chunk").applyInArrow(tidy(_extents), "core long, ctx long, most int, least int")
     extents = extents.unionByName(_extents_of_large(shown.where(F.col("k") > large)))
     partial = extents.select("core", "ctx", F.col("most").alias("lo"), (F.lit(SPAN) - F.col("least")).alias("hi"))
     verdicts = full.unionByName(partial).groupBy("core", "ctx").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     verdicts = small_side(ws.save(verdicts, "verdicts"))
     found = contexts.join(verdicts, ["core", "ctx"]).select("h1", "h2", F.struct((F.col("off") - F.col("lo")).alias("a"), (F.col("off") + F.col("hi")).alias("b")).alias("s"))
     spans = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("s")).alias("s")).mapInArrow(_joined, "h1 long, h2 long, spans binary")
-    return copied, ws.save(spans, "spans")
+    return copied, ws.save(spans, "spans"), spots.select(F.col("uid").alias("h1"), "longest")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +348,13 @@ def _small_lists(lists: DataFrame, most: int = 64 << 20) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id or the ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept_text.
+    """doc_id or the ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, longest_shared, and with ``with_text`` kept_text.
 
     Each byte that is covered by a string of SPAN (400) bytes that also starts anywhere else, in the same
     document or another, is removed; strings never cross documents and are judged on the input.
-    kept_text is the rest as text; bytes that a cut character leaves are dropped from it.
+    kept_text is the rest as text; bytes that a cut character leaves are dropped from it.  longest_shared
+    is the longest stretch, in bytes, of whole phrases that occur elsewhere in runs of RUN bytes or more; it
+    tells of repeated passages that are too short to be removed.
 
     A null text is an empty one, from which nothing is removed.  Texts under SPAN bytes stay whole.
     Repeated rows lose everything from SPAN bytes on.  No rows give no rows.  Extra columns may have any names.
@@ -329,18 +362,18 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
     ws = Workspace(docs.sparkSession, "repeats")
     keep = keep or ["doc_id"]
     inner = [f"k{i}" for i in range(len(keep))]
-    copied, spans = repeated_spans(docs.select("doc_id", "text"), ws, base)
+    copied, spans, shared = repeated_spans(docs.select("doc_id", "text"), ws, base)
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), raw.alias("text"), F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2"))
     rows = rows.join(small_side(copied.select("h1", "h2", "copies")), ["h1", "h2"], "left")
-    rows = rows.join(small_side(spans), ["h1", "h2"], "left")
-    fields = [*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, inner, strict=True)), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept_text string"]
+    rows = rows.join(small_side(spans), ["h1", "h2"], "left").join(small_side(shared), "h1", "left")
+    fields = [*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, inner, strict=True)), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "longest_shared long", "kept_text string"]
     names = [f.split()[0] for f in fields]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, copies, spans in zip(batch["text"].cast(pa.binary()), batch["copies"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for text, copies, spans, longest in zip(batch["text"].cast(pa.binary()), *(batch[c].to_pylist() for c in ("copies", "spans", "longest")), strict=True):
                 data = text.as_py()
                 n = len(data)
                 ranges = [(0, n)] if copies is not None and n >= SPAN else np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist()
@@ -350,11 +383,11 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
                     removed, at = removed + b - a, b
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((n, removed, len(ranges), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((n, removed, len(ranges), hashlib.sha256(rest).hexdigest(), n if ranges == [(0, n)] else max(longest or 0, max((b - a for a, b in ranges), default=0)), rest.decode("utf-8", "ignore") if with_text else None))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in inner), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    out = rows.select(*inner, "text", "copies", "spans").mapInArrow(cut, ", ".join(fields))
-    tail = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
+    out = rows.select(*inner, "text", "copies", "spans", "longest").mapInArrow(tidy(cut), ", ".join(fields))
+    tail = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_shared", *(["kept_text"] if with_text else [])]
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)), *tail)
