@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, small_side
 
 STATS = ("x0", "x1", "x2", "x3")
-#: Least standard deviation of each statistic: below it, differences are rounding and not shape.
+#: Least standard deviation of each statistic, added to every covariance.  On its logarithmic scale a
+#: statistic moves by as much between texts that do not differ in kind: a quarter in length, a twelfth
+#: in the length of words, a symbol in about 400 words, a word in about 120 repeated.
 FLOORS = (0.25, 0.08, 0.25, 0.15)
+#: Share of rows that an estimate rests on, concentration steps, and the starts among which the least
+#: determinant chooses.
+SHARE, STEPS, STARTS = 0.75, 3, ("medians", "means", "deviations")
+#: Whatever the distribution, at most p / k of its rows lie beyond a squared Mahalanobis distance of k
+#: (Chebyshev's inequality in p dimensions).  Statistics of texts have heavy tails, so this and not the
+#: chi-square quantile gives the cutoff: one row in 30 at the most.
+CUTOFF = 30.0 * len(STATS)
+
+
+def _chi_square(x: float, p: int) -> float:
+    """P(chi-square of p, an even number of degrees, <= x)."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(p // 2))
+
+
+def consistency(p: int, share: float) -> float:
+    """What turns distances by the covariance of the nearest ``share`` of normal rows into those by that of all."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi_square(mid, p) < share else (low, mid)
+    return _chi_square(low, p + 2) / share
+
+
+def transformed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int) -> list[float]:
+    """The statistics of one row, as ``_statistics`` gives them for columns."""
+    w = max(1, n_words)
+    return [math.log1p(n_words), math.log1p(word_chars / w), math.log1p(100 * n_symbols / w), math.log1p(20 * n_repeat_words / w + n_dup_lines / 4)]
+
+
+def _statistics() -> list[Column]:
+    words = F.greatest("n_words", F.lit(1))
+    return [
+        F.log1p("n_words").alias("x0"),
+        F.log1p(F.col("word_chars") / words).alias("x1"),
+        F.log1p(100 * F.col("n_symbols") / words).alias("x2"),
+        F.log1p(20 * F.col("n_repeat_words") / words + F.col("n_dup_lines") / F.lit(4.0)).alias("x3"),
+    ]
 
 
 def _base(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -41,24 +82,27 @@ def _base(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the floored covariance of each group."""
+    """Mean and the Cholesky factor of the floored covariance of each group and start, with the factor's determinant."""
     p = len(STATS)
     aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
     aggs += [F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(F.count("*").alias("rows"), *aggs)
+    out = rows.groupBy("g", "start").agg(*aggs)
     for i in range(p):
         for j in range(i + 1):
-            rest = F.col(f"s{i}{j}")
+            rest = F.col(f"s{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # adding the floor's square keeps the matrix positive definite if a statistic is constant
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+            # with the floor's square added the matrix is positive definite, but for rounding
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    det = F.col("l00")
+    for i in range(1, p):
+        det = det * F.col(f"l{i}{i}")
+    return out.select("g", "start", det.alias("det"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
-def _distances(rows: DataFrame, moments: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, moments: DataFrame, on: list[str]) -> DataFrame:
     """Adds d, the squared Mahalanobis distance, by forward substitution; 0 where a group has no estimate."""
-    out = rows.join(moments, "g", "left")
+    out = rows.join(moments, on, "left")
     d: Column = F.lit(0.0)
     for i, x in enumerate(STATS):
         z = F.col(x) - F.col(f"m{i}")
@@ -69,31 +113,58 @@ def _distances(rows: DataFrame, moments: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.coalesce(d, F.lit(0.0)).alias("d"))
 
 
-def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: float = 180.0, share: float = 0.75, steps: int = 3, least: int = 100) -> DataFrame:
+def _started(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """``rows`` once for each start, with d, what the start takes for their distance.
+
+    medians: from the medians, in floors.  means: from the means, in standard deviations.  deviations:
+    the largest from the medians, in median deviations.
+    """
+    apart = lambda i, x: F.col(x) - F.col(f"c{i}")
+    each = [(F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}")) for i, x in enumerate(STATS)]
+    middle = small_side(ws.save(rows.groupBy("g").agg(*(x for three in each for x in three)), "middle"))
+    placed = rows.join(middle, "g")
+    spread = placed.groupBy("g").agg(*(F.percentile_approx(F.abs(apart(i, x)), 0.5, 10_000).alias(f"e{i}") for i, x in enumerate(STATS)))
+    placed = placed.join(small_side(ws.save(spread, "spread")), "g")
+    medians = sum(((apart(i, x) / FLOORS[i]) ** 2 for i, x in enumerate(STATS)), F.lit(0.0))
+    means = sum(((F.col(x) - F.col(f"a{i}")) ** 2 / (F.col(f"v{i}") + FLOORS[i] ** 2) for i, x in enumerate(STATS)), F.lit(0.0))
+    deviations = F.greatest(*(F.abs(apart(i, x)) / (1.4826 * F.col(f"e{i}") + FLOORS[i]) for i, x in enumerate(STATS)))
+    starts = [F.struct(F.lit(k).alias("start"), d.alias("d")) for k, d in enumerate((medians, means, deviations))]
+    return placed.select("g", *STATS, F.inline(F.array(*starts)))
+
+
+def _estimates(rows: DataFrame, ws: Workspace, share: float, steps: int) -> DataFrame:
+    """For each group the minimum-covariance-determinant estimate that concentration steps reach from several starts."""
+    near = _started(rows, ws)
+    starts = rows.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(len(STARTS))))))
+    for k in range(steps + 1):
+        edge = near.groupBy("g", "start").agg(F.percentile_approx("d", share, 10_000).alias("edge"))
+        inside = near.join(small_side(ws.save(edge, f"edge{k}")), ["g", "start"]).where("d <= edge")
+        moments = small_side(ws.save(_moments(inside), f"moments{k}"))  # a row a group and start
+        near = _distances(starts, moments, ["g", "start"])
+    held = [c for c in moments.columns if c not in ("g", "det")]
+    best = moments.groupBy("g").agg(F.min_by(F.struct(*held), F.struct(F.round("det", 12), "start")).alias("best"))
+    return best.select("g", "best.*").drop("start")
+
+
+def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, least: int = 100) -> DataFrame:
     """``keep`` columns, the base statistics, base_failed, distance and kept, one row for each input row.
 
     Groups are (lang, source).  Groups of fewer than ``least`` rows are held against the estimate of all
     rows of their language, and those of languages of fewer rows against that of all rows, however few
-    these are.  For each estimate, the minimum-covariance-determinant estimate starts from the
-    ``share`` of rows nearest to the medians and is refined by ``steps`` concentration steps, each of
-    which keeps the share at the smallest distance.  Rows of more than ``cutoff`` squared distance are
+    these are.  For each estimate, ``steps`` concentration steps, each of which keeps the ``share`` of rows
+    at the smallest distance, lead from each of STARTS to a covariance, and the least determinant
+    wins.  Distances are corrected for the share.  Rows of more than ``cutoff`` squared distance are
     rejected, as are those that fail the base rules.  Rows that fail them are no part of any estimate.
 
     Null or empty texts have no words and fail.  A null lang or source is a value like any other.
-    Ties at the share's edge are all inside.  No rows give no rows.  Extra columns are ignored.
+    Ties at the share's edge are all inside, equal determinants go to the first start.  Repeated rows
+    are judged alike.  No rows give no rows.  Extra columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "quality")
     keep = keep or ["doc_id"]
     inner = [f"k{i}" for i in range(len(keep))]
     base = _base(docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), F.struct("lang", "source").alias("ls"), "text"), [*inner, "ls"])
-    words = F.greatest("n_words", F.lit(1))
-    base = base.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).select(
-        "*",
-        F.log1p("n_words").alias("x0"),
-        F.log1p(F.col("word_chars") / words).alias("x1"),
-        F.log1p(100 * F.col("n_symbols") / words).alias("x2"),
-        F.log1p(20 * F.col("n_repeat_words") / words + F.col("n_dup_lines") / F.lit(4.0)).alias("x3"),
-    )
+    base = base.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).select("*", *_statistics())
     base = ws.save(base, "base")
     sizes = base.groupBy("ls").agg(F.count_if(~F.col("base_failed")).alias("rows"))
     langs = sizes.groupBy(F.col("ls.lang").alias("pool_lang")).agg(F.sum("rows").alias("pool"), F.min("rows").alias("fewest"))
@@ -105,17 +176,12 @@ def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: flo
     sizes = sizes.select("ls.lang", "ls.source", "rows").join(langs, F.expr("lang <=> pool_lang"), "left").crossJoin(F.broadcast(every))  # one row
     sizes = sizes.select(F.struct("lang", "source").alias("ls"), F.when(large, own).when(whole, lang).otherwise("all").alias("g"), teaches.alias("teaches"))
     sizes = ws.save(sizes, "sizes")
-    grouped = base.alias("a").join(sizes.alias("b"), F.expr("a.ls <=> b.ls"), "left").select("a.*", "b.g", "b.teaches")
+    grouped = base.alias("a").join(small_side(sizes).alias("b"), F.expr("a.ls <=> b.ls"), "left").select("a.*", "b.g", "b.teaches")
     grouped = ws.save(grouped, "grouped")
     ws.drop("base")
     rows = grouped.where("not base_failed").select(F.explode("teaches").alias("g"), *STATS)
-    middle = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}") for i, x in enumerate(STATS)))
-    near = rows.join(middle, "g").select("g", *STATS, sum((((F.col(x) - F.col(f"c{i}")) / FLOORS[i]) ** 2 for i, x in enumerate(STATS)), F.lit(0.0)).alias("d"))
-    for k in range(steps + 1):
-        edge = near.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("edge"))
-        moments = ws.save(_moments(near.join(edge, "g").where("d <= edge")), f"moments{k}")
-        near = _distances(rows, moments)
-    out = _distances(grouped, moments)
+    out = _distances(grouped, small_side(ws.save(_estimates(rows, ws, share, steps), "estimates")), ["g"])
+    out = out.withColumn("d", F.col("d") * consistency(len(STATS), share))
     return out.select(
         *(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
