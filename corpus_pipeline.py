@@ -34,15 +34,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the base rules or are outliers of their language and source go.  Ties and copies fare alike."""
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__h"))
-    verdicts = quality_verdicts(keyed.withColumnRenamed("__h", "h"), ["doc_id", "h"])
-    good = small_side(verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__k")))
+    verdicts = Workspace(spark, "verdicts").save(quality_verdicts(keyed.withColumnRenamed("__h", "h"), ["doc_id", "h"]).where("kept"), "kept")
+    good = small_side(verdicts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__k")))
     return keyed.join(good, F.expr("doc_id <=> __id and __h = __k"), "left_semi").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row with the least doc_id stays; rows without doc_id stay."""
-    found = ngram_jaccard_components(docs)
-    gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")))
+    found = ngram_jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    gone = small_side(Workspace(spark, "duplicates").save(found, "gone"))
     return docs.join(gone, F.expr("doc_id = __id"), "left_anti").select(*COLUMNS)
 
 
