@@ -1,9 +1,9 @@
 """Brown class-based bigram scores: exchange clustering of words, class transitions and word emissions.
 
-A word's class comes from exchange clustering over the counts of all word pairs of the training texts.
-Every word of the training texts takes part, however rare.  Words, their counts, classes and neighbours
-are kept in Spark, dealt by word: before each pass, the owners of words send the classes to those
-buckets where the words are neighbours.  Only tables of classes by classes are broadcast.
+Words that make up at least a share of the training tokens, a bounded number of them, exchange classes by
+the counts of all pairs of them.  Every other training word, however rare, then takes the class that its
+own neighbours make most likely; that is done where the word's count is, so nothing grows on the driver.
+Class pairs are counted over all training texts with the classes of all words.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .workspace import Workspace, partitions_for
+from .workspace import Workspace, partitions_for, tidy
 
 #: Stands for the end of a text among word hashes.
 END = np.uint64(1)
@@ -95,24 +95,24 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
 
 
 @dataclass
-class ClassModel:
-    """What scoring needs: words with counts and classes, dealt by word, and tables of classes by classes."""
+class Core:
+    """Words that exchanged classes, and what is known of classes then; the last class is that of all other words."""
 
-    words: DataFrame  # bucket, keys (sorted hashes), counts, classes
-    transitions: np.ndarray  # log10 P(class | class before), last of unknown words
+    words: np.ndarray  # sorted hashes, at most 1 / share
+    classes: np.ndarray
+    log: np.ndarray  # log P(class | class before)
     sizes: np.ndarray  # tokens of each class
-    members: np.ndarray  # words of each class
-    tokens: int
-    distinct: int
 
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and whether it has exchanged."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        return np.where(known, self.classes[at], len(self.sizes) - 1), known
 
-def _transitions(pairs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """P(class | class before), smoothed towards the classes' own shares.
 
-    Shares weigh as much as there are different word pairs in a row (Witten and Bell): rare words fit
-    the classes to single pairs, and rows of many such pairs say less about texts not seen.
-    """
-    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + len(pairs))
+def _transitions(pairs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """P(class | class before), smoothed towards the classes' own shares, which weigh as much as ``kinds``."""
+    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + pairs.shape[1])
     return (pairs + (kinds[:, None] + 1) * share) / (pairs.sum(axis=1, keepdims=True) + kinds[:, None] + 1)
 
 
@@ -127,287 +127,355 @@ def _unpack(x: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(x[0], n).T).view(f"u{x[0]}").ravel().astype(np.int64)
 
 
-_PAIRS = "bucket int, side int, own binary, runs binary, other binary, at binary, n binary, pairs long"
-_CONTEXTS = "bucket int, keys binary, others binary, rruns binary, rat binary, rn binary, lruns binary, lat binary, ln binary"
-
-
-def _pair_rows(words: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, side: int, buckets: int) -> Iterator[tuple]:
-    """Rows of ``_PAIRS`` of counted pairs (words[x], words[y]), dealt by words[x]; each own word has a run of others."""
-    deal = (words % np.uint64(buckets)).astype(np.int64)[x]
-    order = np.lexsort((y, x, deal))
-    x, y, n, deal = x[order], y[order], n[order], deal[order]
-    cut = np.searchsorted(deal, np.arange(buckets + 1))
-    for b in range(buckets):
-        lo, hi = cut[b], cut[b + 1]
-        if lo < hi:
-            own, runs = np.unique(x[lo:hi], return_counts=True)
-            other, at = np.unique(y[lo:hi], return_inverse=True)
-            yield b, side, words[own].tobytes(), _pack(runs), words[other].tobytes(), _pack(at), _pack(n[lo:hi]), int(hi - lo)
-
+def _sums(found: DataFrame, n: int) -> np.ndarray:
+    """Totals of (cell, x): ``n`` numbers."""
+    out = np.zeros(n)
+    for r in found.groupBy("cell").agg(F.sum("x").alias("x")).collect():
+        out[r.cell] = r.x
+    return out
 
-def _side(rows: list[tuple], keys: np.ndarray, others: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Runs, places among ``others`` and counts of all pairs of ``rows``, merged."""
-    c, k = _Counter(), max(1, len(others))
-    rank = np.argsort(others, kind="stable")
-    for own, runs, other, at, n, m in rows:
-        own, other = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-        x = np.repeat(np.searchsorted(keys, own), _unpack(runs, len(own)))
-        y = rank[np.searchsorted(others, other, sorter=rank)][_unpack(at, m)]
-        c.add((x * k + y).astype(np.uint64), _unpack(n, m))
-    pairs, n = c.merge()
-    pairs = pairs.astype(np.int64)
-    return _pack(np.bincount(pairs // k, minlength=len(keys))), _pack(pairs % k), _pack(n)
 
+def _cells(out: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(out)
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some].astype(np.int64))], ["cell", "x"])
 
-def word_contexts(train: DataFrame, buckets: int) -> DataFrame:
-    """One row for each bucket of words: its words and, with counts, all words that follow and precede each.
 
-    ``others`` are the bucket's own words and all their neighbours, ordered by their own buckets and hashes;
-    neighbours are places in it.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            words, ids = np.unique(np.concatenate(held), return_inverse=True)
-            end, k = int(np.searchsorted(words, END)), len(words)
-            pairs, n = np.unique(np.append(end, ids[:-1]) * k + ids, return_counts=True)
-            x, y = pairs // k, pairs % k
-            rows = [*_pair_rows(words, x, y, n, 0, buckets), *_pair_rows(words, y, x, n, 1, buckets)]
-            held.clear()
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "side", "own", "runs", "other", "at", "n", "pairs"])
-
-        for batch in batches:
-            for docs in textkit.slices(batch["text"]):
-                held.append(_tokens(docs)[0])
-                if sum(map(len, held)) > _HELD:
-                    yield flush()
-        if sum(map(len, held)):
-            yield flush()
-
-    def merge(rows: pa.Table) -> pa.Table:
-        cols = [rows[c].to_pylist() for c in ("own", "runs", "other", "at", "n", "pairs")]
-        side = rows["side"].to_numpy()
-        every = list(zip(*cols, strict=True))
-        right, left = ([r for r, k in zip(every, side, strict=True) if k == want] for want in (0, 1))
-        keys = np.unique(np.concatenate([np.frombuffer(r[0], np.uint64) for r in every]))
-        others = np.unique(np.concatenate([keys, *(np.frombuffer(r[2], np.uint64) for r in every)]))
-        others = others[np.argsort(others % np.uint64(buckets), kind="stable")]
-        parts = [keys.tobytes(), others.tobytes(), *_side(right, keys, others), *_side(left, keys, others)]
-        return pa.table({"bucket": rows["bucket"][:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("keys", "others", "rruns", "rat", "rn", "lruns", "lat", "ln"), parts, strict=True)}})
-
-    return train.select("text").mapInArrow(count, _PAIRS).groupBy("bucket").applyInArrow(merge, _CONTEXTS)
-
-
-def learn_classes(train: DataFrame, counts: DataFrame, ws: Workspace, classes: int = 96, sweeps: int = 8, buckets: int = 24) -> ClassModel:
+def learn_core(train: DataFrame, counts: DataFrame, ws: Workspace, classes: int = 96, share: float = 1 / 32768, sweeps: int = 8) -> Core:
     """Exchange clustering: each sweep moves words to the class at which the likelihood of all pairs is greatest.
 
-    Sweeps see fixed class counts and move one half of the words in turn, so that a sweep runs in
-    parallel over words.  The end of a text has a class of its own, and so have words that training
-    texts lack; behind that class follows what follows words that occur once.
+    Words of at least ``share`` of the tokens take part.  Sweeps see fixed class counts and move one half
+    of the words in turn, so that a sweep runs in parallel over words.  The end of a text has a class of
+    its own, and so have all other words for now.
     """
     spark = train.sparkSession
-    total = counts.agg(F.sum("n"), F.sum("v")).first()
-    tokens, distinct = int(total[0] or 0), int(total[1] or 0)
-    kind, cells = np.uint8 if classes <= 256 else np.uint16, classes * classes
-
-    # what each pass reads stays dealt by bucket, so that a pass shuffles classes only
-    contexts = ws.save(word_contexts(train, buckets), "contexts")
-    ws.release()
-    contexts = contexts.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for owner, others in zip(batch["bucket"].to_pylist(), batch["others"].to_pylist(), strict=True):
-                others = np.frombuffer(others, np.uint64)
-                cut = np.searchsorted((others % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
-                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([owner] * len(own), pa.int32()), pa.array([others[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary())], ["bucket", "owner", "words"])
-
-    asked = contexts.select("bucket", "others").mapInArrow(ask, "bucket int, owner int, words binary")
-    asked = asked.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    tokens = int(counts.agg(F.sum("n")).first()[0] or 0)
+    buckets = partitions_for(spark, tokens, 5_000_000)
+    least = max(1, tokens * share)
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, k, n in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            for k, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
                 k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                # the most frequent words start in classes of their own, the others in turn
-                c = np.zeros(len(k), kind)
-                c[np.argsort(-n, kind="stable")] = (np.arange(len(k)) * buckets + b) % (classes - 2) + 1
-                c[k == END] = 0
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([0])], ["bucket", "keys", "counts", "classes", "moved"])
-
-    fields = "bucket int, keys binary, counts binary, classes binary, moved long"
-    state = ws.save(counts.select("bucket", "keys", "counts").mapInArrow(begin, fields), "state")
-
-    def answer(asked: pa.Table, state: pa.Table) -> pa.Table:
-        keys, cls = np.frombuffer(state["keys"][0].as_py(), np.uint64), np.frombuffer(state["classes"][0].as_py(), kind)
-        found = [cls[np.searchsorted(keys, np.frombuffer(w, np.uint64))].tobytes() for w in asked["words"].to_pylist()]
-        return pa.table({"bucket": asked["owner"], "owner": asked["bucket"], "classes": pa.array(found, pa.binary())})
-
-    def answers(state: DataFrame, name: str) -> DataFrame:
-        return ws.save(asked.groupBy("bucket").cogroup(state.select("bucket", "keys", "classes").groupBy("bucket")).applyInArrow(answer, "bucket int, owner int, classes binary"), name)
-
-    def opened(context: pa.Table, near: pa.Table) -> tuple:
-        """Words, their classes, neighbours' classes, and both sides as (own place, class beside it, count)."""
-        keys, others = (np.frombuffer(context[c][0].as_py(), np.uint64) for c in ("keys", "others"))
-        parts = sorted(zip(near["owner"].to_pylist(), near["classes"].to_pylist(), strict=True))
-        cls = np.frombuffer(b"".join(c for _, c in parts), kind).astype(np.int64)
-        rank = np.argsort(others, kind="stable")
-        own = cls[rank[np.searchsorted(others, keys, sorter=rank)]]
-        sides = []
-        for r in "rl":
-            runs, at, n = (context[r + c][0].as_py() for c in ("runs", "at", "n"))
-            runs = _unpack(runs, len(keys))
-            m = int(runs.sum())
-            sides.append((np.repeat(np.arange(len(keys)), runs), cls[_unpack(at, m)], _unpack(n, m).astype(np.float64)))
-        return keys, own, sides
-
-    def tables(context: pa.Table, near: pa.Table) -> pa.Table:
-        _, own, (right, left) = opened(context, near)
-        once = np.bincount(left[0], left[2], len(own)) == 1
-        behind = np.bincount(right[1][once[right[0]]], right[2][once[right[0]]], classes)
-        out = np.concatenate([np.bincount(own[right[0]] * classes + right[1], right[2], cells), np.bincount(own, minlength=classes), np.bincount(own[right[0]], minlength=classes), behind])
-        some = np.flatnonzero(out)
-        return pa.table({"cell": pa.array(some), "x": pa.array(out[some].astype(np.int64))})
-
-    def sums(near: DataFrame) -> tuple:
-        """Class pairs, and for each class its words, different word pairs that begin in it, and times it follows words that occur once."""
-        found = contexts.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(tables, "cell long, x long").groupBy("cell").agg(F.sum("x").alias("x"))
-        out = np.zeros(cells + 3 * classes)
-        for r in found.collect():  # classes x classes numbers
-            out[r.cell] = r.x
-        return out[:cells].reshape(classes, classes), *out[cells:].reshape(3, classes)
+                some = (n >= least) | (k == END)
+                yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int64)), pa.array(n[some])], ["word", "n"])
+
+    found = {r.word: r.n for r in counts.select("keys", "counts").mapInArrow(frequent, "word long, n long").collect()}  # 1/share words at most
+    found.setdefault(int(END), 0)
+    words = np.array(list(found), np.int64).astype(np.uint64)
+    order = np.argsort(words)
+    words, number = words[order], np.array(list(found.values()), np.int64)[order]
+    k = len(words)
+    sizes = np.append(number, tokens - number.sum()).astype(np.float64)
+    end = int(np.searchsorted(words, END))
+    known = spark.sparkContext.broadcast(words)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, c = known.value, _Counter()
+        for batch in batches:
+            for docs in textkit.slices(batch["text"]):
+                seq = _tokens(docs)[0]
+                at = np.minimum(np.searchsorted(w, seq), k - 1)
+                ids = np.where(w[at] == seq, at, k).astype(np.uint64)
+                c.add(np.append(np.uint64(end), ids[:-1]) * np.uint64(k + 1) + ids)
+        keys, n = c.merge()
+        yield _dealt(keys, n, (keys // np.uint64(k + 1) % np.uint64(buckets)).astype(np.int64), buckets)
+
+    dealt = "bucket int, keys binary, counts binary"
+    right = train.select("text").mapInArrow(tidy(pairs), dealt).groupBy("bucket").applyInArrow(tidy(_merged), _MERGED)
+    right = ws.save(right, "pairs")
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                x, n = np.frombuffer(x, np.uint64), np.frombuffer(n, np.int64)
+                a, b = x // np.uint64(k + 1), x % np.uint64(k + 1)
+                yield _dealt(b * np.uint64(k + 1) + a, n, (b % np.uint64(buckets)).astype(np.int64), buckets)
+
+    left = right.select("keys", "counts").mapInArrow(turned, dealt).groupBy("bucket").applyInArrow(tidy(_merged), _MERGED)
+    left = left.select("bucket", F.col("keys").alias("lkeys"), F.col("counts").alias("lcounts"))
+    both = ws.save(right.select("bucket", "keys", "counts").join(left, "bucket", "full").repartition(buckets, "bucket"), "contexts")
+    ws.drop("pairs")
+
+    # the most frequent words start in classes of their own, the others in turn
+    cls = np.zeros(k + 1, np.int64)
+    cls[np.argsort(-number, kind="stable")] = np.arange(k) % (classes - 2) + 1
+    cls[end], cls[k] = 0, classes - 1
+    strength = np.full(classes, 9.0)
+
+    def class_pairs(cls: np.ndarray) -> np.ndarray:
+        now = spark.sparkContext.broadcast(cls)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, out = now.value, np.zeros(classes * classes)
+            for batch in batches:
+                for x, n in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                    if x:
+                        x = np.frombuffer(x, np.uint64).astype(np.int64)
+                        out += np.bincount(c[x // (k + 1)] * classes + c[x % (k + 1)], np.frombuffer(n, np.int64), classes * classes)
+            yield _cells(out)
+
+        return _sums(both.select("keys", "counts").mapInArrow(tidy(add), "cell long, x long"), classes * classes).reshape(classes, classes)
 
     for sweep in range(sweeps):
-        near = answers(state, f"answers{sweep}")
-        pairs, _, kinds, _ = sums(near)
-        table = spark.sparkContext.broadcast((pairs, kinds))
-
-        def move(context: pa.Table, near: pa.Table) -> pa.Table:
-            m, kinds = table.value
-            log, size = np.log(_transitions(m, kinds)), m.sum(axis=0)
-            keys, own, (right, left) = opened(context, near)
-            n = np.bincount(left[0], left[2], len(keys))
-            best = own.copy()
-            turn = (np.arange(len(keys)) + sweep) % 2 == 0
-            turn &= keys != END
-            for lo in range(0, len(keys), 20_000):
-                hi = min(lo + 20_000, len(keys))
-                score = np.zeros((hi - lo, classes))
-                for (x, c, k), weight in ((right, log.T), (left, log)):
-                    i, j = np.searchsorted(x, [lo, hi])
-                    score += np.bincount((x[i:j] - lo) * classes + c[i:j], k[i:j], (hi - lo) * classes).reshape(hi - lo, classes) @ weight
-                inside = np.zeros((hi - lo, classes))
-                inside[np.arange(hi - lo), own[lo:hi]] = 1
-                score -= n[lo:hi, None] * np.log(size[None, :] + (1 - inside) * n[lo:hi, None] + 1)
-                score[:, [0, classes - 1]] = -np.inf
-                best[lo:hi] = np.where(turn[lo:hi], score.argmax(axis=1), own[lo:hi])
-            return pa.table({"bucket": context["bucket"], "keys": context["keys"], "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "classes": pa.array([best.astype(kind).tobytes()], pa.binary()), "moved": pa.array([int((best != own).sum())])})
-
-        state = ws.save(contexts.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(move, fields), f"state{sweep}")
-        ws.drop(f"answers{sweep}", f"state{sweep - 1}" if sweep else "state")
-        ws.release()
-        if not state.agg(F.sum("moved")).first()[0] and sweep:
+        state = spark.sparkContext.broadcast((cls, class_pairs(cls)))
+
+        def move(batches: Iterator[pa.RecordBatch], sweep: int = sweep, state=state) -> Iterator[pa.RecordBatch]:
+            c, m = state.value
+            log = np.log(_transitions(m, strength))
+            size = np.bincount(c, sizes, classes)
+            for batch in batches:
+                for b, x, n, y, o in zip(*(batch[f].to_pylist() for f in ("bucket", "keys", "counts", "lkeys", "lcounts")), strict=True):
+                    own = np.arange(b, k, buckets)
+                    if not len(own):
+                        continue
+                    score = np.zeros((len(own), classes))
+                    for pairs, count, table in ((x, n, log.T), (y, o, log)):
+                        if not pairs:
+                            continue
+                        pairs = np.frombuffer(pairs, np.uint64).astype(np.int64)
+                        w, other = pairs // (k + 1), c[pairs % (k + 1)]
+                        ok = w < k
+                        near = np.bincount((w[ok] // buckets) * classes + other[ok], np.frombuffer(count, np.int64)[ok], len(own) * classes)
+                        score += near.reshape(len(own), classes) @ table
+                    inside = np.zeros((len(own), classes))
+                    inside[np.arange(len(own)), c[own]] = 1
+                    score -= sizes[own, None] * np.log(size[None, :] + (1 - inside) * sizes[own, None] + 1)
+                    score[:, [0, classes - 1]] = -np.inf
+                    best = score.argmax(axis=1)
+                    turn = (own // buckets + sweep) % 2 == 0
+                    turn &= (own != end) & (best != c[own])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[turn]), pa.array(best[turn])], ["word", "class"])
+
+        moves = both.mapInArrow(move, "word long, class long").collect()  # 1/share words at most
+        cls = cls.copy()
+        cls[[r.word for r in moves]] = [r["class"] for r in moves]
+        if not moves and sweep:
             break
-    pairs, members, kinds, behind = sums(answers(state, "answers"))
-    sizes = pairs.sum(axis=0)
-    pairs[-1], kinds[-1] = behind, behind.sum()
-    transitions = np.log10(_transitions(pairs, kinds))
-    transitions[:, -1] = -np.log10(tokens + distinct + 1)
-    asked.unpersist()
-    contexts.unpersist()
+    log = np.log(_transitions(class_pairs(cls), strength))
     ws.drop("contexts")
-    del asked, contexts
     ws.release()
-    return ClassModel(state, transitions, sizes, members, tokens, distinct)
+    return Core(words, cls[:k], log, np.bincount(cls, sizes, classes))
+
 
+#: Marks the class of a word that did not exchange.
+_RARE = 128
+HELD_TOKENS = 600_000
 
-def class_lm_scores(docs: DataFrame, held_out, classes: int = 96, sweeps: int = 8, docs_per_bucket: int = 10_000) -> DataFrame:
+
+def _asked(docs: DataFrame, core, buckets: int) -> DataFrame:
+    """Parts of the texts: documents as places among the part's different words (kind 0), and those words by bucket (kind 1).
+
+    With each word that did not exchange go the classes before and behind it in training texts.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"kind int, part long, doc_id {kind}, held_out boolean, n_tokens long, seq binary, bucket int, words binary, runs binary, near binary"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, task, flush, held = core.value, TaskContext.get().partitionId(), 0, []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal flush
+            if not held:
+                return
+            part, flush = (task << 32) + flush, flush + 1
+            length = np.concatenate([np.diff(first) for _, first, _ in held])
+            words, ids = np.unique(np.concatenate([seq for seq, _, _ in held]), return_inverse=True)
+            own = pa.Table.from_batches([rows for _, _, rows in held]).combine_chunks()
+            held.clear()
+            deal = (words % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(deal, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            ids, words, deal = place[ids], words[order], deal[order]
+            first = np.cumsum(length) - length
+            cls, core_word = c.of(words)
+            near = cls[ids].astype(np.uint8)
+            before = np.append(np.uint8(0), near[:-1])
+            before[first] = 0
+            teaches = ~np.repeat(own["held_out"].to_numpy(), length) & ~core_word[ids]
+            at = np.flatnonzero(teaches)
+            at = at[np.argsort(ids[at], kind="stable")]
+            runs = np.bincount(ids[at], minlength=len(words))
+            sides = np.stack([before[at], near[np.minimum(at + 1, len(near) - 1)]])
+            n, small = len(length), ids.astype(np.uint16) if len(words) <= 1 << 16 else ids.astype(np.uint32)
+            seqs = [small[a : a + k].tobytes() for a, k in zip(first.tolist(), length.tolist(), strict=True)]
+            none = pa.nulls(n, pa.binary())
+            cols = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), own["doc_id"].combine_chunks(), own["held_out"].combine_chunks(), pa.array(length), pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), none, none, none]
+            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols], names)
+            edge = np.searchsorted(deal, np.arange(buckets + 1))
+            upto = np.append(0, np.cumsum(runs))
+            rows = [(b, words[i:j].tobytes(), _pack(runs[i:j]), _pack(sides[:, upto[i] : upto[j]].ravel())) for b, i, j in zip(range(buckets), edge[:-1].tolist(), edge[1:].tolist(), strict=True) if i < j]
+            r = len(rows)
+            b, w, k, s = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(r, np.int32)), pa.array(np.full(r, part)), pa.nulls(r, own.schema.field("doc_id").type), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.binary()), pa.array(b, pa.int32()), *(pa.array(x, pa.binary()) for x in (w, k, s))], names)
+
+        waiting = 0
+        for batch in batches:
+            for d in textkit.slices(batch["text"]):
+                seq, first = _tokens(d)
+                rows = batch.select(["doc_id", "held_out"]).slice(d.first, len(d))
+                held.append((seq, first, rows))
+                waiting += len(seq)
+                if waiting > HELD_TOKENS:
+                    yield from flushed()
+                    waiting = 0
+        yield from flushed()
+
+    return docs.mapInArrow(tidy(cut), fields)
+
+
+def class_of_each(keys: np.ndarray, counts: np.ndarray, core: Core, at: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Classes of the words ``keys``: their own, or the most likely one by the classes around them at places ``at``."""
+    cls, known = core.of(keys)
+    classes = len(core.sizes)
+    rest = np.flatnonzero(~known)
+    rank = np.full(len(keys), -1)
+    rank[rest] = np.arange(len(rest))
+    order = np.argsort(rank[at], kind="stable")
+    at, before, behind = rank[at][order], before[order].astype(np.int64), behind[order].astype(np.int64)
+    for lo in range(0, len(rest), 10_000):
+        own = rest[lo : lo + 10_000]
+        i, j = np.searchsorted(at, [lo, lo + len(own)])
+        score = np.zeros((len(own), classes))
+        for other, table in ((behind, core.log.T), (before, core.log)):
+            score += np.bincount((at[i:j] - lo) * classes + other[i:j], minlength=len(own) * classes).reshape(-1, classes) @ table
+        score -= counts[own, None] * np.log(core.sizes[None, :] + counts[own, None] + 1)
+        score[:, [0, classes - 1]] = -np.inf
+        cls[own] = score.argmax(axis=1) | _RARE
+    return cls.astype(np.uint8)
+
+
+def class_lm_scores(docs: DataFrame, held_out, classes: int = 96, share: float = 1 / 32768, sweeps: int = 8, docs_per_bucket: int = 10_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     ``held_out`` is a boolean column of ``docs``; rows where it is true teach nothing.  Tokens are words
     cut at ASCII white space, with A-Z lower-cased, and one end.  base_score is the add-one unigram's
     log10 probability, score the class model's: each token's class given the class before, and the token
-    given its class.  An unknown word is as likely as by base_score.  Each part of the texts looks its different words up where their counts
-    and classes are.
+    given its class.  There are at most 128 classes; the first is the end's, the last that of unknown words,
+    which are as likely as by base_score.  Behind any class, the probabilities of all known words and of an
+    unknown one add up to 1.  Each part of the texts looks its different words up where their counts are.
 
     A null or empty text is an end alone.  Repeated rows are scored alike; with no training rows every
-    word is unknown.  No rows give no rows.  Columns other than doc_id and text are ignored.
+    word is unknown.  Rows without doc_id are scored like others.  No rows give no rows.  Columns other
+    than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "class_lm")
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = docs.where(~F.col("held_out"))
     buckets = partitions_for(spark, train.count(), docs_per_bucket)
     counts = ws.save(word_counts(train, buckets), "counts")
-    model = learn_classes(train, counts, ws, classes, sweeps, buckets)
-    table = spark.sparkContext.broadcast((model.transitions, model.sizes, model.members))  # classes x classes numbers
+    total = counts.agg(F.sum("n"), F.sum("v")).first()
+    tokens, distinct = int(total[0] or 0), int(total[1] or 0)
+    core = spark.sparkContext.broadcast(learn_core(train, counts, ws, classes, share, sweeps))  # 1/share words, classes x classes numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base_floor = np.log10(model.tokens + model.distinct + 1)
-    small, fixed = np.uint8 if classes <= 256 else np.uint16, model.tokens
-    names = ["kind", "part", "doc_id", "held_out", "n_tokens", "seq", "bucket", "words"]
+    base_floor = np.log10(tokens + distinct + 1)
+    parts = ws.save(_asked(docs, core, buckets), "parts")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, flush = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for d in textkit.slices(batch["text"]):
-                seq, first = _tokens(d)
-                n, part = len(d), (task << 32) + flush
-                flush += 1
-                words, ids = np.unique(seq, return_inverse=True)
-                deal = (words % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(deal, kind="stable")
-                place = np.empty(len(words), np.uint32)
-                place[order] = np.arange(len(words))
-                ids, words, own = place[ids], words[order], batch.slice(d.first, n)
-                ids = ids.astype(np.uint16) if len(words) <= 1 << 16 else ids
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), own["doc_id"], own["held_out"], pa.array(np.diff(first)), pa.array([ids[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-                at = np.searchsorted(deal[order], np.arange(buckets + 1))
-                rows = [b for b in range(buckets) if at[b] < at[b + 1]]
-                r = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(r, np.int32)), pa.array(np.full(r, part)), pa.nulls(r, batch["doc_id"].type), pa.nulls(r, pa.bool_()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.binary()), pa.array(rows, pa.int32()), pa.array([words[at[b] : at[b + 1]].tobytes() for b in rows], pa.binary())], names)
-
-    parts = ws.save(docs.mapInArrow(cut, f"kind int, part long, doc_id {kind}, held_out boolean, n_tokens long, seq binary, bucket int, words binary"), "parts")
-
-    def look_up(words: pa.Table, own: pa.Table) -> pa.Table:
+    def look_up(asked: pa.Table, own: pa.Table) -> pa.Table:
         known = len(own) > 0
-        keys = np.append(np.frombuffer(own["keys"][0].as_py(), np.uint64) if known else np.zeros(0, np.uint64), np.uint64(0))
-        counts = np.append(np.frombuffer(own["counts"][0].as_py(), np.int64) if known else np.zeros(0, np.int64), 0)
-        cls = np.append(np.frombuffer(own["classes"][0].as_py(), small) if known else np.zeros(0, small), small(classes - 1))
-        out = []
-        for w in words["words"].to_pylist():
+        keys = np.frombuffer(own["keys"][0].as_py(), np.uint64) if known else np.zeros(0, np.uint64)
+        number = np.frombuffer(own["counts"][0].as_py(), np.int64) if known else np.zeros(0, np.int64)
+        at, where, before, behind = [], [], [], []
+        for w, runs, near in zip(*(asked[c].to_pylist() for c in ("words", "runs", "near")), strict=True):
             w = np.frombuffer(w, np.uint64)
-            at = np.searchsorted(keys[:-1], w)
-            at = np.where(keys[at] == w, at, len(keys) - 1)
-            out.append((_pack(counts[at]), cls[at].tobytes()))
-        return pa.table({"part": words["part"], "bucket": words["bucket"], "n": pa.array([n for n, _ in out], pa.binary()), "classes": pa.array([c for _, c in out], pa.binary())})
+            i = np.minimum(np.searchsorted(keys, w), max(len(keys) - 1, 0))
+            at.append(np.where(keys[i] == w, i, len(keys)) if len(keys) else np.zeros(len(w), np.int64))
+            runs = _unpack(runs, len(w))
+            sides = _unpack(near, 2 * int(runs.sum())).astype(np.uint8).reshape(2, -1)
+            where.append(np.repeat(at[-1], runs))
+            before.append(sides[0])
+            behind.append(sides[1])
+        cls = np.zeros(0, np.uint8)
+        if len(keys):
+            cls = class_of_each(keys, number, core.value, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, before, behind)))
+        members = np.bincount(cls & (_RARE - 1), minlength=classes)
+        number, cls = np.append(number, 0), np.append(cls, np.uint8(classes - 1))
+        r = len(asked)
+        return pa.table({
+            "part": pa.concat_arrays([asked["part"].combine_chunks() if r else pa.array([], pa.int64()), pa.nulls(1, pa.int64())]),
+            "bucket": pa.array([*asked["bucket"].to_pylist(), None], pa.int32()),
+            "n": pa.array([*(_pack(number[i]) for i in at), None], pa.binary()),
+            "classes": pa.array([*(cls[i].tobytes() for i in at), None], pa.binary()),
+            "members": pa.array([None] * r + [members.astype(np.int64).tobytes()], pa.binary()),
+        })
 
-    asked = parts.where("kind = 1").select("part", "bucket", "words").groupBy("bucket")
-    found = asked.cogroup(model.words.select("bucket", "keys", "counts", "classes").groupBy("bucket")).applyInArrow(look_up, "part long, bucket int, n binary, classes binary")
+    asked = parts.where("kind = 1").select("part", "bucket", "words", "runs", "near").groupBy("bucket")
+    found = asked.cogroup(counts.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(tidy(look_up), "part long, bucket int, n binary, classes binary, members binary")
+    found = ws.save(found, "found")
+    members = np.zeros(classes)
+    for r in found.where("members is not null").select("members").collect():  # a row a bucket
+        members += np.frombuffer(r.members, np.int64)
 
     def complete(rows: pa.Table, more: pa.Table) -> pa.Table:
-        transitions, sizes, members = table.value
         answers = sorted(zip(more["bucket"].to_pylist(), more["n"].to_pylist(), more["classes"].to_pylist(), strict=True))
-        cls = np.frombuffer(b"".join(c for _, _, c in answers), small).astype(np.int64)
-        n = np.concatenate([_unpack(x, len(c) // small().itemsize) for _, x, c in answers])
-        emission = np.where(n > 0, np.log10((n + 0.5) / (sizes + 0.5 * members + 1e-9)[cls]), 0.0)
+        cls = np.frombuffer(b"".join(c for _, _, c in answers), np.uint8)
+        n = np.concatenate([_unpack(x, len(c)) for _, x, c in answers])
         length = rows["n_tokens"].to_numpy()
         seq = np.frombuffer(b"".join(rows["seq"].to_pylist()), np.uint16 if len(cls) <= 1 << 16 else np.uint32)
         first = np.append(0, np.cumsum(length)[:-1])
-        c = cls[seq]
-        before = np.append(0, c[:-1])
-        before[first] = 0
-        score, base, known = (np.add.reduceat(x, first) for x in (transitions[before, c] + emission[seq], (np.log10(n + 1) - base_floor)[seq], (n > 0)[seq].astype(np.int64)))
-        return pa.table({
-            "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": known,
-            "train_tokens": np.full(len(length), fixed, np.int64), "base_score": base, "score": score,
-        })
+        own = [(n > 0).astype(np.int64), np.log10(n + 1) - base_floor, np.where(n > 0, np.log10(n + 0.5), 0.0)]
+        known, base, logs = (np.add.reduceat(x[seq], first) for x in own)
+        kinds = cls[seq]
+        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": known, "base_score": base, "logs": logs, "classes": pa.array([kinds[a : a + k].tobytes() for a, k in zip(first.tolist(), length.tolist(), strict=True)], pa.binary())})
 
     whole = parts.where("kind = 0").select("part", "doc_id", "held_out", "n_tokens", "seq").groupBy("part")
-    return whole.cogroup(found.groupBy("part")).applyInArrow(complete, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    coded = whole.cogroup(found.where("part is not null").groupBy("part")).applyInArrow(tidy(complete), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, logs double, classes binary")
+    coded = ws.save(coded, "coded")
+    ws.drop("parts", "found", "counts")
+    transitions, sizes = class_tables(coded.where(~F.col("held_out")), classes, tokens + distinct + 1)
+    room = np.log10(np.maximum(sizes + 0.5 * members, 1e-9))
+    room[-1] = 0.0
+    table = spark.sparkContext.broadcast((transitions, room))  # classes x classes numbers
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, size = table.value
+        for batch in batches:
+            length = batch["n_tokens"].to_numpy()
+            if not len(length):
+                continue
+            before, c, first, _ = _pairs_of(batch)
+            got = np.add.reduceat(log[before, c] - size[c], first) + batch["logs"].to_numpy()
+            n = len(length)
+            cols = [*(batch[x] for x in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(n, tokens, np.int64)), batch["base_score"], pa.array(got)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return coded.mapInArrow(tidy(score), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class before and class of each token, where documents start, and whether a word beside or itself did not exchange."""
+    length = batch["n_tokens"].to_numpy()
+    raw = np.frombuffer(b"".join(batch["classes"].to_pylist()), np.uint8)
+    first = np.cumsum(length) - length
+    c = (raw & (_RARE - 1)).astype(np.int64)
+    rare = raw >= _RARE
+    before, rare_before = np.append(0, c[:-1]), np.append(False, rare[:-1])
+    before[first], rare_before[first] = 0, False
+    return before, c, first, rare | rare_before
+
+
+def class_tables(coded: DataFrame, classes: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P(class | class before), tokens of each class) from training texts; the last class is that of unknown words.
+
+    A pair with a word that did not exchange is as good as seen once, and that word's class fits this
+    pair; so the classes' own shares weigh as much as there are such pairs in a row.
+    """
+    cells = classes * classes
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * cells)
+        for batch in batches:
+            if batch.num_rows:
+                before, c, _, rare = _pairs_of(batch)
+                out[:cells] += np.bincount(before * classes + c, minlength=cells)
+                out[cells:] += np.bincount(before[rare] * classes + c[rare], minlength=cells)
+        yield _cells(out)
+
+    pairs, loose = _sums(coded.select("n_tokens", "classes").mapInArrow(tidy(add), "cell long, x long"), 2 * cells).reshape(2, classes, classes)
+    p = _transitions(pairs[:, :-1], loose.sum(axis=1)) * (1 - 1 / words)
+    return np.log10(np.append(p, np.full((classes, 1), 1 / words), axis=1)), pairs.sum(axis=0)
 
 
 def class_lm_scores_of_documents(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
