@@ -95,7 +95,7 @@ class Profiles:
             return "und", 0.0
         keys = keys[np.lexsort((keys, -counts))[: self.size]]
         at = np.searchsorted(self.grams, keys)
-        at = np.where(np.append(self.grams, 0)[at] == keys, at, len(self.grams))
+        at = np.where(np.append(self.grams, np.uint64(0))[at] == keys, at, len(self.grams))
         ranks = self.ranks[at]
         apart = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(keys))[:, None])).sum(axis=0)
         best = int(apart.argmin())
