@@ -475,7 +475,7 @@ def class_tables(coded: DataFrame, classes: int, words: int) -> tuple[np.ndarray
 
     pairs, loose = _sums(coded.select("n_tokens", "classes").mapInArrow(tidy(add), "cell long, x long"), 2 * cells).reshape(2, classes, classes)
     p = _transitions(pairs[:, :-1], loose.sum(axis=1)) * (1 - 1 / words)
-    return np.log10(np.append(p, np.full((classes, 1), 1 / words), axis=1)), pairs.sum(axis=0)
+    return np.log10(np.maximum(np.append(p, np.full((classes, 1), 1 / words), axis=1), 1e-300)), pairs.sum(axis=0)
 
 
 def class_lm_scores_of_documents(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .workspace import Workspace, partitions_for
+from .workspace import Workspace, partitions_for, tidy
 
 BLOCK = 512
 
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, row
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array(sums, pa.int64()), pa.array(codes, pa.binary())], ["bucket", "doc_id", "tie", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = docs.select("doc_id", "text").mapInArrow(encode, f"bucket int, doc_id {kind}, tie long, codes binary")
+    coded = docs.select("doc_id", "text").mapInArrow(tidy(encode), f"bucket int, doc_id {kind}, tie long, codes binary")
     dealt = coded.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
     plain = dealt.write.option("compression", "none").option("parquet.enable.dictionary", "false")
     plain.partitionBy("bucket").parquet(f"{out}/ids")
@@ -188,7 +188,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
             ids = [unpack(c) for c in batch["codes"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array((zlib.crc32(x) for x in ids), pa.int64())], ["bucket", "doc_id", "tie", "n_tokens", "ids_crc32"])
 
-    slim = ws.save(files.select("bucket", "doc_id", "tie", "codes").mapInArrow(measure, f"bucket int, doc_id {kind}, tie long, n_tokens long, ids_crc32 long"), "slim")
+    slim = ws.save(files.select("bucket", "doc_id", "tie", "codes").mapInArrow(tidy(measure), f"bucket int, doc_id {kind}, tie long, n_tokens long, ids_crc32 long"), "slim")
     before, total = [], 0
     for r in slim.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).orderBy("bucket").collect():  # one row a file
         before.append((r.bucket, total))
