@@ -113,11 +113,12 @@ class ProductSource(DataSource):
 
 
 def read_products(spark: SparkSession, **options: str) -> DataFrame:
-    """Products with nested fields flattened to dotted names; no products, no columns."""
+    """Products with nested fields flattened to dotted names; no products, no columns.  Every page is fetched once."""
+    from ..operators.order import saved
     from .tables import flatten
 
     spark.dataSource.register(ProductSource)
-    raw = spark.read.format("product_api").options(**options).load()
+    raw = saved(spark.read.format("product_api").options(**options).load())
     return flatten(spark.read.json(raw.select("value").rdd.map(lambda r: r.value)))
 
 
