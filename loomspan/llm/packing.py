@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     seats = spark.sparkContext.broadcast(_seats(plan_packing(histogram, capacity)))
     # a row a length at most
-    salts = F.broadcast(spark.createDataFrame([(n, max(1, k // rows_per_salt)) for n, k in histogram.items()], "length long, salts long"))
+    salts = F.broadcast(spark.createDataFrame([(n, -(-k // rows_per_salt)) for n, k in histogram.items()], "length long, salts long"))
     salted = pieces.join(salts, "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), salts)"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
