@@ -19,6 +19,8 @@ from ..sources import cache as store
 from ..sources.tables import QUALITY_REPORT, flatten, report_table
 from ..streaming.control import persistent
 from ..streaming.events import run_available, stream_table, windowed
+from .publish import publish_table
+from .run import run_job
 from .translate import translate_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +144,9 @@ def tag_multiset(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.array_join(markup.tags(F.col("html")), " ").alias("tags"))
 
 
-@query()
+@query(r"""SELECT page_id, coalesce(array_to_string(list_sort(flatten(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[a-zA-Z][^>]*>'),
+  lambda t: list_transform(regexp_extract_all(t, '\s[a-zA-Z_:][-\w:.]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?'),
+    lambda x: concat_ws(' ', lower(regexp_extract(t, '<([a-zA-Z][a-zA-Z0-9]*)\b', 1)), lower(regexp_extract(x, '^\s([^\s=]+)', 1)), regexp_replace(regexp_extract(x, '(?s)=\s*(.*)$', 1), '^["'']|["'']$', '', 'g')))))), chr(10)), '') AS attributes FROM pages""")
 def attribute_multiset(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.array_join(markup.attributes(F.col("html")), "\n").alias("attributes"))
 
@@ -304,7 +308,15 @@ def rebalance_chunks(spark, sf):
     return chunks.rebalance(rows, rows.count(), 1, 17).select("conv_id", "turn", "chunk_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE g AS (SELECT doc_id, list(hash(segment)) AS g FROM ({_SEGMENTS}) GROUP BY doc_id),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(g, []) AS g FROM documents LEFT JOIN g USING (doc_id)),
+f AS (SELECT i, doc_id, g AS seen, len(g) AS total, len(g) AS fresh, 1 AS cells, 0 AS batch FROM d WHERE i = 1 UNION ALL
+  SELECT i, doc_id, CASE WHEN cut THEN g ELSE list_concat(seen, g) END, CASE WHEN cut THEN len(g) ELSE total + len(g) END, CASE WHEN cut THEN len(g) ELSE fresh + more END,
+    CASE WHEN cut THEN 1 ELSE cells + 1 END, CASE WHEN cut THEN batch + 1 ELSE batch END
+  FROM (SELECT *, cells >= 120 OR total + len(g) > 1400 OR fresh + more > 120 AS cut FROM (
+    SELECT d.i, d.doc_id, d.g, f.seen, f.total, f.fresh, f.cells, f.batch, len(list_filter(d.g, lambda x: NOT list_contains(f.seen, x))) AS more FROM f JOIN d ON d.i = f.i + 1)))
+SELECT doc_id, CAST(batch AS BIGINT) AS batch FROM f""")
 def batch_admission(spark, sf):
     """Documents as cells: batches of 120 cells, 1,400 segments and 120 new segments at most."""
     rows = _segments(spark, sf)
@@ -430,6 +442,20 @@ def publish_breaker(spark, sf):
     return publish.blocked_from(sent, "row_order", "failed", 0.2, requests_before=10)
 
 
+@query(f"""WITH p AS ({_PLAN}), r AS (SELECT row_index, row_index % 4 = 0 AS f FROM p WHERE product_id IS NOT NULL),
+x AS (SELECT row_index, sum(f::INT) OVER w AS bad, 10 + count(*) OVER w AS n FROM r WINDOW w AS (ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT min(row_index) AS b FROM x WHERE bad / n::DOUBLE > 0.24::DOUBLE), e AS (SELECT coalesce(b, 9223372036854775807) AS e, b IS NOT NULL AS blocked FROM b)
+SELECT (SELECT count(*) FROM r, e WHERE row_index <= e AND NOT f) AS updated, (SELECT count(*) FROM r, e WHERE row_index <= e AND f) AS failed,
+  (SELECT count(*) FROM p, e WHERE row_index <= e AND product_id IS NULL) AS missing, blocked FROM e""")
+def publish_job(spark, sf):
+    """Gate, plan, requests to a stub in waves, breaker and report."""
+    source = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), F.col("l_partkey").cast("string").alias("ean"), F.col("l_returnflag").alias("name"))
+    stub = lambda rows: rows.select("row_index", "product_id", (F.col("row_order") % 4 != 0).alias("ok"), F.lit("").alias("message"))
+    gate = spark.createDataFrame([(True, [])], "passed boolean, reasons array<string>")
+    job = publish_table(source, _targets(spark, sf), "ean", "id", ["name"], gate=gate, config=RunConfig(publish_max_error_ratio=0.24), wave=1_000_000, requests_before=10, send=stub)
+    return job.report.select("updated", "failed", "missing", "blocked")
+
+
 @query("""SELECT user_id, h, rate, count(*) OVER w = 3 AND min(rate) OVER w >= 0.25::DOUBLE AS triggered FROM (
   SELECT user_id % 5 AS user_id, date_trunc('hour', ts) AS h, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS rate FROM events GROUP BY ALL)
   WINDOW w AS (PARTITION BY user_id ORDER BY h ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
@@ -506,3 +532,13 @@ def translate_catalog(spark, sf):
     empty = spark.createDataFrame([], store.SCHEMA)
     table = _catalog(spark, sf).select("row_index", "p_name", "p_brand")
     return translate_table(table, ["p_name", "p_brand"], empty, "prefix", RunConfig(source_lang="en", target_lang="de")).table
+
+
+@query("""SELECT p_partkey AS row_index, 'new:' || p_name AS p_name, 'new:' || p_brand AS p_brand FROM part""")
+def run_in_waves(spark, sf):
+    """The job over batches of cells in two waves, with a half-filled cache and controllers between them."""
+    table = _catalog(spark, sf).select("row_index", "p_name", "p_brand")
+    config = RunConfig(source_lang="en", target_lang="de")
+    key = T.cache_key(F.col("p_name"), "en", "de", "prefix", "default")
+    known = table.where("row_index % 2 = 0").select(key.alias("key"), F.concat(F.lit("new:"), "p_name").alias("translated"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit(0).cast("long").alias("batch_id")).distinct()
+    return run_job(table, ["p_name", "p_brand"], known, "prefix", config, waves=2).table
