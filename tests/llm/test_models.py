@@ -5,6 +5,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from loomspan.llm.class_lm import class_lm_scores_of_documents
 from loomspan.llm.language import language_of_documents
 from loomspan.llm.quality import quality_verdicts
@@ -109,7 +111,7 @@ def test_scores_without_training(spark, sf_dir):
 
 
 def test_every_word_has_a_class(spark, tmp_path):
-    from loomspan.llm.class_lm import learn_classes, word_counts
+    from loomspan.llm.class_lm import class_of_each, learn_core, word_counts
     from loomspan.llm.workspace import Workspace
 
     # 50,005 tokens, of which one word is two and another is one
@@ -117,9 +119,13 @@ def test_every_word_has_a_class(spark, tmp_path):
     train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     ws = Workspace(spark, "classes")
     counts = ws.save(word_counts(train, 3), "counts")
-    model = learn_classes(train, counts, ws, classes=8, buckets=3)
-    rows = model.words.collect()
-    assert sum(len(r.keys) // 8 for r in rows) == model.distinct == 6
-    assert model.members.sum() == 6 and model.members[-1] == 0 and model.sizes[-1] == 0  # none is in the class of unknown words
-    assert int(model.sizes.sum()) == model.tokens == 5 * len(texts)
-    assert model.sizes.shape == (8,) and model.transitions.shape == (8, 8)
+    core = learn_core(train, counts, ws, classes=8)
+    none = np.zeros(0, np.int64)
+    words = 0
+    for r in counts.collect():
+        keys, n = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
+        found = class_of_each(keys, n, core, none, none.astype(np.uint8), none.astype(np.uint8))
+        words += len(found)
+        assert ((found & 127) < 7).all()  # none is in the class of unknown words
+    assert words == 6 and len(core.words) == 5  # one word is too rare to exchange
+    assert int(core.sizes.sum()) == 5 * len(texts) and core.log.shape == (8, 8)
