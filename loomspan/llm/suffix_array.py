@@ -73,27 +73,33 @@ def _name(triples: DataFrame, rows: int, enough: int, ws: Workspace, label: str)
     return named.where("edge is null").join(offsets, "part").select("block", "at", (F.col("name") + F.col("before")).alias("name"), "size"), total
 
 
-def _merge_counts(rows: DataFrame, keys: list[str], n: int, ws: Workspace, label: str) -> DataFrame:
-    """(block, at, own, other): how many rows of the remaining suffixes and of the sampled ones come before."""
+def _merge_counts(rows: DataFrame, n: int, ws: Workspace, label: str) -> DataFrame:
+    """(block, at, side, own, other): how many rows of the remaining suffixes and of the sampled ones come before on that side."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, a, b = TaskContext.get().partitionId(), 0, 0
+        part, seen = TaskContext.get().partitionId(), {1: [0, 0], 2: [0, 0]}
         for batch in batches:
             t = _table(batch)
             rest = (t["at"] % 3 == 0).astype(np.int64)
-            own, other = a + np.cumsum(rest) - rest, b + np.cumsum(1 - rest) - (1 - rest)
-            a, b = a + int(rest.sum()), b + int((1 - rest).sum())
-            k = len(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(t["block"]), pa.array(t["at"]), pa.array(own), pa.array(other)], ["part", "block", "at", "own", "other"])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a]), pa.array([b])], ["part", "block", "at", "own", "other"])
-
-    counted = ws.save(_ordered(rows, keys, n).mapInArrow(tidy(local), "part int, block long, at long, own long, other long"), label)
-    before, a, b = [], 0, 0
-    for r in counted.where("block is null").orderBy("part").collect():  # one row a partition
-        before.append((r.part, a, b))
-        a, b = a + r.own, b + r.other
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, a long, b long"))
-    return counted.where("block is not null").join(offsets, "part").select("block", "at", (F.col("own") + F.col("a")).alias("own"), (F.col("other") + F.col("b")).alias("other"))
+            own, other = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+            for side, held in seen.items():
+                mine = t["side"] == side
+                x = rest[mine]
+                own[mine], other[mine] = held[0] + np.cumsum(x) - x, held[1] + np.cumsum(1 - x) - (1 - x)
+                held[0], held[1] = held[0] + int(x.sum()), held[1] + int((1 - x).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), part, np.int32)), pa.array(t["block"]), pa.array(t["at"]), pa.array(t["side"]), pa.array(own), pa.array(other)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.array([1, 2], pa.int32()), pa.array([seen[1][0], seen[2][0]]), pa.array([seen[1][1], seen[2][1]])], names)
+
+    fields = "part int, block long, at long, side int, own long, other long"
+    names = [f.split()[0] for f in fields.split(", ")]
+    counted = ws.save(_ordered(rows, ["side", "t0", "t1", "t2"], n).mapInArrow(tidy(local), fields), label)
+    before, total = [], {1: (0, 0), 2: (0, 0)}
+    for r in counted.where("block is null").orderBy("part").collect():  # two rows a partition
+        a, b = total[r.side]
+        before.append((r.part, r.side, a, b))
+        total[r.side] = a + r.own, b + r.other
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, side int, a long, b long"))
+    return counted.where("block is not null").join(offsets, ["part", "side"]).select("block", "at", "side", (F.col("own") + F.col("a")).alias("own"), (F.col("other") + F.col("b")).alias("other"))
 
 
 def rank_suffixes(names: np.ndarray) -> np.ndarray:
@@ -152,29 +158,26 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
     if distinct == sampled:
         samples = shorter_string.select("block", F.col("names").alias("ranks"))
     else:
-        samples = ws.save(suffix_ranks(shorter_string, ws, f"{label}c", base, enough), f"{label}_samples")
+        samples = suffix_ranks(shorter_string, ws, f"{label}c", base, enough)
     whole = ws.save(blocks.join(samples, "block").select("block", "names", "ranks"), f"{label}_whole")
 
-    def sides(which: int):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block, raw, ranks in zip(*(batch[c].to_pylist() for c in ("block", "names", "ranks")), strict=True):
-                    t = np.append(np.frombuffer(raw, np.int64), [0, 0])
-                    n = len(t) - 2
-                    s = np.frombuffer(ranks, np.int64)
-                    rank = np.full(n + 2, -1, np.int64)
-                    rank[1:n:3], rank[2:n:3] = s[: n // 3], s[n // 3 : n // 3 * 2]
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw, ranks in zip(*(batch[c].to_pylist() for c in ("block", "names", "ranks")), strict=True):
+                t = np.append(np.frombuffer(raw, np.int64), [0, 0])
+                n = len(t) - 2
+                s = np.frombuffer(ranks, np.int64)
+                rank = np.full(n + 2, -1, np.int64)
+                rank[1:n:3], rank[2:n:3] = s[: n // 3], s[n // 3 : n // 3 * 2]
+                for side in (1, 2):
                     at = np.arange(n)
-                    at = at[(at % 3 == 0) | (at % 3 == which)]
-                    k2 = rank[at + 1] if which == 1 else t[at + 1]
-                    k3 = np.zeros(len(at), np.int64) if which == 1 else rank[at + 2]
-                    yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(k2), pa.array(k3), pa.array(np.full(len(at), block)), pa.array(at)], ["t0", "t1", "t2", "block", "at"])
-
-        return whole.mapInArrow(rows, "t0 long, t1 long, t2 long, block long, at long")
+                    at = at[(at % 3 == 0) | (at % 3 == side)]
+                    k2 = rank[at + 1] if side == 1 else t[at + 1]
+                    k3 = np.zeros(len(at), np.int64) if side == 1 else rank[at + 2]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side, np.int32)), pa.array(t[at]), pa.array(k2), pa.array(k3), pa.array(np.full(len(at), block)), pa.array(at)], ["side", "t0", "t1", "t2", "block", "at"])
 
-    first = _merge_counts(sides(1), ["t0", "t1"], sampled, ws, f"{label}_one")
-    second = _merge_counts(sides(2), ["t0", "t1", "t2"], sampled, ws, f"{label}_two")
-    counts = first.withColumn("side", F.lit(1)).unionByName(second.withColumn("side", F.lit(2)))
+    # both comparisons in one sort, side after side
+    counts = _merge_counts(whole.mapInArrow(tidy(sides), "side int, t0 long, t1 long, t2 long, block long, at long"), 2 * sampled, ws, f"{label}_sides")
 
     def merged(rows: pa.Table, own: pa.Table) -> pa.Table:
         s = np.frombuffer(own["ranks"][0].as_py(), np.int64)
@@ -189,5 +192,5 @@ def suffix_ranks(blocks: DataFrame, ws: Workspace, label: str = "dc", base: int
         return pa.table({"block": own["block"], "ranks": pa.array([out.tobytes()], pa.binary())})
 
     out = ws.save(counts.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(tidy(merged), "block long, ranks binary"), f"{label}_ranks")
-    ws.drop(*(f"{label}_{x}" for x in ("string", "samples", "whole", "one", "two")))
+    ws.drop(*(f"{label}_{x}" for x in ("string", "whole", "sides")), f"{label}c_ranks")
     return out
