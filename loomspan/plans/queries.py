@@ -159,14 +159,16 @@ def validate_markup(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", markup.same_links(h, links).alias("links_ok"), markup.same_structure(h, tags).alias("structure_ok"))
 
 
-_PSEUDO = """SELECT doc_id, substr(text, 1, 60) AS source, CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN '' WHEN 2 THEN '  ' || substr(text, 1, 60) || ' ' WHEN 3 THEN 'pouze ' || substr(text, 1, 50) WHEN 4 THEN 'ěřů abc' ELSE 'ktorý iba' END AS translated FROM documents"""
+_PIECES = r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS source FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,60}\z|.{1,59} |.{60}') AS s FROM documents), unnest(range(1, len(s) + 1)) t(i)"
+_PSEUDO = f"""SELECT doc_id, pos, source, CASE (doc_id + pos) % 6 WHEN 0 THEN source WHEN 1 THEN '' WHEN 2 THEN '  ' || source || ' ' WHEN 3 THEN 'pouze ' || source WHEN 4 THEN source || ' ěřů' ELSE source || ' ktorý iba' END AS translated FROM ({_PIECES})"""
 
 
 def _pseudo(spark, sf):
-    """Pairs made for the gate: copies, blanks, other white space, Czech words, diacritics, Slovak words."""
-    n, s = F.col("doc_id") % 6, F.substring("text", 1, 60)
-    made = F.when(n == 0, s).when(n == 1, "").when(n == 2, F.concat(F.lit("  "), s, F.lit(" "))).when(n == 3, F.concat(F.lit("pouze "), F.substring("text", 1, 50))).when(n == 4, "ěřů abc").otherwise("ktorý iba")
-    return _docs(spark, sf).select("doc_id", s.alias("source"), made.alias("translated"))
+    """Pairs made for the gate from all pieces of all texts: copies, blanks, other white space, Czech words, diacritics, Slovak words."""
+    pieces = _docs(spark, sf).select("doc_id", F.posexplode(T.split_text(F.col("text"), 60)).alias("pos", "source"))
+    n, s = (F.col("doc_id") + F.col("pos")) % 6, F.col("source")
+    made = F.when(n == 0, s).when(n == 1, "").when(n == 2, F.concat(F.lit("  "), s, F.lit(" "))).when(n == 3, F.concat(F.lit("pouze "), s)).when(n == 4, F.concat(s, F.lit(" ěřů"))).otherwise(F.concat(s, F.lit(" ktorý iba")))
+    return pieces.withColumn("translated", made)
 
 
 _NORM = lambda x: f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
@@ -178,19 +180,19 @@ _FINE = f"""({_NORM('source')} <> '' AND {_SAME} AND ({_LEN('source')} = 0
   OR (len({_WORDS}) BETWEEN 1 AND 2 AND {_LEN('source')} BETWEEN 3 AND 12 AND NOT list_has_any(list_transform({_WORDS}, lambda w: lower(w)), {list(quality.CZECH_WORDS)}) AND regexp_matches(replace(trim(source), ' ', ''), '^[\\p{{L}}\\p{{N}}]+$'))))"""
 
 
-@query(f"SELECT doc_id, {_FINE} AS fine FROM ({_PSEUDO})")
+@query(f"SELECT doc_id, pos, {_FINE} AS fine FROM ({_PSEUDO})")
 def legit_unchanged(spark, sf):
-    return _pseudo(spark, sf).select("doc_id", quality.unchanged_is_fine(F.col("source"), F.col("translated")).alias("fine"))
+    return _pseudo(spark, sf).select("doc_id", "pos", quality.unchanged_is_fine(F.col("source"), F.col("translated")).alias("fine"))
 
 
 @query(f"""
-SELECT doc_id, code = 'ok' AS ok, code FROM (SELECT doc_id, CASE WHEN trim(source) = '' OR trim(translated) = '' THEN 'empty_translation'
+SELECT doc_id, pos, code = 'ok' AS ok, code FROM (SELECT doc_id, pos, CASE WHEN trim(source) = '' OR trim(translated) = '' THEN 'empty_translation'
   WHEN {_SAME} AND {_LEN('source')} >= 6 AND NOT {_FINE} THEN 'unchanged_text'
   WHEN list_has_any(regexp_extract_all({_NORM('translated')}, '[A-Za-zÀ-ž]+'), {list(quality.CZECH_WORDS)}) AND NOT list_has_any(regexp_extract_all({_NORM('translated')}, '[A-Za-zÀ-ž]+'), {list(quality.SLOVAK_WORDS)}) THEN 'czech_wording'
   WHEN regexp_matches({_NORM('translated')}, '[{quality.CZECH_DIACRITICS}]') AND NOT regexp_matches({_NORM('translated')}, '[{quality.SLOVAK_DIACRITICS}]') THEN 'czech_diacritics' ELSE 'ok' END AS code FROM ({_PSEUDO}))""")
 def quality_assess(spark, sf):
     q = quality.assess(F.col("source"), F.col("translated"), F.lit("strict"))
-    return _pseudo(spark, sf).select("doc_id", q.alias("q")).select("doc_id", "q.ok", "q.code")
+    return _pseudo(spark, sf).select("doc_id", "pos", q.alias("q")).select("doc_id", "pos", "q.ok", "q.code")
 
 
 _WHOLE = """SELECT doc_id, text AS source, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN '  ' || text || ' ' WHEN 3 THEN 'pouze ' || text WHEN 4 THEN text || ' ěřů' ELSE text || ' ktorý iba' END AS translated FROM documents"""
@@ -219,14 +221,32 @@ def quality_assess_texts(spark, sf):
     return _whole(spark, sf).select("doc_id", *codes)
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zvedák->zdvihák,černý->čierny' WHEN 1 THEN '' WHEN 2 THEN 'šedý->sivý' ELSE '' END AS labels FROM documents""")
+# Whole words that stand for each residual rule's two sides, written out for SQL.
+_ADJ = "(?:[ýyáaéeíi]|[ýy]ch|[ýy]mi)"
+_SIDES = [
+    (f"zp[eě]tn{_ADJ}?", f"sp[aä]tn{_ADJ}?", "zpětný->spätný"),
+    ("zved[aá]k(?:y|u|em|ům|ama|ách)?", "zdvih[aá]k(?:y|u|om|mi|och)?", "zvedák->zdvihák"),
+    (f"(?:čern|cern){_ADJ}", f"čiern{_ADJ}", "černý->čierny"),
+    (f"(?:šed|sed){_ADJ}", f"siv{_ADJ}", "šedý->sivý"),
+    (f"(?:bíl|bil){_ADJ}", f"biel{_ADJ}", "bílý->biely"),
+]
+_HAS = lambda ws, p: f"len(list_filter({ws}, lambda w: regexp_full_match(w, '{p}'))) > 0"
+_HITS = ", ".join(f"CASE WHEN {_HAS('a', x)} AND {_HAS('b', x)} AND NOT {_HAS('b', y)} THEN '{label}' END" for x, y, label in _SIDES)
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, replace(replace(replace(text, ' a', ' černý a'), ' s', ' Zvedáky s'), 'e ', 'e šedá ') || ' bílý zpětné' AS source FROM documents),
+t AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN replace(source, 'černý', 'čierny') WHEN 2 THEN replace(source, 'Zvedáky', 'zdvihákom') || ' SIVÝ' ELSE replace(source, 'bílý', 'bielych') || ' spätný' END AS translated FROM s),
+w AS (SELECT doc_id, regexp_extract_all(lower(source), '[\p{{L}}\p{{N}}_]+') AS a, regexp_extract_all(lower(translated), '[\p{{L}}\p{{N}}_]+') AS b FROM t)
+SELECT doc_id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS labels FROM w""")
 def residual_lexemes(spark, sf):
-    """Residual words in results made from a fixed source sentence."""
-    n = F.col("doc_id") % 4
-    made = F.when(n == 0, "černý zvedák").when(n == 1, "čierny zdvihák").when(n == 2, "šedý spätný čierny").otherwise("niečo")
-    found = quality.residual_words(F.lit("černý zvedák a šedý kryt"), made)
-    return _docs(spark, sf).select("doc_id", F.array_join(found, ",").alias("labels"))
+    """Residual words in results made from whole texts with such words put in."""
+    put = lambda x, *pairs: put(F.replace(x, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else x
+    n, s = F.col("doc_id") % 4, F.col("source")
+    made = F.when(n == 0, s).when(n == 1, put(s, ("černý", "čierny"))).when(n == 2, F.concat(put(s, ("Zvedáky", "zdvihákom")), F.lit(" SIVÝ"))).otherwise(F.concat(put(s, ("bílý", "bielych")), F.lit(" spätný")))
+    source = F.concat(put(F.col("text"), (" a", " černý a"), (" s", " Zvedáky s"), ("e ", "e šedá ")), F.lit(" bílý zpětné"))
+    rows = _docs(spark, sf).select("doc_id", source.alias("source"))
+    return rows.select("doc_id", F.array_join(quality.residual_words(s, made), ",").alias("labels"))
 
 
 _SEGMENTS = r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS segment FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,400}\z|.{1,399} |.{400}') AS s FROM documents), unnest(range(1, len(s) + 1)) t(i)"
