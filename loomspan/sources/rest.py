@@ -83,7 +83,8 @@ class _Reader(DataSourceReader):
         o, client = self.options, Client(self.options)
         size, path = int(o.get("page_size", 100)), o.get("endpoint", "products")
         names = o.get("page_param", "page"), o.get("limit_param", "limit")
-        for page in range(1, int(o.get("max_pages", 100)) + 1):
+        most = int(o.get("max_pages", 100))
+        for page in range(1, most + 1):
             status, payload = client.call("GET", path, {names[0]: page, names[1]: size})
             paged = True
             if status == 400 and page == 1:  # an API without pages
@@ -96,10 +97,15 @@ class _Reader(DataSourceReader):
                 yield (json.dumps(row, ensure_ascii=False),)
             if not rows or not paged or len(rows) < size:
                 return
+        # the last page that is allowed was full, so products may be missing
+        raise RuntimeError(f"products do not end within {most} pages of {size}: set max_pages or page_size higher")
 
 
 class ProductSource(DataSource):
-    """Each product as one JSON string; options base_url, token, endpoint, page_size, max_pages, ..."""
+    """Each product as one JSON string; options base_url, token, endpoint, page_size, max_pages, ...
+
+    A source whose last allowed page is full fails rather than lose what comes behind it.
+    """
 
     @classmethod
     def name(cls) -> str:

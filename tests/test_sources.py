@@ -89,6 +89,9 @@ def test_product_api(spark):
     try:
         df = read_products(spark, base_url=url, page_size="2")
         assert df.count() == 5 and "more.x" in df.columns
+        with pytest.raises(Exception, match="max_pages"):
+            read_products(spark, base_url=url, page_size="2", max_pages="2")
+        assert read_products(spark, base_url=url, page_size="2", max_pages="3").count() == 5
         source = spark.createDataFrame([("r0", " e0", "A"), ("r1", "e3", "B"), ("r2", "none", "C"), ("r3", None, "D")], "row_index string, ean string, name string")
         plan = publish_plan(source, df, "ean", "id", ["name"])
         sent = patch_products(plan.where("product_id is not null"), {"base_url": url, "retries": "0"})
