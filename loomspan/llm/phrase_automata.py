@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import textkit
 from .workspace import Workspace, partitions_for, small_side, tidy
@@ -28,52 +29,75 @@ WORDS, GRAM = 13, 5
 SHARD = 20_000
 
 
-def anchors(d: textkit.Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, first word, number of words) of each stretch of windows that share an anchor, in order."""
+def anchors(d: textkit.Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, first word, number of words, place of the anchor) of each stretch of windows that share an anchor, in order."""
     starts, ends, first = d.words()
     m = len(starts) - WORDS + 1
     if m <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     gram = textkit.grams(textkit.spans(d.prefix(), starts, ends), GRAM)
     at = np.lib.stride_tricks.sliding_window_view(gram, WORDS - GRAM + 1).argmin(axis=1) + np.arange(m)
     owner = np.repeat(np.arange(len(d)), np.diff(first))
     window = np.flatnonzero(owner[:m] == owner[WORDS - 1 :])  # windows that cross no border
     if not len(window):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     at, who = at[window], owner[window]
     head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (who[1:] != who[:-1])))
     count = np.diff(np.append(head, len(at)))
-    return who[head], gram[at[head]].astype(np.int64), window[head] - first[who[head]], count + WORDS - 1
+    return who[head], gram[at[head]].astype(np.int64), window[head] - first[who[head]], count + WORDS - 1, at[head] - window[head]
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(hash, h1, h2, doc, at, size) of all stretches of ``docs`` (h1, h2, doc, text)."""
+    """(hash, h1, h2, doc, at, size, place) of all stretches of ``docs`` (h1, h2, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [batch[c].to_numpy() for c in ("h1", "h2", "doc")]
             for d in textkit.slices(batch["text"]):
-                who, h, at, size = anchors(d)
-                cols = [h, *(x[d.first + who] for x in own), at.astype(np.int32), size.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hash", "h1", "h2", "doc", "at", "size"])
+                who, h, at, size, place = anchors(d)
+                cols = [h, *(x[d.first + who] for x in own), at.astype(np.int32), size.astype(np.int8), place.astype(np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hash", "h1", "h2", "doc", "at", "size", "place"])
 
-    return docs.select("h1", "h2", "doc", "text").mapInArrow(tidy(run), "hash long, h1 long, h2 long, doc long, at int, size int")
+    return docs.select("h1", "h2", "doc", "text").mapInArrow(tidy(run), "hash long, h1 long, h2 long, doc long, at int, size byte, place byte")
+
+
+#: One stretch in a packed list: first word, number of words, place of the anchor.
+_PLACE = np.dtype([("at", "<i4"), ("size", "i1"), ("place", "i1")])
+
+
+def _packed(lists: DataFrame) -> DataFrame:
+    """``lists`` (h1, h2, doc, s) with s in six bytes a stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, out = batch["s"], []
+            inner = [s.values.field(c).to_numpy() for c in ("at", "size", "place")]
+            ends = s.offsets.to_numpy()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                row = np.empty(b - a, _PLACE)
+                for c, x in zip(_PLACE.names, inner, strict=True):
+                    row[c] = x[a:b]
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("h1", "h2", "doc")), pa.array(out, pa.binary())], ["h1", "h2", "doc", "s"])
+
+    return lists.mapInArrow(tidy(run), "h1 long, h2 long, doc long, s binary")
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """(hash, h1, h2, doc, at, words): the words of the stretches that ``docs`` (h1, h2, doc, text, s) list."""
+    """(hash, h1, h2, doc, at, words): the words of the stretches that ``docs`` (h1, h2, doc, text, s) list, and a hash of the anchor's."""
     fields = "hash long, h1 long, h2 long, doc long, at int, words string"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h1, h2, doc, text, listed in zip(*(batch[c] for c in ("h1", "h2", "doc", "text", "s")), strict=True):
+            for h1, h2, doc, text, raw in zip(*(batch[c] for c in ("h1", "h2", "doc", "text", "s")), strict=True):
                 words = text.as_py().encode().split()  # at the six white-space characters of ASCII
-                listed = listed.as_py()
-                n = len(listed)
-                cols = [pa.array([x["hash"] for x in listed], pa.int64()), *(pa.array([v.as_py()] * n, pa.int64()) for v in (h1, h2, doc)), pa.array([x["at"] for x in listed], pa.int32())]
-                cut = [b" ".join(words[x["at"] : x["at"] + x["size"]]).decode() for x in listed]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.string())], names)
+                listed = np.frombuffer(raw.as_py(), _PLACE)
+                n, begin, place = len(listed), listed["at"].astype(np.int64), listed["place"].astype(np.int64)
+                key = [xxh64_intdigest(b" ".join(words[p : p + GRAM])) for p in (begin + place).tolist()]
+                cut = [b" ".join(words[a:b]).decode() for a, b in zip(begin.tolist(), (begin + listed["size"]).tolist(), strict=True)]
+                own = [pa.array(np.full(n, v.as_py(), np.int64)) for v in (h1, h2, doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).astype(np.int64)), *own, pa.array(begin.astype(np.int32)), pa.array(cut, pa.string())], names)
 
     return docs.select("h1", "h2", "doc", "text", "s").mapInArrow(tidy(run), fields)
 
@@ -148,6 +172,19 @@ def _occurrences(phrases: DataFrame, stretches: DataFrame, ws: Workspace, shard:
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(tidy(_located), "h1 long, h2 long, a int, b int")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ranges of words as pairs of 32-bit places, those that touch in one."""
+    for batch in batches:
+        out, s = [], batch["s"]
+        a, b = s.values.field("a").to_numpy(), s.values.field("b").to_numpy()
+        ends = s.offsets.to_numpy()
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            begin, stop = a[lo:hi], np.maximum.accumulate(b[lo:hi])
+            new = np.append(True, begin[1:] > stop[:-1])
+            out.append(np.stack([begin[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]], axis=1).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.array(out, pa.binary())], ["h1", "h2", "spans"])
+
+
 def covered_words(docs: DataFrame, ws: Workspace, shard: int = SHARD) -> DataFrame:
     """(h1, h2, first, spans): of each content of ``docs`` (doc_id, text, h1, h2) its smallest doc_id and the word
     ranges that phrases of documents with smaller doc_ids cover; contents without such ranges have null spans.
@@ -159,18 +196,17 @@ def covered_words(docs: DataFrame, ws: Workspace, shard: int = SHARD) -> DataFra
     anchored = ws.save(_anchored(held), "anchors")
     again = anchored.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("hash")
     again = small_side(ws.save(again, "again"))
-    lists = anchored.join(again, "hash").groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct("hash", "at", "size")).alias("s"))
-    lists = ws.save(lists, "lists")
+    lists = anchored.join(again, "hash").groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct("at", "size", "place")).alias("s"))
+    lists = ws.save(_packed(lists), "lists")
     ws.drop("anchors")
-    bound = lists.agg(F.sum(40 + 16 * F.size("s"))).first()[0] or 0
-    stretches = _stretches(held.join(F.broadcast(lists) if bound <= 32 << 20 else lists, ["h1", "h2", "doc"]))
-    stretches = ws.save(stretches, "stretches")
+    ws.release()
+    stretches = ws.save(_stretches(held.join(small_side(lists), ["h1", "h2", "doc"])), "stretches")
     ws.drop("lists")
     ws.release()
     phrases = ws.save(confirmed_phrases(stretches), "phrases")
     ws.release()
     found = _occurrences(phrases, stretches, ws, shard)
-    found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s")).mapInArrow(_joined, "h1 long, h2 long, spans binary")
     found = ws.save(found, "found")
     ws.drop("stretches", "phrases")
     copied = content.where("n > 1").select("h1", "h2", "first")
@@ -195,8 +231,7 @@ def remove_earlier_phrases(docs: DataFrame, keep: list[str] | None = None, with_
     key = [F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2")]
     spans = ws.save(covered_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), *key), ws, shard), "spans")
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), F.col("doc_id").cast("long").alias("doc"), raw.alias("text"), *key)
-    size = spans.agg(F.sum(32 + 8 * F.coalesce(F.size("spans"), F.lit(0)))).first()[0] or 0
-    rows = rows.join(F.broadcast(spans) if size <= 32 << 20 else spans, ["h1", "h2"], "left")
+    rows = rows.join(small_side(spans), ["h1", "h2"], "left")
     fields = [*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, inner, strict=True)), "n_words long", "n_removed long", "kept_sha256 string", "kept_text string"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +240,13 @@ def remove_earlier_phrases(docs: DataFrame, keep: list[str] | None = None, with_
             for text, doc, first, spans in zip(batch["text"], *(batch[c].to_pylist() for c in ("doc", "first", "spans")), strict=True):
                 words = text.as_py().encode().split()
                 n, kept, at = len(words), [], 0
-                if doc is None:
-                    spans = []
-                elif first is not None and doc > first and n >= WORDS:
-                    spans = [{"a": 0, "b": n}]  # a copy has it all
-                for s in spans or []:
-                    kept += words[at : s["a"]]
-                    at = max(at, s["b"])
+                if doc is not None and first is not None and doc > first and n >= WORDS:
+                    ranges = [(0, n)]  # a copy has it all
+                else:
+                    ranges = np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist() if doc is not None else []
+                for a, b in ranges:
+                    kept += words[at:a]
+                    at = b
                 kept += words[at:]
                 rest = b" ".join(kept)
                 out.append((n, n - len(kept), hashlib.sha256(rest).hexdigest(), rest.decode() if with_text else None))

@@ -75,7 +75,7 @@ def test_equal_windows_have_equal_anchors():
     docs = [" ".join(body), "z z " + " ".join(body[5:40]) + " q", " ".join(body[7:20])]
     (d,) = slices(pa.array(docs))
     by = defaultdict(set)
-    for who, h, at, size in zip(*anchors(d), strict=True):
+    for who, h, at, size, _ in zip(*anchors(d), strict=True):
         w = docs[who].split()
         for p in range(at, at + size - WORDS + 1):
             by[tuple(w[p : p + WORDS])].add(int(h))
