@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +48,85 @@ def test_publish_behind_a_closed_gate_sends_nothing(spark):
     assert job.reasons == ["quality_fail_ratio"]
 
 
+class Slow(provider.Provider):
+    """Sleeps, and writes when each call began and ended."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def translate(self, texts, source_lang, target_lang, strict=False):
+        began = time.time()
+        time.sleep(0.15)
+        with open(f"{self.log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{began} {time.time()} {len(texts)}")
+        return [f"<{t}>" for t in texts]
+
+
+class Misshapen(provider.Provider):
+    """Never answers a list of several texts in shape."""
+
+    def translate(self, texts, source_lang, target_lang, strict=False):
+        if len(texts) > 1:
+            raise provider.ShapeError("batch_parse_error")
+        if texts == ["t5"]:
+            raise OSError("down")
+        return [texts[0].upper()]
+
+
+def _most_at_once(folder):
+    calls = [tuple(map(float, p.read_text().split())) for p in folder.iterdir()]
+    edges = sorted([(a, 1) for a, _, _ in calls] + [(b, -1) for _, b, _ in calls])
+    now = most = 0
+    for _, step in edges:
+        now += step
+        most = max(most, now)
+    return len(calls), most
+
+
+@pytest.mark.parametrize("parallel,batch,calls", [(12, True, 40), (4, True, 40), (1, True, 40), (8, False, 120)])
+def test_requests_overlap_within_the_bound(spark, tmp_path, monkeypatch, parallel, batch, calls):
+    monkeypatch.setitem(provider.PROVIDERS, "slow", Slow)
+    rows = [(i // 3, i, f"t{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "chunk_id long, seq long, segment string").repartition(5)
+    out = provider.translate_chunks(df, "slow", options={"log": str(tmp_path)}, parallel=parallel, batch=batch).collect()
+    assert {r.seq: r.translated for r in out if r.kind == "result"} == {i: f"<t{i}>" for i in range(120)}
+    assert sorted(r.chunk_id for r in out if r.kind == "event") == list(range(40)) and all(r.success for r in out if r.kind == "event")
+    n, most = _most_at_once(tmp_path)
+    assert n == calls and parallel // 2 <= most <= parallel
+
+
+def test_window_keeps_the_order_and_its_width():
+    running, most, lock = 0, 0, threading.Lock()
+
+    def call(i):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.02 * (i % 3))
+        with lock:
+            running -= 1
+        return i * i
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(provider.overlapped(((i, lambda i=i: call(i)) for i in range(40)), pool, 3)) == [(i, i * i) for i in range(40)]
+    assert most == 3
+
+
+@pytest.mark.parametrize("recovery", ["singles", "halves"])
+def test_batches_fall_back_to_single_requests(spark, monkeypatch, recovery):
+    monkeypatch.setitem(provider.PROVIDERS, "misshapen", Misshapen)
+    df = spark.createDataFrame([(i // 4, i, f"t{i}") for i in range(9)], "chunk_id long, seq long, segment string")
+    out = provider.translate_chunks(df, "misshapen", retries=1, recovery=recovery).collect()
+    got, events = {r.seq: r.translated for r in out if r.kind == "result"}, sorted((r.chunk_id, r.mode, r.success, r.fallback_used, r.input_count) for r in out if r.kind == "event")
+    if recovery == "singles":
+        assert got == {i: None if i == 5 else f"T{i}" for i in range(9)}
+        assert events == [(0, "batch", False, True, 4), (0, "single", True, False, 4), (1, "batch", False, True, 4), (1, "single", False, False, 4), (2, "batch", True, False, 1)]
+    else:  # an error that is no shape error ends a chunk's only try
+        assert got == {i: None if 4 <= i < 8 else f"T{i}" for i in range(9)}
+        assert events == [(0, "batch", True, True, 4), (1, "batch", False, False, 4), (2, "batch", True, False, 1)]
+
+
 def test_waves_learn_from_each_other(spark):
     rows = [(i, f"slovo {i % 7} text") for i in range(30)] + [(30, None), (31, "")]
     df = spark.createDataFrame(rows, "row_index long, name string")
@@ -50,6 +135,70 @@ def test_waves_learn_from_each_other(spark):
     assert {r.row_index: r.name for r in run.table.collect()} == {i: f"new:{t}" if t else t for i, t in rows}
     assert [k for k, _ in seen] == [0, 1] and seen[0][1] == seen[1][1] == 7
     assert [s.batch for s in run.states] == [1, 2]
+    assert run.gate.first().passed and run.metrics.first().cell_reject_ratio == 0
+    assert [(r.wave, r.segments, r.cache_misses, r.translated_cells) for r in run.log.orderBy("wave").collect()] == [(0, 15, 15, 15), (1, 15, 0, 15)]
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stops", [[1], [0, 1]])
+def test_a_resumed_run_gives_what_one_run_gives(spark, tmp_path, stops):
+    rows = [(i, f"slovo {i % 37} zpětný text" if i % 5 else f"jiné {i}", f"<p>odstavec {i % 11}</p>") for i in range(44)]
+    df = spark.createDataFrame(rows, "row_index long, name string, body string")
+    config = RunConfig(cells_per_run=20, misses_per_run=10, cache_sample_rate=1.0)
+    key = lambda t: F.sha2(F.lit(f"{t}|cs|sk|prefix|default"), 256)
+    cache = spark.range(1).select(key("slovo 1 zpětný text").alias("key"), F.lit("slovo 1 zpětný text").alias("translated"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit(-1).cast("long").alias("batch_id"))
+    go = lambda folder, known, after=None: run_job(df, ["name", "body"], known, "prefix", config, waves=4, store=f"file://{tmp_path}/{folder}", after=after)
+    whole = go("whole", cache)
+    for stop in stops:
+
+        def halt(k, state, known, stop=stop):
+            if k == stop:
+                raise Stopped
+
+        with pytest.raises(Stopped):
+            go("parts", cache, halt)
+    # what others have put into the cache meanwhile does not move the batches
+    grown = cache.unionByName(spark.range(1).select(key("slovo 2 zpětný text").alias("key"), F.lit("x").alias("translated"), F.lit("2025-01-01").cast("timestamp").alias("updated_at"), F.lit(9).cast("long").alias("batch_id")))
+    parts = go("parts", grown)
+    rows_of = lambda d, *drop: sorted(map(str, d.drop(*drop).collect()))
+    for name in ("table", "cells", "report", "quality_report", "log"):
+        assert rows_of(getattr(parts, name)) == rows_of(getattr(whole, name)), name
+    assert len(parts.states) == len(whole.states) == 3 and parts.states == whole.states
+    assert rows_of(parts.events, "latency_ms") == rows_of(whole.events, "latency_ms")
+    assert whole.report.count() > 0 and whole.quality_report.where("action = 'cache_rejected'").count() == 1
+    assert {r.row_index: r.name for r in parts.table.collect()} == {i: n if i % 5 else f"new:{n}" for i, n, _ in rows}
+
+
+def test_a_folder_of_another_run_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c")], "row_index long, name string")
+    empty = spark.createDataFrame([], store.SCHEMA)
+    config = RunConfig(source_lang="en", target_lang="de")
+    run_job(df, ["name"], empty, "prefix", config, store=f"file://{tmp_path}/r")
+    with pytest.raises(ValueError, match="another|other"):
+        run_job(df, ["name"], empty, "identity", config, store=f"file://{tmp_path}/r")
+
+
+def test_artifacts_and_telemetry_of_a_run(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"slovo číslo {i} je dlouhé" if i else "který zpětný chod vozu") for i in range(6)], "row_index long, name string")
+    config = RunConfig(telemetry="jsonl", telemetry_path=f"file://{tmp_path}/telemetry", cells_per_run=2, checkpoint_every=2)
+    run_job(df, ["name"], spark.createDataFrame([], store.SCHEMA), "prefix", config, waves=3, artifacts=f"file://{tmp_path}/out")
+    told = spark.read.json(f"file://{tmp_path}/telemetry").orderBy("phase").collect()
+    assert [r.phase for r in told] == ["checkpoint", "checkpoint", "completed"] and len({r.run_id for r in told}) == 1
+    assert told[2].metrics.cell_reject_ratio == pytest.approx(1 / 6) and not told[2].run_gate.passed
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["cache", "quality", "report", "summary", "translated"]
+    summary = json.loads(spark.read.json(f"file://{tmp_path}/out/summary").first().summary)
+    assert summary["errors"] == {"quality_gate_failed": 1} and summary["actions"]["not_cached"] == 1
+    assert len(spark.read.csv(f"file://{tmp_path}/out/translated", sep=";", header=True).collect()) == 6
+
+
+def test_no_cells_at_all(spark):
+    df = spark.createDataFrame([(1, " "), (2, None)], "row_index long, name string")
+    run = run_job(df, ["name"], spark.createDataFrame([], store.SCHEMA), "prefix")
+    assert sorted(map(tuple, run.table.collect())) == [(1, " "), (2, None)] and run.states == [] and run.gate.first().passed
 
 
 def test_answers_in_the_first_wrapper_that_is_a_list():
