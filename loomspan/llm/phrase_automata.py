@@ -3,10 +3,10 @@
 A phrase is a window of ``WORDS`` consecutive words.  Its anchor is the leftmost of its ``GRAM``-word runs
 of the least hash, so equal windows have equal anchors, and about one run in five is an anchor.  Windows
 whose anchor is in one document only occur once and go.  Around each anchor that is left, the words of
-all windows that share it are one stretch.  Windows of stretches are confirmed word by word: those that
-two documents have are the phrases.  Phrases are dealt over shards by their anchor, an Aho-Corasick
-automaton is compiled for each shard, and the stretches of all documents are streamed through the shard
-of their anchor, which finds every place of every phrase.
+all windows that share it are one stretch.  Stretches are dealt over shards by their anchor.  Windows
+are confirmed word by word: those that two documents have are the phrases.  An Aho-Corasick automaton is
+compiled of each shard's phrases, and the stretches of all documents that have its anchors are streamed
+through it, which finds every place of every phrase.
 """
 
 from __future__ import annotations
@@ -132,43 +132,68 @@ class Automaton:
             letter = self._letters[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no letters
         return letter
 
-    def places(self, words: str) -> Iterator[tuple[int, int]]:
-        """(first word, value) of each phrase in a text of words with single spaces between them."""
+    def places(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(first word, value) of each phrase in a run of words."""
         if len(self._found):
             known = self._letters.get
-            for end, value in self._found.iter("".join([known(w, "\0") for w in words.split(" ")])):
+            for end, value in self._found.iter("".join([known(w, "\0") for w in words])):
                 yield end - WORDS + 1, value
 
 
+def _confirmed(docs: list[int], stretches: list[list[str]]) -> dict[str, int]:
+    """Windows that two of the documents have, and the smallest document of each."""
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for doc, words in zip(docs, stretches, strict=True):
+        for i in range(len(words) - WORDS + 1):
+            phrase = " ".join(words[i : i + WORDS])
+            if doc < first.get(phrase, doc + 1):
+                first[phrase] = doc
+            if doc > last.get(phrase, doc - 1):
+                last[phrase] = doc
+    return {phrase: doc for phrase, doc in first.items() if doc < last[phrase]}
+
+
 def _located(phrases: pa.Table, stretches: pa.Table) -> pa.Table:
-    """(h1, h2, a, b): runs of words in the shard's stretches that phrases of smaller doc_ids cover."""
-    automaton = Automaton(phrases["phrase"].to_pylist(), phrases["first"].to_pylist())
+    """(h1, h2, a, b): runs of words in the shard's stretches that phrases of smaller doc_ids cover.
+
+    Phrases of anchors that are whole in the shard are confirmed here, those of split anchors come with it.
+    """
+    h1, h2, docs, at, words, split = (stretches[c].to_pylist() for c in ("h1", "h2", "doc", "at", "words", "split"))
+    cut = [w.split(" ") for w in words]
+    own = [i for i, x in enumerate(split) if not x]
+    known = _confirmed([docs[i] for i in own], [cut[i] for i in own])
+    automaton = Automaton([*known, *phrases["phrase"].to_pylist()], [*known.values(), *phrases["first"].to_pylist()])
     rows = []
-    for h1, h2, doc, at, words in zip(*(stretches[c].to_pylist() for c in ("h1", "h2", "doc", "at", "words")), strict=True):
+    for i, doc in enumerate(docs):
         a = b = -1
-        for place, first in automaton.places(words):
+        for place, first in automaton.places(cut[i]):
             if first < doc:
                 if place > b:
                     if b > 0:
-                        rows.append((h1, h2, at + a, at + b))
+                        rows.append((h1[i], h2[i], at[i] + a, at[i] + b))
                     a = place
                 b = place + WORDS
         if b > 0:
-            rows.append((h1, h2, at + a, at + b))
+            rows.append((h1[i], h2[i], at[i] + a, at[i] + b))
     cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("h1", "h2", "a", "b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
-def _occurrences(phrases: DataFrame, stretches: DataFrame, ws: Workspace, shard: int) -> DataFrame:
-    """(h1, h2, a, b) of all phrases in all stretches.  Stretches of a frequent anchor go to several shards, which all get its phrases."""
-    spark = phrases.sparkSession
+def _occurrences(stretches: DataFrame, ws: Workspace, shard: int) -> DataFrame:
+    """(h1, h2, a, b) of all phrases in all stretches.
+
+    A shard has all stretches of some anchors.  Those of an anchor with more than ``shard`` are split among several shards;
+    its phrases are confirmed beforehand, window by window in Spark, and each of its shards gets them.
+    """
+    spark = stretches.sparkSession
     sizes = stretches.groupBy("hash").agg(F.count("*").alias("n"))
     many = small_side(ws.save(sizes.where(F.col("n") > shard).select("hash", F.ceil(F.col("n") / shard).cast("int").alias("parts")), "frequent"))
     shards = partitions_for(spark, stretches.count(), shard)
     of = lambda part: F.expr(f"pmod(xxhash64(hash, {part}), {shards})").alias("shard")
-    left = phrases.join(many, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    left = confirmed_phrases(stretches.join(many, "hash", "left_semi")).join(many, "hash").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = stretches.join(many, "hash", "left").withColumn("part", F.expr("cast(pmod(xxhash64(h1, h2), coalesce(parts, 1)) as int)"))
-    left, right = left.select(of("part"), "phrase", "first"), right.select(of("part"), "h1", "h2", "doc", "at", "words")
+    left, right = left.select(of("part"), "phrase", "first"), right.select(of("part"), "h1", "h2", "doc", "at", "words", F.col("parts").isNotNull().alias("split"))
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(tidy(_located), "h1 long, h2 long, a int, b int")
 
 
@@ -203,12 +228,10 @@ def covered_words(docs: DataFrame, ws: Workspace, shard: int = SHARD) -> DataFra
     stretches = ws.save(_stretches(held.join(small_side(lists), ["h1", "h2", "doc"])), "stretches")
     ws.drop("lists")
     ws.release()
-    phrases = ws.save(confirmed_phrases(stretches), "phrases")
-    ws.release()
-    found = _occurrences(phrases, stretches, ws, shard)
+    found = _occurrences(stretches, ws, shard)
     found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s")).mapInArrow(_joined, "h1 long, h2 long, spans binary")
     found = ws.save(found, "found")
-    ws.drop("stretches", "phrases")
+    ws.drop("stretches")
     copied = content.where("n > 1").select("h1", "h2", "first")
     return copied.join(found, ["h1", "h2"], "full_outer")
 

@@ -86,9 +86,10 @@ def test_equal_windows_have_equal_anchors():
 def test_automaton_takes_words_as_letters():
     phrase = " ".join(f"v{i}" for i in range(WORDS))
     a = Automaton([phrase, " ".join(["a"] * WORDS)], [7, 8])
-    assert list(a.places("v " + phrase + " v0")) == [(1, 7)]
-    assert list(a.places(" ".join(["a"] * (WORDS + 1)))) == [(0, 8), (1, 8)]
-    assert list(a.places(phrase.replace("v1 ", "v1v "))) == [] and list(Automaton([], []).places("a b")) == []
+    places = lambda text: list(a.places(text.split(" ")))
+    assert places("v " + phrase + " v0") == [(1, 7)]
+    assert places(" ".join(["a"] * (WORDS + 1))) == [(0, 8), (1, 8)]
+    assert places(phrase.replace("v1 ", "v1v ")) == [] and list(Automaton([], []).places(["a", "b"])) == []
 
 
 # ---- audit
