@@ -133,22 +133,53 @@ def cache_keys(spark, sf):
     return _docs(spark, sf).select("doc_id", T.cache_key(t, "cs", "sk", "stub", "m1").alias("key"), T.source_hash(t).alias("source_hash"), F.length(t).alias("source_length"), T.needs_review(t, F.lit(0.0), 0.1).alias("spot"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*")', 1),
-  lambda x: trim(x, '"')), ' ') AS hrefs FROM pages""")
+#: Pages behind tags whose quoted values hold what ends tags elsewhere.
+_HARD = """<A title="x>y <b c='d'>" HREF = '/p?a=1>2&n=' data-k=v/w checked>t</A><img alt='"q"' src=i.png /><script x="</script>">if (a<b) "<p>"</script>"""
+_HARD_PAGES = f"""SELECT page_id, '{_HARD.replace("'", "''")}' || html AS html FROM pages"""
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", F.concat(F.lit(_HARD), "html").alias("html"))
+
+
+# SQL reads tags by one state after the other, character by character: t text, o behind <, n tag name, s between attributes, a attribute
+# name, e behind it, b before a value, d and q in quotes, u in a bare value, x in a closing tag or declaration.
+_C = "y.m"
+_WS = f"({_C} IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
+_ENDS = f"""((x.m = 'a' AND {_C} IN ('>', '/')) OR (x.m = 'e' AND NOT {_WS} AND {_C} <> '=') OR (x.m = 'b' AND {_C} = '>') OR (x.m = 'd' AND {_C} = '"') OR (x.m = 'q' AND {_C} = chr(39)) OR (x.m = 'u' AND ({_WS} OR {_C} = '>')))"""
+_NEXT = f"""CASE x.m WHEN 't' THEN CASE WHEN {_C} = '<' THEN 'o' ELSE 't' END
+  WHEN 'o' THEN CASE WHEN {_C} BETWEEN 'a' AND 'z' OR {_C} BETWEEN 'A' AND 'Z' THEN 'n' WHEN {_C} IN ('/', '!', '?') THEN 'x' ELSE 't' END
+  WHEN 'n' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_C} = '/' OR {_WS} THEN 's' ELSE 'n' END
+  WHEN 's' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_C} = '/' OR {_WS} THEN 's' ELSE 'a' END
+  WHEN 'a' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_C} = '/' THEN 's' WHEN {_C} = '=' THEN 'b' WHEN {_WS} THEN 'e' ELSE 'a' END
+  WHEN 'e' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_C} = '/' THEN 's' WHEN {_C} = '=' THEN 'b' WHEN {_WS} THEN 'e' ELSE 'a' END
+  WHEN 'b' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_C} = '"' THEN 'd' WHEN {_C} = chr(39) THEN 'q' WHEN {_WS} THEN 'b' ELSE 'u' END
+  WHEN 'd' THEN CASE WHEN {_C} = '"' THEN 's' ELSE 'd' END WHEN 'q' THEN CASE WHEN {_C} = chr(39) THEN 's' ELSE 'q' END
+  WHEN 'u' THEN CASE WHEN {_C} = '>' THEN 't' WHEN {_WS} THEN 's' ELSE 'u' END ELSE CASE WHEN {_C} = '>' THEN 't' ELSE 'x' END END"""
+_SCAN_STEP = f"""{{'m': {_NEXT},
+    'tag': CASE WHEN x.m = 'o' THEN lower({_C}) WHEN x.m = 'n' AND {_C} NOT IN ('>', '/') AND NOT {_WS} THEN x.tag || lower({_C}) ELSE x.tag END,
+    'a': CASE WHEN x.m = 's' OR (x.m = 'e' AND NOT {_WS} AND {_C} <> '=') THEN lower({_C}) WHEN x.m = 'a' AND {_C} NOT IN ('=', '>', '/') AND NOT {_WS} THEN x.a || lower({_C}) ELSE x.a END,
+    'v': CASE WHEN x.m IN ('s', 'a', 'e') THEN '' WHEN x.m = 'b' AND {_C} NOT IN ('"', chr(39), '>') AND NOT {_WS} THEN {_C}
+      WHEN (x.m = 'd' AND {_C} <> '"') OR (x.m = 'q' AND {_C} <> chr(39)) OR (x.m = 'u' AND {_C} <> '>' AND NOT {_WS}) THEN x.v || {_C} ELSE x.v END,
+    'out': x.out || CASE WHEN x.m = 'n' AND ({_C} IN ('>', '/') OR {_WS}) THEN chr(30) || x.tag ELSE '' END || CASE WHEN {_ENDS} THEN chr(30) || x.tag || chr(31) || x.a || chr(31) || x.v ELSE '' END}}"""
+_SCANNED = rf"""WITH bare AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script x="</script>">|<script(?: [^>]*)?>|<style(?: [^>]*)?>).*?(</script\s*>|</style\s*>)', '\1\2', 'g'), '') AS h FROM ({_HARD_PAGES})),
+scan AS (SELECT page_id, list_reduce(list_transform(h, lambda c: {{'m': c, 'tag': '', 'a': '', 'v': '', 'out': ''}}), lambda x, y: {_SCAN_STEP}, {{'m': 't', 'tag': '', 'a': '', 'v': '', 'out': ''}}) AS r FROM bare),
+found AS (SELECT page_id, i, len(p) = 1 AS named, p[1] AS t0, p[2] AS a0, p[3] AS v0 FROM (SELECT page_id, i, string_split(o[i], chr(31)) AS p FROM (SELECT page_id, string_split(r.out, chr(30)) AS o FROM scan), unnest(range(2, len(o) + 1)) u(i)))"""
+
+
+@query(f"""{_SCANNED} SELECT page_id, coalesce(links, '') AS hrefs FROM (SELECT page_id FROM pages) LEFT JOIN (SELECT page_id, string_agg(v0, ' ' ORDER BY i) AS links FROM found WHERE NOT named AND t0 = 'a' AND a0 = 'href' GROUP BY page_id) USING (page_id)""")
 def href_extract(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", F.array_join(markup.hrefs(F.col("html")), " ").alias("hrefs"))
+    return _pages(spark, sf).select("page_id", F.array_join(markup.hrefs(F.col("html")), " ").alias("hrefs"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)\b', 1), lambda x: lower(x))), ' ') AS tags FROM pages""")
+@query(f"""{_SCANNED} SELECT page_id, string_agg(t0, ' ' ORDER BY t0) AS tags FROM found WHERE named GROUP BY page_id""")
 def tag_multiset(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", F.array_join(markup.tags(F.col("html")), " ").alias("tags"))
+    return _pages(spark, sf).select("page_id", F.array_join(markup.tags(F.col("html")), " ").alias("tags"))
 
 
-@query(r"""SELECT page_id, coalesce(array_to_string(list_sort(flatten(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[a-zA-Z][^>]*>'),
-  lambda t: list_transform(regexp_extract_all(t, '\s[a-zA-Z_:][-\w:.]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?'),
-    lambda x: concat_ws(' ', lower(regexp_extract(t, '<([a-zA-Z][a-zA-Z0-9]*)\b', 1)), lower(regexp_extract(x, '^\s([^\s=]+)', 1)), regexp_replace(regexp_extract(x, '(?s)=\s*(.*)$', 1), '^["'']|["'']$', '', 'g')))))), chr(10)), '') AS attributes FROM pages""")
+@query(f"""{_SCANNED} SELECT page_id, string_agg(t0 || ' ' || a0 || ' ' || v0, chr(10) ORDER BY t0 || ' ' || a0 || ' ' || v0) AS attributes FROM found WHERE NOT named GROUP BY page_id""")
 def attribute_multiset(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", F.array_join(markup.attributes(F.col("html")), "\n").alias("attributes"))
+    return _pages(spark, sf).select("page_id", F.array_join(markup.attributes(F.col("html")), "\n").alias("attributes"))
 
 
 @query(r"""SELECT page_id, page_id % 3 <> 0 OR NOT regexp_matches(html, '(?i)<a\b[^>]*?\shref\s*=\s*"') AS links_ok, page_id % 2 <> 0 OR NOT regexp_matches(html, '<(p|P)\b') AS structure_ok FROM pages""")
@@ -364,10 +395,10 @@ def assemble_cells(spark, sf):
     return done.where("mode <> 'skip'").select(F.col("row_index").alias("doc_id"), "rendered")
 
 
-@query("SELECT page_id, html AS rendered FROM pages")
+@query(_HARD_PAGES.replace("AS html", "AS rendered"))
 def html_roundtrip(spark, sf):
     """Markup cut into pieces, segments translated into themselves, and every byte back in place."""
-    source = read_table(spark, sf, "pages").select(F.col("page_id").alias("row_index"), F.lit("html").alias("column"), F.col("html").alias("source"))
+    source = _pages(spark, sf).select(F.col("page_id").alias("row_index"), F.lit("html").alias("column"), F.col("html").alias("source"))
     plans = cells.plan_segments(source, 400)
     rows = cells.segment_rows(plans, ["row_index", "column"])
     done = cells.assemble_cells(plans, rows.select("row_index", "column", "node", "pos", F.col("segment").alias("translated")), ["row_index", "column"])

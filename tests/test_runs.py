@@ -33,7 +33,24 @@ def test_publish_stops_behind_the_wave_of_the_breach(spark):
     job = publish_table(source, target, "ean", "id", ["name"], config=RunConfig(publish_max_error_ratio=0.2), wave=9, send=stub)
     # rows 1 to 19 but 10 are 18 good ones; of 23 requests 5 failures are more than a fifth, at row 25
     assert job.report.first().asDict() == {"updated": 18, "failed": 5, "missing": 3, "blocked": True}
-    assert job.results.count() == 27 and job.reasons == ["error_ratio"]
+    assert job.results.count() == 36 and job.reasons == ["error_ratio"]
+    faults = [(r.row_index, r.error_type) for r in job.faults.orderBy("row_order", "error_type").collect()]
+    assert faults == [("0", "ean_not_found_on_sk"), ("10", "ean_not_found_on_sk"), *[(str(i), x) for i in range(20, 26) for x in ("ean_not_found_on_sk",)][:1], *[(str(i), "sk_update_error") for i in range(21, 26)], ("25", "sync_blocked_high_error_ratio")]
+    assert job.faults.where("error_type = 'sync_blocked_high_error_ratio'").first().message == f"error ratio {5 / 23:.2%} is above 20.00%"
+
+
+def test_publish_into_nothing_is_an_error(spark):
+    source, target = _tables(spark)
+    with pytest.raises(ValueError, match="no products"):
+        publish_table(source, target.limit(0), "ean", "id", ["name"])
+
+
+def test_the_last_of_equal_keys_counts(spark):
+    source = spark.createDataFrame([(0, "e", "n")], "row_index long, ean string, name string")
+    target = spark.createDataFrame([("e", 9, 1), ("e", 3, 2)], "ean string, id long, arrived long")
+    stub = lambda rows: rows.select("row_index", "product_id", F.lit(True).alias("ok"), F.lit("").alias("message"))
+    chosen = lambda **more: publish_table(source, target, "ean", "id", ["name"], send=stub, **more).results.first().product_id
+    assert chosen() == "9" and chosen(target_order="arrived") == "3"
 
 
 def test_publish_behind_a_closed_gate_sends_nothing(spark):
@@ -225,18 +242,66 @@ def test_cuts_across_blocks_and_wings(spark, block, wing):
     assert got == expected
 
 
+def _cached(spark, key, value, batch=1):
+    return spark.createDataFrame([(key, value)], "key string, translated string").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")).withColumn("batch_id", F.lit(batch).cast("long"))
+
+
+def _rows(cache):
+    return {r.key: r.translated for r in cache.load().collect()}
+
+
 def test_cache_keeps_both_savers_and_survives_damage(spark, tmp_path):
     root = f"file://{tmp_path}/cache"
-    row = lambda k, v, b: spark.createDataFrame([(k, v)], "key string, translated string").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")).withColumn("batch_id", F.lit(b).cast("long"))
-    CacheTable(spark, root).save(row("a", "1", 1))
-    CacheTable(spark, root).save(row("b", "2", 1))
-    assert {r.key for r in CacheTable(spark, root).load().collect()} == {"a", "b"}
-    version = next(p for p in (tmp_path / "cache").iterdir() if p.name == "current").read_text().strip()
-    for part in (tmp_path / "cache" / version).glob("*.parquet"):
+    CacheTable(spark, root).save(_cached(spark, "a", "1"))
+    CacheTable(spark, root).save(_cached(spark, "b", "2"))
+    CacheTable(spark, root).save(_cached(spark, "a", "0", 0))  # older: the first stays
+    assert _rows(CacheTable(spark, root)) == {"a": "1", "b": "2"}
+    folder = tmp_path / "cache" / CacheTable(spark, root).log()[0]["add"]
+    for part in folder.glob("*.parquet"):
         part.write_bytes(b"damaged")
-    for crc in (tmp_path / "cache" / version).glob(".*.crc"):
+    for crc in folder.glob(".*.crc"):
         crc.unlink()
-    assert CacheTable(spark, root).load().count() == 0
+    assert _rows(CacheTable(spark, root)) == {}
+    CacheTable(spark, root).save(_cached(spark, "c", "3"))
+    assert _rows(CacheTable(spark, root)) == {"c": "3"} and any(p.name.startswith("log.corrupt-") for p in (tmp_path / "cache").iterdir())
+
+
+@pytest.mark.parametrize("step", ["table", "number", "base"])
+def test_interleaved_savers_keep_all_rows(spark, tmp_path, step):
+    """One saver does its whole work while another stands at a step of its own."""
+    root = f"file://{tmp_path}/{step}"
+    one, two = CacheTable(spark, root, compact_after=2), CacheTable(spark, root, compact_after=2)
+    one.save(_cached(spark, "first", "0"))
+    done = []
+
+    def meanwhile():
+        if not done:
+            done.append(1)
+            two.save(_cached(spark, "two", "2"))
+            assert _rows(two)["two"] == "2"
+
+    if step == "table":  # its table is written, the log not yet read
+        log = one.log
+        one.log = lambda: (meanwhile(), log())[1]
+    elif step == "number":  # it has chosen a number and is about to take it
+        create = one.files.create
+        one.files.create = lambda *a: (meanwhile(), create(*a))[1]
+    else:  # it has read what its base will hold
+        rows = one._rows
+        one._rows = lambda tables: (meanwhile(), rows(tables))[1]
+    one.save(_cached(spark, "one", "1"))
+    assert done and _rows(CacheTable(spark, root)) == {"first": "0", "one": "1", "two": "2"}
+    numbers = [e["number"] for e in CacheTable(spark, root).log()]
+    assert numbers == list(range(1, len(numbers) + 1)) and any("base" in e for e in CacheTable(spark, root).log())
+    CacheTable(spark, root).clean()
+    assert _rows(CacheTable(spark, root)) == {"first": "0", "one": "1", "two": "2"}
+
+
+def test_savers_at_once(spark, tmp_path):
+    root = f"file://{tmp_path}/cache"
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: CacheTable(spark, root, compact_after=3).save(_cached(spark, f"k{i}", str(i))), range(8)))
+    assert _rows(CacheTable(spark, root)) == {f"k{i}": str(i) for i in range(8)}
 
 
 def test_csv_with_and_without_quoted_breaks(spark, tmp_path):

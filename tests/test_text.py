@@ -55,6 +55,26 @@ def test_markup(spark):
     assert one(spark, html, lambda h: markup.same_structure(h, F.replace(h, F.lit("<b>"), F.lit("<i>")))) is False
 
 
+def test_quoted_values_may_hold_anything(spark):
+    html = """<a title="x>y" href='/p?a="b">c'>one</a> <A data-t='<b>' HREF = /q/r class>two</A><br/><img alt="a=b c" src=i.png/><p "odd>x</p>< 1 <b"""
+    parts = one(spark, html, markup.pieces)
+    assert "".join(p.text for p in parts) == html
+    assert [p.text for p in parts if p.is_text] == ["one", " ", "two", "x", "<", " 1 ", "<", "b"]
+    assert list(one(spark, html, markup.hrefs)) == ['/p?a="b">c', "/q/r"]
+    assert list(one(spark, html, markup.tags)) == ["a", "a", "br", "img", "p"]
+    assert list(one(spark, html, markup.attributes)) == sorted(["a title x>y", 'a href /p?a="b">c', "a data-t <b>", "a href /q/r", "a class ", "img alt a=b c", "img src i.png/", 'p "odd '])
+    assert one(spark, html, lambda h: markup.same_structure(h, F.replace(h, F.lit("x>y"), F.lit("x>z")))) is False
+
+
+def test_raw_text_elements_and_long_markup(spark):
+    html = "<script a='</script>'>if (a<b) '<p>'</script><scripts>t</scripts><STYLE>p > a {}</style >x<!-- <a href=q> --><!doctype html>"
+    assert list(one(spark, html, markup.tags)) == ["script", "scripts", "style"] and list(one(spark, html, markup.hrefs)) == []
+    assert [p.text for p in one(spark, html, markup.pieces) if p.is_text] == ["t", "x"]
+    many = "<a " + " ".join(f"k{i}='>'" for i in range(20000)) + ">" + "w " * 200000 + "<a href='" + "x" * 100000
+    parts = one(spark, many, markup.pieces)
+    assert "".join(p.text for p in parts) == many and len(one(spark, many, markup.attributes)) == 20000
+
+
 def test_mask_counts_through_all_kinds(spark):
     rows = [("a b@c.de 5 mm https://x.y/z SKU: AB-12 6 kg",), (None,), ("",)]
     found = spark.createDataFrame(rows, "t string").select(T.mask(F.col("t")).alias("m")).select("m.*").collect()
