@@ -81,12 +81,9 @@ def _base(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the floored covariance of each group and start, with the factor's determinant."""
-    p = len(STATS)
-    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
-    aggs += [F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("g", "start").agg(*aggs)
+def _factors(moments: DataFrame) -> DataFrame:
+    """(g, start, det, means m, factor l) from means and covariances: the Cholesky factor of the floored covariance, and its determinant."""
+    p, out = len(STATS), moments
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
@@ -97,24 +94,41 @@ def _moments(rows: DataFrame) -> DataFrame:
     det = F.col("l00")
     for i in range(1, p):
         det = det * F.col(f"l{i}{i}")
-    return out.select("g", "start", det.alias("det"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    return out.select("g", "start", det.alias("det"), *_HELD)
+
+
+#: Names of an estimate's means and factor.
+_HELD = [*(f"m{i}" for i in range(len(STATS))), *(f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1))]
 
 
-def _distances(rows: DataFrame, moments: DataFrame, on: list[str]) -> DataFrame:
-    """Adds d, the squared Mahalanobis distance, by forward substitution; 0 where a group has no estimate."""
-    out = rows.join(moments, on, "left")
-    d: Column = F.lit(0.0)
-    for i, x in enumerate(STATS):
-        z = F.col(x) - F.col(f"m{i}")
-        for j in range(i):
-            z = z - F.col(f"l{i}{j}") * F.col(f"z{j}")
-        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-        d = d + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.select(*rows.columns, F.coalesce(d, F.lit(0.0)).alias("d"))
+def _moments(rows: DataFrame) -> DataFrame:
+    """The estimates of each group and start from its rows within their edges: all starts in one pass."""
+    p, each, starts = len(STATS), [], []
+    for s in range(len(STARTS)):
+        x = [F.when(F.col(f"d{s}") <= F.col(f"edge{s}"), F.col(name)) for name in STATS]
+        each += [F.avg(x[i]).alias(f"m{i}_{s}") for i in range(p)]
+        each += [F.covar_pop(x[i], x[j]).alias(f"s{i}{j}_{s}") for i in range(p) for j in range(i + 1)]
+        names = [*(f"m{i}" for i in range(p)), *(f"s{i}{j}" for i in range(p) for j in range(i + 1))]
+        starts.append(F.struct(F.lit(s).alias("start"), *(F.col(f"{n}_{s}").alias(n) for n in names)))
+    return _factors(rows.groupBy("g").agg(*each).select("g", F.inline(F.array(*starts))))
+
+
+def _distances(rows: DataFrame, moments: DataFrame, suffixes: dict[str, str]) -> DataFrame:
+    """Adds squared Mahalanobis distances, named by ``suffixes``, by forward substitution; 0 where a group has no estimate."""
+    out, d = rows.join(moments, "g", "left"), {}
+    for suffix in suffixes:
+        d[suffix] = F.lit(0.0)
+        for i, x in enumerate(STATS):
+            z = F.col(x) - F.col(f"m{i}{suffix}")
+            for j in range(i):
+                z = z - F.col(f"l{i}{j}{suffix}") * F.col(f"z{j}{suffix}")
+            out = out.withColumn(f"z{i}{suffix}", z / F.col(f"l{i}{i}{suffix}"))
+            d[suffix] = d[suffix] + F.col(f"z{i}{suffix}") * F.col(f"z{i}{suffix}")
+    return out.select(*rows.columns, *(F.coalesce(d[suffix], F.lit(0.0)).alias(name) for suffix, name in suffixes.items()))
 
 
 def _started(rows: DataFrame, ws: Workspace) -> DataFrame:
-    """``rows`` once for each start, with d, what the start takes for their distance.
+    """``rows`` with d0, d1 ..., what each start takes for their distance.
 
     medians: from the medians, in floors.  means: from the means, in standard deviations.  deviations:
     the largest from the medians, in median deviations.
@@ -128,22 +142,22 @@ def _started(rows: DataFrame, ws: Workspace) -> DataFrame:
     medians = sum(((apart(i, x) / FLOORS[i]) ** 2 for i, x in enumerate(STATS)), F.lit(0.0))
     means = sum(((F.col(x) - F.col(f"a{i}")) ** 2 / (F.col(f"v{i}") + FLOORS[i] ** 2) for i, x in enumerate(STATS)), F.lit(0.0))
     deviations = F.greatest(*(F.abs(apart(i, x)) / (1.4826 * F.col(f"e{i}") + FLOORS[i]) for i, x in enumerate(STATS)))
-    starts = [F.struct(F.lit(k).alias("start"), d.alias("d")) for k, d in enumerate((medians, means, deviations))]
-    return placed.select("g", *STATS, F.inline(F.array(*starts)))
+    return placed.select("g", *STATS, *(d.alias(f"d{k}") for k, d in enumerate((medians, means, deviations))))
 
 
 def _estimates(rows: DataFrame, ws: Workspace, share: float, steps: int) -> DataFrame:
-    """For each group the minimum-covariance-determinant estimate that concentration steps reach from several starts."""
-    near = _started(rows, ws)
-    starts = rows.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(len(STARTS))))))
+    """For each group the minimum-covariance-determinant estimate that concentration steps reach from several starts.
+
+    A row stays one row: it has a distance from each start's estimate.
+    """
+    near, every = _started(rows, ws), range(len(STARTS))
     for k in range(steps + 1):
-        edge = near.groupBy("g", "start").agg(F.percentile_approx("d", share, 10_000).alias("edge"))
-        inside = near.join(small_side(ws.save(edge, f"edge{k}")), ["g", "start"]).where("d <= edge")
-        moments = small_side(ws.save(_moments(inside), f"moments{k}"))  # a row a group and start
-        near = _distances(starts, moments, ["g", "start"])
-    held = [c for c in moments.columns if c not in ("g", "det")]
-    best = moments.groupBy("g").agg(F.min_by(F.struct(*held), F.struct(F.round("det", 12), "start")).alias("best"))
-    return best.select("g", "best.*").drop("start")
+        edge = near.groupBy("g").agg(*(F.percentile_approx(f"d{s}", share, 10_000).alias(f"edge{s}") for s in every))
+        moments = ws.save(_moments(near.join(small_side(ws.save(edge, f"edge{k}")), "g")), f"moments{k}")  # a row a group and start
+        wide = moments.groupBy("g").agg(*(F.max(F.when(F.col("start") == s, F.col(c))).alias(f"{c}_{s}") for s in every for c in _HELD))
+        near = _distances(rows, small_side(ws.save(wide, f"wide{k}")), {f"_{s}": f"d{s}" for s in every})
+    best = moments.groupBy("g").agg(F.min_by(F.struct(*_HELD), F.struct(F.round("det", 12), "start")).alias("best"))
+    return best.select("g", "best.*")
 
 
 def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, least: int = 100) -> DataFrame:
@@ -180,7 +194,7 @@ def quality_verdicts(docs: DataFrame, keep: list[str] | None = None, cutoff: flo
     grouped = ws.save(grouped, "grouped")
     ws.drop("base")
     rows = grouped.where("not base_failed").select(F.explode("teaches").alias("g"), *STATS)
-    out = _distances(grouped, small_side(ws.save(_estimates(rows, ws, share, steps), "estimates")), ["g"])
+    out = _distances(grouped, small_side(ws.save(_estimates(rows, ws, share, steps), "estimates")), {"": "d"})
     out = out.withColumn("d", F.col("d") * consistency(len(STATS), share))
     return out.select(
         *(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)),
