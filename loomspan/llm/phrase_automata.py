@@ -225,7 +225,7 @@ def covered_words(docs: DataFrame, ws: Workspace, shard: int = SHARD) -> DataFra
     lists = ws.save(_packed(lists), "lists")
     ws.drop("anchors")
     ws.release()
-    stretches = ws.save(_stretches(held.join(small_side(lists), ["h1", "h2", "doc"])), "stretches")
+    stretches = ws.save(_stretches(held.join(lists, ["h1", "h2", "doc"])), "stretches")
     ws.drop("lists")
     ws.release()
     found = _occurrences(stretches, ws, shard)
