@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -16,9 +17,11 @@ from ..operators import cells, chunks, metrics, provider, publish
 from ..operators.order import saved, with_index
 from ..session import read_table
 from ..sources import cache as store
+from ..sources.scratch import shared_folder
 from ..sources.tables import QUALITY_REPORT, flatten, report_table
 from ..streaming.control import persistent
 from ..streaming.events import run_available, stream_table, windowed
+from ..streaming.ring import recent_calls, use_state_store
 from .publish import publish_table
 from .run import run_job
 from .translate import translate_table
@@ -316,14 +319,16 @@ def cache_probe_misses(spark, sf):
     return store.misses(rows, known).select("doc_id", "pos", "segment")
 
 
-@query("""
-SELECT key, translated, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch_id DESC, translated DESC) AS r FROM (
-  SELECT sha256(lang) AS key, max(text) AS translated, 1 AS batch_id FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL
-  SELECT sha256(lang), min(text), 2 FROM documents WHERE lang IN ('en', 'de') GROUP BY lang)) WHERE r = 1""")
+@query(f"""WITH s AS (SELECT DISTINCT segment, sha256(segment || '|cs|sk|stub|m1') AS key, CAST('0x' || substr(sha256(segment), 1, 2) AS INTEGER) AS h FROM ({_SEGMENTS})),
+r AS (SELECT key, '+' || segment AS translated, 1 AS batch_id FROM s WHERE h < 160 UNION ALL SELECT key, '-' || segment, 2 FROM s WHERE h >= 96)
+SELECT key, translated, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch_id DESC) AS n FROM r) WHERE n = 1""")
 def cache_upsert(spark, sf):
-    d = _docs(spark, sf).where("lang is not null")
-    part = lambda df, f, n: df.groupBy(F.sha2("lang", 256).alias("key")).agg(f("text").alias("translated")).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")).withColumn("batch_id", F.lit(n).cast("long"))
-    return store.upsert(part(d, F.max, 1), part(d.where("lang in ('en', 'de')"), F.min, 2)).select("key", "translated", "batch_id")
+    """Two savers with overlapping segments, through commits of the cache's log and a base."""
+    rows = _segments(spark, sf).select("segment", T.cache_key(F.col("segment"), "cs", "sk", "stub", "m1").alias("key"), F.conv(F.substring(F.sha2("segment", 256), 1, 2), 16, 10).cast("int").alias("h")).distinct()
+    part = lambda cond, sign, n: rows.where(cond).select("key", F.concat(F.lit(sign), "segment").alias("translated"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit(n).cast("long").alias("batch_id"))
+    table = store.CacheTable(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", compact_after=2)
+    table.save(part("h >= 96", "-", 2))
+    return table.save(part("h < 160", "+", 1)).select("key", "translated", "batch_id")
 
 
 @query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'EKO' WHEN 'SMALL' THEN 'MALÝ' ELSE p_type END AS result FROM part")
@@ -468,11 +473,12 @@ def run_envelope(spark, sf):
 
 
 def _targets(spark, sf):
-    p = read_table(spark, sf, "part").where("p_partkey % 5 <> 0")
+    """Products under keys below 700; parts beyond have none, so orders of them are missing."""
+    p = read_table(spark, sf, "part")
     return p.select(F.concat(F.lit(" "), (F.col("p_partkey") % 700).cast("string"), F.lit(" ")).alias("ean"), F.col("p_partkey").alias("id"))
 
 
-_PLAN = """SELECT l.l_orderkey * 10 + l.l_linenumber AS row_index, t.id AS product_id FROM lineitem l LEFT JOIN (SELECT p_partkey % 700 AS k, max(p_partkey) AS id FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL) t ON t.k = l.l_partkey"""
+_PLAN = """SELECT l.l_orderkey * 10 + l.l_linenumber AS row_index, t.id AS product_id FROM lineitem l LEFT JOIN (SELECT p_partkey % 700 AS k, max(p_partkey) AS id FROM part GROUP BY ALL) t ON t.k = l.l_partkey"""
 
 
 def _plan(spark, sf):
@@ -495,16 +501,28 @@ def publish_breaker(spark, sf):
 
 @query(f"""WITH p AS ({_PLAN}), r AS (SELECT row_index, row_index % 4 = 0 AS f FROM p WHERE product_id IS NOT NULL),
 x AS (SELECT row_index, sum(f::INT) OVER w AS bad, 10 + count(*) OVER w AS n FROM r WINDOW w AS (ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-b AS (SELECT min(row_index) AS b FROM x WHERE bad / n::DOUBLE > 0.24::DOUBLE), e AS (SELECT coalesce(b, 9223372036854775807) AS e, b IS NOT NULL AS blocked FROM b)
-SELECT (SELECT count(*) FROM r, e WHERE row_index <= e AND NOT f) AS updated, (SELECT count(*) FROM r, e WHERE row_index <= e AND f) AS failed,
-  (SELECT count(*) FROM p, e WHERE row_index <= e AND product_id IS NULL) AS missing, blocked FROM e""")
+b AS (SELECT min(row_index) AS b FROM x WHERE bad / n::DOUBLE > 0.24::DOUBLE), e AS (SELECT coalesce(b, 9223372036854775807) AS e, b IS NOT NULL AS blocked FROM b),
+g AS (SELECT unnest([0.9::DOUBLE, 0.03::DOUBLE]) AS fail, unnest([0.9::DOUBLE, 0.02::DOUBLE]) AS error, unnest([1.0::DOUBLE, 0.15::DOUBLE]) AS shape),
+gates AS (SELECT fail > 0.5 AS lenient, NOT (n >= 25 AND e / n::DOUBLE > fail OR e / n::DOUBLE > error OR chunks >= 10 AND e / greatest(1, chunks)::DOUBLE > shape) AS open FROM g, ({_PERF})),
+found AS (SELECT (SELECT count(*) FROM r, e WHERE row_index <= e AND NOT f) AS updated, (SELECT count(*) FROM r, e WHERE row_index <= e AND f) AS failed,
+  (SELECT count(*) FROM p, e WHERE row_index <= e AND product_id IS NULL) AS missing, blocked FROM e)
+SELECT lenient, CASE WHEN open THEN updated ELSE 0 END AS updated, CASE WHEN open THEN failed ELSE 0 END AS failed, CASE WHEN open THEN missing ELSE 0 END AS missing, NOT open OR blocked AS blocked,
+  CASE WHEN open THEN missing ELSE 0 END AS lost_keys, CASE WHEN open THEN failed ELSE 0 END AS update_errors, CASE WHEN open AND blocked THEN 1 ELSE 0 END AS halts FROM gates, found""")
 def publish_job(spark, sf):
-    """Gate, plan, requests to a stub in waves, breaker and report."""
+    """Gates of a run by two settings, plan, requests to a stub in growing waves, breaker, counts and rows of faults."""
     source = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), F.col("l_partkey").cast("string").alias("ean"), F.col("l_returnflag").alias("name"))
     stub = lambda rows: rows.select("row_index", "product_id", (F.col("row_order") % 4 != 0).alias("ok"), F.lit("").alias("message"))
-    gate = spark.createDataFrame([(True, [])], "passed boolean, reasons array<string>")
-    job = publish_table(source, _targets(spark, sf), "ean", "id", ["name"], gate=gate, config=RunConfig(publish_max_error_ratio=0.24), wave=1_000_000, requests_before=10, send=stub)
-    return job.report.select("updated", "failed", "missing", "blocked")
+    ratios = metrics.run_metrics(_perf(spark, sf))
+    out = []
+    for lenient in (True, False):
+        limits = {"max_fail_ratio": 0.9, "max_provider_error_ratio": 0.9, "max_shape_error_rate": 1.0} if lenient else {}
+        config = RunConfig(publish_max_error_ratio=0.24, **limits)
+        gate = metrics.run_gate(metrics.alerts(ratios, metrics.rules_table(spark, config)))
+        job = publish_table(source, _targets(spark, sf), "ean", "id", ["name"], gate=gate, config=config, requests_before=10, send=stub)
+        kinds = {"lost_keys": "ean_not_found_on_sk", "update_errors": "sk_update_error", "halts": "sync_blocked_high_error_ratio"}
+        faults = job.faults.agg(*(F.count_if(F.col("error_type") == kind).alias(name) for name, kind in kinds.items()))
+        out.append(job.report.crossJoin(faults).select(F.lit(lenient).alias("lenient"), "updated", "failed", "missing", "blocked", *kinds))  # one row each
+    return out[0].unionByName(out[1])
 
 
 @query("""SELECT user_id, h, rate, count(*) OVER w = 3 AND min(rate) OVER w >= 0.25::DOUBLE AS triggered FROM (
@@ -516,9 +534,12 @@ def controller_safe_mode(spark, sf):
     return persistent(rates, "rate", "h", 0.25, ["user_id"])
 
 
-@query("SELECT i AS batch, i >= 23 OR i % 5 = 0 AS checkpoint FROM range(1, 31) t(i)")
+@query("SELECT event_id AS batch, event_id >= (SELECT max(event_id) FROM events) OR event_id % 5 = 0 AS checkpoint FROM events")
 def checkpoint_flags(spark, sf):
-    return spark.range(1, 31).select(F.col("id").alias("batch"), chunks.should_checkpoint(F.col("id"), F.lit(23), 5).alias("checkpoint"))
+    """Each event as a finished batch of a run that has as many as there are events."""
+    e = read_table(spark, sf, "events")
+    total = e.agg(F.max("event_id").alias("total"))  # one row
+    return e.crossJoin(F.broadcast(total)).select(F.col("event_id").alias("batch"), chunks.should_checkpoint(F.col("event_id"), F.col("total"), 5).alias("checkpoint"))
 
 
 @query()
@@ -554,8 +575,6 @@ def event_windows(spark, sf):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_metrics(spark, sf):
     """The same counts from a file stream, batch by batch into a table that repeated batches overwrite."""
-    from ..sources.scratch import shared_folder
-
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -565,6 +584,27 @@ def stream_metrics(spark, sf):
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
+@query("""SELECT CAST(user_id % 5 AS VARCHAR) AS key, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (n <= 50 AND event_type = 'error') AS recent_errors,
+  CAST(sum(event_id) FILTER (n <= 50) AS BIGINT) AS recent_chars, count(*) FILTER (n <= 50) AS recent_requests
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) AS n FROM events) GROUP BY user_id % 5""")
+def stream_provider_metrics(spark, sf):
+    """Calls of five providers as a stream of several batches: each provider's last 50 calls are its state."""
+    use_state_store(spark)
+    e = read_table(spark, sf, "events").select("event_id", (F.col("user_id") % 5).alias("provider"), (F.col("event_type") != "error").alias("success"), F.lit(False).alias("fallback_used"), F.col("event_id").alias("input_chars"), F.lit(1).alias("input_count"), F.lit(1).alias("latency_ms"))
+    root = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    e.repartition(3, "event_id").write.parquet(f"{root}/in")  # three files, so three batches, out of order
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    found = recent_calls(stream, "provider", "event_id", 50)
+    found.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    names = ("requests", "errors", "recent_errors", "recent_chars", "recent_requests")
+    return rows.groupBy("key").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("key", "r.*")
+
+
 @query("SELECT event_id, user_id AS \"u.id\", event_type AS \"u.kind.name\" FROM events")
 def flatten_json(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("name")).alias("kind")).alias("u"))
@@ -593,3 +633,59 @@ def run_in_waves(spark, sf):
     key = T.cache_key(F.col("p_name"), "en", "de", "prefix", "default")
     known = table.where("row_index % 2 = 0").select(key.alias("key"), F.concat(F.lit("new:"), "p_name").alias("translated"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit(0).cast("long").alias("batch_id")).distinct()
     return run_job(table, ["p_name", "p_brand"], known, "prefix", config, waves=2).table
+
+
+_MARKED = "replace(text, '<', '(') || CASE WHEN doc_id % 7 = 0 THEN ' zpětný chod' ELSE '' END"
+_BAD = lambda x: f"regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_])zp[eě]tn([ýyáaéeíi]|[ýy]ch|[ýy]mi)?($|[^\\p{{L}}\\p{{N}}_])')"
+_BARE = lambda x: f"regexp_replace({x}, '__KEEP_[0-9]+__', ' ', 'g')"
+# the gate's first rule that speaks on a text and its result, both in the fast tier
+_CODE = lambda s, t: f"""CASE WHEN NOT regexp_matches({s}, '\\S') THEN 'empty_translation' WHEN {_NORM(s)} = {_NORM(t)} AND {_LEN(s)} >= 12 AND NOT {_FINE.replace('translated', 'source').replace('source', _BARE(s))} THEN 'unchanged_text'
+  WHEN {_BAD(s)} AND {_BAD(t)} THEN 'czech_lexeme_residual' ELSE 'ok' END"""
+_RESUMED = f"""WITH m0 AS (SELECT doc_id, {_MARKED} AS text, CAST([] AS VARCHAR[]) AS kept FROM documents WHERE regexp_matches({_MARKED}, '\\S')), {", ".join(_MASK_STEP.format(to=f"m{i + 1}", src=f"m{i}", p=p) for i, p in enumerate(_PATTERNS))},
+g AS (SELECT doc_id, i AS pos, x[i] AS s FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{{1,400}}\\z|.{{1,399}} |.{{400}}') AS x FROM m4 WHERE regexp_matches({_BARE('text')}, '[A-Za-zÀ-ž]')), unnest(range(1, len(x) + 1)) t(i)),
+h AS (SELECT *, CAST('0x' || substr(sha256(s), 1, 2) AS INTEGER) AS b FROM g),
+c AS (SELECT *, CASE WHEN b < 64 THEN 'new:' || s WHEN b < 96 THEN s END AS cached FROM h),
+j AS (SELECT *, CASE WHEN cached IS NOT NULL THEN {_CODE('s', 'cached')} END AS was, {_CODE('s', "('new:' || s)")} AS now FROM c),
+u AS (SELECT *, CASE WHEN was = 'ok' THEN cached WHEN now = 'ok' THEN 'new:' || s ELSE s END AS used FROM j),
+a AS (SELECT doc_id, string_agg(used, '' ORDER BY pos) AS r FROM u GROUP BY doc_id),
+cells AS (SELECT doc_id, m0.text AS source, coalesce(list_reduce(list_prepend({{'i': 0, 't': a.r}}, list_transform(range(len(m4.kept)), lambda i: {{'i': i, 't': m4.kept[i + 1]}})),
+  lambda x, y: {{'i': 0, 't': replace(x.t, '__KEEP_' || y.i || '__', y.t)}}).t, m0.text) AS rendered FROM m0 JOIN m4 USING (doc_id) LEFT JOIN a USING (doc_id)),
+v AS (SELECT *, {_CODE('source', 'rendered')} AS code FROM cells)
+SELECT 'cell' AS part, CAST(doc_id AS VARCHAR) AS row_index, sha256(CASE WHEN code = 'ok' THEN rendered ELSE source END) AS text_hash, '' AS issue, '' AS action FROM v
+UNION ALL SELECT 'cell', CAST(doc_id AS VARCHAR), sha256({_MARKED}), '', '' FROM documents WHERE NOT regexp_matches({_MARKED}, '\\S')
+UNION ALL SELECT 'report', CAST(doc_id AS VARCHAR), substr(sha256(source), 1, 16), 'quality_gate_failed', '' FROM v WHERE code <> 'ok'
+UNION ALL SELECT 'quality', CAST(doc_id AS VARCHAR), substr(sha256(source), 1, 16), code, 'cell_rejected' FROM v WHERE code <> 'ok'
+UNION ALL SELECT DISTINCT 'quality', '', substr(sha256(s), 1, 16), was, 'cache_rejected' FROM u WHERE was <> 'ok'
+UNION ALL SELECT DISTINCT 'quality', '', substr(sha256(s), 1, 16), now, 'not_cached' FROM u WHERE coalesce(was, '') <> 'ok' AND now <> 'ok'"""
+
+
+class _Stopped(Exception):
+    pass
+
+
+@query(_RESUMED)
+def resumed_run(spark, sf):
+    """Czech to Slovak over all documents, some with a word that the gate refuses, and a cache of right and wrong results.
+
+    The run is broken off behind its first wave and called again; cells, report and quality report are those of one run.
+    """
+    marked = F.concat(F.replace("text", F.lit("<"), F.lit("(")), F.when(F.col("doc_id") % 7 == 0, " zpětný chod").otherwise(""))
+    table = _docs(spark, sf).select(F.col("doc_id").alias("row_index"), marked.alias("text"))
+    config = RunConfig(max_chars=400, cache_sample_rate=1.0, cells_per_run=2_000, segments_per_run=20_000, misses_per_run=2_000)
+    segments = cells.segment_rows(cells.plan_segments(cells.unpivot_cells(table, ["text"]), config.max_chars), ["row_index", "column"]).select("segment").distinct()
+    first = F.conv(F.substring(F.sha2("segment", 256), 1, 2), 16, 10).cast("int")
+    known = segments.select(T.cache_key(F.col("segment"), "cs", "sk", "prefix", "default").alias("key"), F.when(first < 64, F.concat(F.lit("new:"), "segment")).when(first < 96, F.col("segment")).alias("translated"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit(-1).cast("long").alias("batch_id")).where("translated is not null")
+    folder = f"{shared_folder(spark)}/resumed-{uuid.uuid4().hex}"
+
+    def stop(wave, state, so_far):
+        raise _Stopped
+
+    with contextlib.suppress(_Stopped):
+        run_job(table, ["text"], known, "prefix", config, waves=2, store=folder, after=stop)
+    run = run_job(table, ["text"], known, "prefix", config, waves=2, store=folder)
+    none = F.lit("")
+    done = run.table.select(F.lit("cell").alias("part"), F.col("row_index").cast("string").alias("row_index"), F.sha2("text", 256).alias("text_hash"), none.alias("issue"), none.alias("action"))
+    report = run.report.select(F.lit("report").alias("part"), "row_index", F.col("source_hash").alias("text_hash"), F.col("error_type").alias("issue"), none.alias("action"))
+    # a result that never gets better is refused in each wave that meets its segment
+    issues = run.quality_report.select(F.lit("quality").alias("part"), F.coalesce("row_index", none).alias("row_index"), F.col("source_hash").alias("text_hash"), "issue", "action").distinct()
+    return done.unionByName(report).unionByName(issues)
