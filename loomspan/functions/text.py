@@ -16,8 +16,11 @@ HTML_TAG = r"<[a-zA-Z!/][^>]*>"
 LETTER = "A-Za-zÀ-ž"
 TOKEN = r"__KEEP_[0-9]+__"
 
-#: Java needs (?U) where the patterns mean all of Unicode.
-PROTECTED = {"urls": f"(?U){URL}", "emails": f"(?U){EMAIL}", "codes": f"(?U){CODE}", "units": f"(?iU){UNIT}"}
+#: Java needs (?U) where the patterns mean all of Unicode.  An address begins where its run of characters does or the
+#: one before it ended, so no run is searched from each of its places; a code or unit begins with what can be told at a glance.
+PROTECTED = {"urls": f"(?U){URL}", "emails": r"(?U)(?:\G|(?<![\w.%-]))" + EMAIL.replace("+@", "++@"), "codes": rf"(?U)(?=[SEI\d])(?:{CODE})", "units": rf"(?iU)(?=\d){UNIT}"}
+#: What a text must have for a kind to be searched at all.
+_SIGNS = {"urls": lambda t: t.contains("://"), "emails": lambda t: t.contains("@"), "codes": lambda t: t.rlike(r"(?U)\d|SKU|EAN|IP"), "units": lambda t: t.rlike(r"(?U)\d")}
 
 
 def is_html(text: Column) -> Column:
@@ -43,8 +46,9 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _mask_one(pattern: str) -> Callable[[Column], Column]:
-    """From struct(text, kept) to the same with the spans of one more pattern masked."""
+def _mask_one(kind: str) -> Callable[[Column], Column]:
+    """From struct(text, kept) to the same with the spans of one more kind masked."""
+    pattern, sign = PROTECTED[kind], _SIGNS[kind]
 
     def replaced(s: Column) -> Column:
         parts = F.zip_with(F.split(s["text"], pattern, -1), _tokens(s["found"], F.size(s["kept"])), lambda part, token: F.concat(part, F.coalesce(token, F.lit(""))))
@@ -52,7 +56,8 @@ def _mask_one(pattern: str) -> Callable[[Column], Column]:
 
     def step(s: Column) -> Column:
         found = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
-        return bind(F.struct(s["text"].alias("text"), s["kept"].alias("kept"), found.alias("found")), replaced)
+        masked = bind(F.struct(s["text"].alias("text"), s["kept"].alias("kept"), found.alias("found")), replaced)
+        return F.when(F.coalesce(sign(s["text"]), F.lit(True)), masked).otherwise(s)
 
     return step
 
@@ -61,7 +66,7 @@ def mask(text: Column, kinds: tuple[str, ...] = tuple(PROTECTED)) -> Column:
     """struct(text, kept): protected spans become ``__KEEP_n__``, n counting through all kinds; kept[n] is the span."""
     masked = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kept"))
     for kind in kinds:
-        masked = bind(masked, _mask_one(PROTECTED[kind]))
+        masked = bind(masked, _mask_one(kind))
     return masked
 
 
@@ -85,7 +90,7 @@ def complexity(text: Column, is_markup: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Stripped, white space collapsed, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def letters(text: Column) -> Column:
