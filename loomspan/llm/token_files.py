@@ -146,8 +146,11 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, row
     dealt = coded.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
     plain = dealt.write.option("compression", "none").option("parquet.enable.dictionary", "false")
     plain.partitionBy("bucket").parquet(f"{out}/ids")
+    spark = docs.sparkSession
     # an empty table has no folders, hence no columns to be found
-    docs.sparkSession.createDataFrame([(kind,)], "doc_id string").write.mode("overwrite").json(f"{out}/kind")
+    spark.createDataFrame([(kind,)], "doc_id string").write.mode("overwrite").json(f"{out}/kind")
+    places = list(zip(ranges.starts, ranges.first, ranges.spread, strict=True))
+    spark.createDataFrame(places, f"start {kind}, bucket int, files int").coalesce(1).write.mode("overwrite").parquet(f"{out}/ranges")  # a row a range
 
 
 def open_token_files(spark: SparkSession, out: str) -> DataFrame:
@@ -156,14 +159,28 @@ def open_token_files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(f"doc_id {kind}, tie long, codes binary, bucket int").parquet(f"{out}/ids")
 
 
-def tokens_at(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
+def files_of(spark: SparkSession, out: str, ids: list) -> DataFrame:
+    """(doc_id, codes) of some documents: only the files whose ranges have these ids are opened, and of them only the pages that do."""
+    found = spark.read.parquet(f"{out}/ranges").orderBy("start", "bucket").collect()  # a row a range
+    starts, buckets = [r.start for r in found], set()
+    for i in ids:
+        k = max(0, bisect_right(starts, i) - 1)
+        if found:
+            buckets.update(range(found[k].bucket, found[k].bucket + found[k].files))
+    files = open_token_files(spark, out)
+    return files.where(F.col("bucket").isin(sorted(buckets)) & F.col("doc_id").isin(ids)).select("doc_id", "codes")
+
+
+def tokens_at(spark: SparkSession, out: str, wanted: DataFrame, most: int = 10_000) -> DataFrame:
     """(doc_id, place, id) of single tokens: each row of ``wanted`` (doc_id, place) with the id at that place.
 
-    Only the documents asked for are read, by the files' ranges of doc_id, and of each only the bytes
-    on the way to its token.  A place past the end gives null; so does a document that is not there.
+    Up to ``most`` different documents are looked up by their files' ranges of doc_id and sent to the rows that ask;
+    more are joined, which reads all files.  Of each document only the bytes on the way to its token are decoded.
+    A place past the end gives null; so does a document that is not there.
     """
-    files = open_token_files(spark, out).select("doc_id", "codes")
-    kind = files.schema["doc_id"].dataType.simpleString()
+    few = [r.doc_id for r in wanted.select("doc_id").where("doc_id is not null").distinct().limit(most + 1).collect()]
+    files = files_of(spark, out, few) if len(few) <= most else open_token_files(spark, out).select("doc_id", "codes")
+    kind = open_token_files(spark, out).schema["doc_id"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
