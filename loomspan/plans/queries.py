@@ -24,7 +24,7 @@ from ..streaming.events import run_available, stream_table, windowed
 from ..streaming.ring import recent_calls, use_state_store
 from .publish import publish_table
 from .run import run_job
-from .translate import translate_table
+from .translate import translate_column, translate_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,6 +659,20 @@ UNION ALL SELECT DISTINCT 'quality', '', substr(sha256(s), 1, 16), was, 'cache_r
 UNION ALL SELECT DISTINCT 'quality', '', substr(sha256(s), 1, 16), now, 'not_cached' FROM u WHERE coalesce(was, '') <> 'ok' AND now <> 'ok'"""
 
 
+_COLUMN = f"""WITH m0 AS (SELECT doc_id, text, CAST([] AS VARCHAR[]) AS kept FROM documents WHERE regexp_matches(text, '\\S')), {", ".join(_MASK_STEP.format(to=f"m{i + 1}", src=f"m{i}", p=p) for i, p in enumerate(_PATTERNS))},
+g AS (SELECT doc_id, i AS pos, x[i] AS s FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{{1,400}}\\z|.{{1,399}} |.{{400}}') AS x FROM m4 WHERE regexp_matches({_BARE('text')}, '[A-Za-zÀ-ž]')), unnest(range(1, len(x) + 1)) t(i)),
+a AS (SELECT doc_id, string_agg('new:' || s, '' ORDER BY pos) AS r FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(list_reduce(list_prepend({{'i': 0, 't': a.r}}, list_transform(range(len(m4.kept)), lambda i: {{'i': i, 't': m4.kept[i + 1]}})),
+  lambda x, y: {{'i': 0, 't': replace(x.t, '__KEEP_' || y.i || '__', y.t)}}).t, m0.text) AS translated FROM m0 JOIN m4 USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+@query(_COLUMN)
+def translate_texts(spark, sf):
+    """One column as plain text: masked, cut, sent in overlapping requests, put together, unmasked."""
+    done = translate_column(_docs(spark, sf), "text", "prefix", "doc_id", RunConfig(source_lang="en", target_lang="de", max_chars=400), mode="FORCE_TEXT")
+    return done.select(F.col("row_index").alias("doc_id"), "translated")
+
+
 class _Stopped(Exception):
     pass
 
