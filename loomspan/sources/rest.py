@@ -8,6 +8,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from typing import Any
@@ -17,6 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .scratch import shared_folder
+from .tables import flatten
+
 # Answers that are tried again, and the names under which payloads keep their lists.
 RETRIED = (429, 500, 502, 503, 504)
 OUTER, INNER = ("data", "items", "results", "products"), ("items", "results", "products")
@@ -256,13 +260,14 @@ class ProductSource(DataSource):
 
 
 def read_products(spark: SparkSession, **options: str) -> DataFrame:
-    """Products with nested fields flattened to dotted names; no products, no columns.  Every page is fetched once."""
-    from ..operators.order import saved
-    from .tables import flatten
+    """Products with nested fields flattened to dotted names; no products, no columns.
 
+    Every page is fetched once: products are kept as lines in the shared folder, and columns follow from these.
+    """
     spark.dataSource.register(ProductSource)
-    raw = saved(spark.read.format("product_api").options(**options).load())
-    return flatten(spark.read.json(raw.select("value").rdd.map(lambda r: r.value)))
+    path = f"{shared_folder(spark)}/products-{uuid.uuid4().hex}"
+    spark.read.format("product_api").options(**options).load().write.text(path)
+    return flatten(spark.read.json(path))
 
 
 def patch_products(changes: DataFrame, options: dict[str, str]) -> DataFrame:
