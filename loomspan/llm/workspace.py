@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: list[Workspace] = []
+
+
+@contextmanager
+def removed_after() -> Iterator[None]:
+    """Files of workspaces made inside are removed at the end.  Write what is to stay before; DataFrames that read them are void."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        for ws in _made[mark:]:
+            ws.drop("")
+        del _made[mark:]
+
+
 class Workspace:
     """Parquet tables that cut lineage: a lost executor never forces an earlier phase to run again.
 
@@ -34,7 +50,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._sizes: dict[str, int] = {}
+        _made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
