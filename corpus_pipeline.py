@@ -15,7 +15,7 @@ from loomspan.llm.ngram_join import ngram_jaccard_components
 from loomspan.llm.packing import pack_documents
 from loomspan.llm.quality import quality_verdicts
 from loomspan.llm.suffix_dedup import remove_repeats
-from loomspan.llm.workspace import Workspace, small_side
+from loomspan.llm.workspace import Workspace, removed_after, small_side
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose nearest profile is farther away than this are in none of the known languages.
@@ -74,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with removed_after():  # what the stage wrote on its way
+            docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
