@@ -5,10 +5,11 @@ A place is a cut if the hash of the ``GRAM`` bytes from it is the least of some
 Let a string of ``SPAN`` bytes occur twice.  The cuts from the first to the last that are chosen within
 it are the same in both; the first lies less than ``WINDOW`` bytes from its start, and all phrases of the
 following ``RUN`` bytes or more are shared.  So phrases that occur once can go, and what is left is a
-much shorter string whose suffixes the difference-cover algorithm sorts.  Neighbours in that order that
-share a prefix of ``RUN`` bytes or more are the candidates.  Their bytes around the cut are then compared.
-The shared prefixes also say how long the stretches are that a text has in common with others, below
-``SPAN`` bytes, too.
+much shorter string whose suffixes the difference-cover algorithm sorts, ``SPAN`` bytes deep.  The longest
+common prefix of each two neighbours in that order is measured phrase by phrase; places where it has ``RUN``
+bytes or more are the candidates, whose bytes around the cut are then compared.  No place shares more with
+any other than with one of its neighbours, so the greatest of these lengths also says how long a stretch a
+text has in common with one other place, below ``SPAN`` bytes, too.
 """
 
 from __future__ import annotations
@@ -115,78 +116,111 @@ def _block(rows: pa.Table) -> pa.Table:
     seed = textkit.mix(np.array([block], np.int64).astype(np.uint64) + np.uint64(77))
     names = textkit.mix(seed + np.arange(n, dtype=np.uint64)).astype(np.int64)
     names[at] = name
-    # the run of whole phrases from each place up to the first end at RUN bytes or more, if all are there
-    end = off + size
-    stop = np.flatnonzero(last)
-    stop = stop[np.searchsorted(stop, np.arange(len(uid)))]
-    run = np.append(0, np.cumsum(last)[:-1])
-    far = end + run * (int(end.max()) + RUN + WINDOW + 1)  # ascending over all runs
-    reach = np.searchsorted(far, off + RUN + run * (int(end.max()) + RUN + WINDOW + 1))
-    ok = reach <= stop
-    sums = np.zeros(len(uid) + 1, np.uint64)
-    np.cumsum(textkit.mix(name.astype(np.uint64)) * textkit._power("up", len(uid)), out=sums[1:])
-    sign = np.zeros(len(uid), np.uint64)
-    sign[ok] = textkit.spans(sums, np.flatnonzero(ok), reach[ok] + 1) | np.uint64(1)
-    stops = off + size
-    stops[ok] = end[reach[ok]]
-    pad = lambda x: (lambda full: (full.__setitem__(at, x), full)[1])(np.zeros(n, x.dtype))
-    sizes = np.full(n, RUN, np.int32)
+    sizes = np.full(n, SPAN, np.int32)
     sizes[at] = size
-    cols = {"names": names, "sizes": sizes, "uids": pad(uid), "offs": pad(off), "ends": pad(stops), "signs": pad(sign)}
+    whose, where = np.zeros(n, np.int64), np.full(n, -1, np.int64)  # separators have no place
+    whose[at], where[at] = uid, off
+    cols = {"names": names, "sizes": sizes, "uids": whose, "offs": where}
     return pa.table({"block": pa.array([block])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in cols.items()})
 
 
-def _candidates(blocks: DataFrame, ranks: DataFrame, rows: int) -> DataFrame:
-    """(uid, off, end) of places whose neighbour in suffix order shares a prefix of RUN bytes or more, which ends at ``end``."""
-    fields = "uid long, off long, end long, edge long, twin boolean"
+#: Equal phrases in a row at the head of a suffix are one entry.
+_ENTRY = np.dtype([("name", "<i8"), ("size", "<u2"), ("count", "<u2")])
+
+
+def _heads(names: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.Array:
+    """For each place the phrases from it up to the first end at SPAN bytes or more, as entries."""
+    through = np.cumsum(sizes.astype(np.int64))
+    ends = np.searchsorted(through, through[places] - sizes[places] + SPAN)
+    starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    stops = np.append(starts[1:], len(names)) - 1
+    run = np.searchsorted(starts, np.arange(len(names)), side="right") - 1
+    n = run[ends] - run[places] + 1
+    first = np.append(0, np.cumsum(n))
+    which = np.repeat(run[places] - first[:-1], n) + np.arange(first[-1])
+    out = np.zeros(first[-1], _ENTRY)
+    out["name"], out["size"] = names[starts[which]], sizes[starts[which]]
+    out["count"] = np.minimum(stops[which], np.repeat(ends, n)) - np.maximum(starts[which], np.repeat(places, n)) + 1
+    offsets = (first * _ENTRY.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def shared_prefixes(heads: pa.Array) -> np.ndarray:
+    """Bytes of the whole phrases that each head shares with the next one at their beginning."""
+    n = max(len(heads) - 1, 0)
+    total = np.zeros(n, np.int64)
+    if not n:
+        return total
+    _, offsets, data = heads.buffers()
+    first = np.frombuffer(offsets, np.int32)[heads.offset : heads.offset + n + 2].astype(np.int64) // _ENTRY.itemsize
+    entries = np.frombuffer(data, _ENTRY, count=int(first[-1]))
+    alive, step = np.arange(n), 0
+    while len(alive):
+        alive = alive[(first[alive] + step < first[alive + 1]) & (first[alive + 1] + step < first[alive + 2])]
+        x, y = entries[first[alive] + step], entries[first[alive + 1] + step]
+        same = x["name"] == y["name"]
+        alive, x, y = alive[same], x[same], y[same]
+        total[alive] += np.minimum(x["count"], y["count"]).astype(np.int64) * x["size"]
+        alive, step = alive[x["count"] == y["count"]], step + 1
+    return total
+
+
+def _neighbours(blocks: DataFrame, ranks: DataFrame, rows: int) -> DataFrame:
+    """(uid, off, lcp, rank, edge): places whose longest common prefix with a neighbour in suffix order has RUN bytes or more.
+
+    The first and the last place of each range of ranks come with their head in ``edge``, whatever they share.
+    """
+    fields = "uid long, off long, lcp long, rank long, edge binary"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("ranks", "signs", "uids", "offs", "ends")), strict=True):
-                r, s, *rest = (np.frombuffer(x, np.int64) for x in row)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s != 0]) for x in (r, s, *rest)], ["rank", "sign", "uid", "off", "end"])
+            for row in zip(*(batch[c].to_pylist() for c in ("ranks", "names", "sizes", "uids", "offs")), strict=True):
+                kinds = (np.int64, np.int64, np.int32, np.int64, np.int64)
+                rank, name, size, uid, off = (np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True))
+                bounds = np.flatnonzero(off < 0)
+                at = np.flatnonzero(off >= 0)
+                through = np.cumsum(size.astype(np.int64))
+                at = at[through[bounds[np.searchsorted(bounds, at)] - 1] - through[at] + size[at] >= RUN]
+                for x in np.array_split(at, len(at) // 50_000 + 1):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in (rank, uid, off)), _heads(name, size, x)], ["rank", "uid", "off", "head"])
 
     def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(cols: list[np.ndarray], twin: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-            some = twin | edge
-            sign = pa.array(cols[0][some], mask=~edge[some])
-            return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in cols[1:]), sign, pa.array(twin[some])], names)
+        def out(rows: pa.RecordBatch, lcp: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            some = (lcp >= RUN) | edge
+            x = rows.filter(pa.array(some))
+            head = [h if e else None for h, e in zip(x["head"].to_pylist(), edge[some].tolist(), strict=True)] if edge.any() else [None] * x.num_rows
+            return pa.RecordBatch.from_arrays([x["uid"], x["off"], pa.array(lcp[some]), x["rank"], pa.array(head, pa.binary())], names)
 
-        held, first = None, True  # the last row so far, and whether it shares with the one before
+        held, before, first = None, 0, True  # the last row so far, and what it shares with the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch[c].to_numpy() for c in ("sign", "uid", "off", "end")]
-            before = False
-            if held is not None:
-                cols, before = [np.append(h, c) for h, c in zip(held[0], cols, strict=True)], held[1]
-            same = cols[0][1:] == cols[0][:-1]
-            twin = np.append(before, same) | np.append(same, False)
-            edge = np.zeros(len(twin), bool)
+            rows = batch if held is None else pa.RecordBatch.from_arrays([pa.concat_arrays([held[c], batch[c]]) for c in batch.schema.names], batch.schema.names)
+            common = shared_prefixes(rows["head"])
+            lcp = np.maximum(np.append(before, common), np.append(common, 0))
+            edge = np.zeros(len(lcp), bool)
             edge[0] = first
-            if len(twin) > 1:
-                yield rows([c[:-1] for c in cols], twin[:-1], edge[:-1])
+            if len(lcp) > 1:
+                yield out(rows[:-1], lcp[:-1], edge[:-1])
                 first = False
-            held = [c[-1:] for c in cols], bool(twin[-1])
+            held, before = rows[-1:], int(lcp[-1])
         if held is not None:
-            yield rows(held[0], np.array([held[1]]), np.array([True]))
+            yield out(held, np.array([before]), np.array([True]))
 
-    spots = blocks.join(ranks, "block").select("uids", "offs", "ends", "signs", "ranks").mapInArrow(tidy(spread), "rank long, sign long, uid long, off long, end long")
+    spots = blocks.join(ranks, "block").select("ranks", "names", "sizes", "uids", "offs").mapInArrow(tidy(spread), "rank long, uid long, off long, head binary")
     parts = partitions_for(blocks.sparkSession, rows, 500_000)
     return spots.repartitionByRange(parts, "rank").sortWithinPartitions("rank").mapInArrow(tidy(adjacent), fields)
 
 
-def _settled(found: DataFrame) -> DataFrame:
-    """``found`` without the first and last places of ranges of ranks whose neighbour beyond shares nothing: two rows a range."""
-    beyond = found.where("edge is not null").groupBy("edge").agg((F.count("*") > 1).alias("met"))
-    return found.join(F.broadcast(beyond), "edge", "left").where("twin or met").select("uid", "off", "end")
-
-
-#: Of sorted ranges (off, end) the longest stretch that they cover without a gap.
-_LONGEST = """aggregate(s, named_struct('a', 0L, 'b', -1L, 'most', 0L), (x, r) -> if(r.off <= x.b,
-    named_struct('a', x.a, 'b', greatest(x.b, r.end), 'most', greatest(x.most, greatest(x.b, r.end) - x.a)),
-    named_struct('a', r.off, 'b', r.end, 'most', greatest(x.most, r.end - r.off))), x -> x.most)"""
+def _candidates(places: DataFrame) -> DataFrame:
+    """(uid, off, lcp) of at least RUN bytes; what places share across ranges is found from two rows a range, on the driver."""
+    edges = places.where("edge is not null").select("uid", "off", "edge").orderBy("rank").collect()
+    common = shared_prefixes(pa.array([r.edge for r in edges], pa.binary()))
+    beyond = np.maximum(np.append(0, common), np.append(common, 0)).tolist()
+    met = places.sparkSession.createDataFrame([(r.uid, r.off, x) for r, x in zip(edges, beyond)], "uid long, off long, beyond long")
+    both = places.join(F.broadcast(met), ["uid", "off"], "left")
+    return both.select("uid", "off", F.greatest("lcp", F.coalesce("beyond", F.lit(0))).alias("lcp")).where(F.col("lcp") >= RUN)
 
 
 _LEFT = WINDOW - 1
@@ -281,7 +315,8 @@ def _extents_of_large(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(copied, spans, shared): contents that several rows have; for each
     other content the byte ranges that are covered by strings of SPAN bytes found elsewhere; and for each
-    content (h1, longest) the longest stretch of whole phrases that neighbours in suffix order share.
+    content (h1, longest) the greatest common prefix, in bytes of whole phrases, with a neighbour in suffix order;
+    prefixes are measured up to the first end of a phrase at SPAN bytes or more.
 
     Contents of several rows are one content here; if they have SPAN bytes or more, all of them repeat.
     """
@@ -299,13 +334,13 @@ def repeated_spans(docs: DataFrame, ws: Workspace, base: int = BASE, large: int
     kept = ws.save(kept, "kept")
     places = kept.count()
     blocks = partitions_for(docs.sparkSession, places, 500_000)
-    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(tidy(_block), "block long, names binary, sizes binary, uids binary, offs binary, ends binary, signs binary")
+    string = kept.withColumn("block", F.expr(f"pmod(xxhash64(uid), {blocks})")).groupBy("block").applyInArrow(tidy(_block), "block long, names binary, sizes binary, uids binary, offs binary")
     string = ws.save(string, "string")
     ws.drop("kept")
-    ranks = suffix_ranks(string.select("block", "names", "sizes"), ws, base=base, enough=RUN)
-    places = ws.save(_candidates(string, ranks, places), "places")
-    spots = _settled(places).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("off", "end"))).alias("s"))
-    spots = ws.save(spots.select("uid", F.expr("transform(s, r -> cast(r.off as int))").alias("offs"), F.expr(_LONGEST).alias("longest")), "spots")
+    ranks = suffix_ranks(string.select("block", "names", "sizes"), ws, base=base, enough=SPAN)
+    places = ws.save(_neighbours(string, ranks, places), "places")
+    spots = _candidates(places).groupBy("uid").agg(F.sort_array(F.collect_list(F.col("off").cast("int"))).alias("offs"), F.max("lcp").alias("longest"))
+    spots = ws.save(spots, "spots")
     ws.drop("string")
     contexts = ws.save(_contexts(held.join(_small_lists(spots.select("uid", "offs")), "uid"), False), "contexts")
     place = F.struct("h1", "h2", "off")
@@ -353,8 +388,9 @@ def remove_repeats(docs: DataFrame, base: int = BASE, keep: list[str] | None = N
     Each byte that is covered by a string of SPAN (400) bytes that also starts anywhere else, in the same
     document or another, is removed; strings never cross documents and are judged on the input.
     kept_text is the rest as text; bytes that a cut character leaves are dropped from it.  longest_shared
-    is the longest stretch, in bytes, of whole phrases that occur elsewhere in runs of RUN bytes or more; it
-    tells of repeated passages that are too short to be removed.
+    is the longest stretch of whole phrases, in bytes, that a place has in common with one other place, if that
+    is RUN bytes or more (else 0), or the longest removed run if that is longer; it tells of repeated passages
+    that are too short to be removed.
 
     A null text is an empty one, from which nothing is removed.  Texts under SPAN bytes stay whole.
     Repeated rows lose everything from SPAN bytes on.  No rows give no rows.  Extra columns may have any names.

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,76 @@ def test_ranks(spark):
     want = np.empty(len(whole), int)
     want[order] = np.arange(len(whole))
     assert (np.concatenate([found[b] for b in range(4)]) == want).all() and (rank_suffixes(whole) == want).all()
+
+
+def phrases(text):
+    from loomspan.llm import suffix_dedup as S
+    from loomspan.llm import textkit
+
+    (docs,) = textkit.slices(pa.array([text]))
+    at = S.cuts(docs, docs.prefix()).tolist()
+    data = text.encode()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def most_in_common(texts):
+    """For each text the longest run of phrases, in bytes, that starts at one other place, too."""
+    from loomspan.llm.suffix_dedup import RUN
+
+    runs = [phrases(t) for t in texts]
+    out = [0] * len(texts)
+    for i, x in enumerate(runs):
+        for j, y in enumerate(runs):
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    n = 0
+                    if (i, p) != (j, q):
+                        for a, b in zip(x[p:], y[q:], strict=False):
+                            if a != b:
+                                break
+                            n += len(a)
+                    out[i] = max(out[i], n if n >= RUN else 0)
+    return out
+
+
+@pytest.mark.parametrize("base", [10, 100_000])
+def test_longest_shared_is_the_greatest_common_prefix(spark, base):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    source = text(4000)
+    texts = [source]
+    for n in (60, 150, 200, 260, 320, 380, 399) * 2:  # two passages each, from different places; other texts overlap them
+        a, b = rng.randrange(0, 3500), rng.randrange(0, 3500)
+        texts.append(text(rng.randrange(50, 300)) + source[a : a + n] + text(100) + source[b : b + n // 2] + text(80))
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), base=base).collect()}
+    want = most_in_common(texts)
+    whole = [i for i in found if not found[i].n_removed]
+    assert len(whole) > 10 and sum(want[i] > 0 for i in whole) > 5
+    assert [found[i].longest_shared for i in whole] == [want[i] for i in whole]
+
+
+def test_order_decides(spark, monkeypatch):
+    from loomspan.llm import suffix_dedup as S
+
+    def shuffled(blocks, ws, base, enough):
+        def run(batches):
+            for batch in batches:
+                mixed = [np.random.default_rng(3).permutation(np.frombuffer(x, np.int64)).tobytes() for x in batch["ranks"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["block"], pa.array(mixed, pa.binary())], ["block", "ranks"])
+
+        return suffix_ranks(blocks, ws, base=base, enough=enough).mapInArrow(run, "block long, ranks binary")
+
+    rows = corpus()
+    monkeypatch.setattr(S, "suffix_ranks", shuffled)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got != brute(rows)
+
+
+def test_prefixes_of_heads():
+    from loomspan.llm import suffix_dedup as S
+
+    names, sizes = np.array([5, 5, 5, 7, 99, 5, 5, 7, 98]), np.array([30, 30, 30, 40, 400, 30, 30, 40, 400])
+    heads = S._heads(names, sizes, np.array([0, 1, 5, 2, 6, 3]))
+    assert S.shared_prefixes(heads).tolist() == [60, 100, 30, 70, 0]
+    assert S.shared_prefixes(heads[1:4]).tolist() == [100, 30] and S.shared_prefixes(heads[:1]).tolist() == []
