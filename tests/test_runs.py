@@ -8,6 +8,7 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,13 @@ def test_csv_with_and_without_quoted_breaks(spark, tmp_path):
     read = lambda name: [(r.row_index, r.x, r.y) for r in read_csv(spark, f"file://{tmp_path}/{name}", Dialect())[0].orderBy("row_index").collect()]
     assert read("a.csv") == [(0, "1", 'two "q" words'), (1, "2", "plain")]
     assert read("b.csv") == [(0, "1", "two\nlines"), (1, "2", "plain")]
+
+
+def test_answers_of_small_chunks_are_batched():
+    """Chunks go through as lists, also where batches cut them, and many of them come back in one batch."""
+    cols = ["chunk_id", "seq", "segment"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.int64()), pa.array(t)], cols) for c, s, t in (([0, 0, 1], [0, 1, 2], ["a", "b", "c"]), ([1, 2], [3, 4], ["d", None]))]
+    assert list(provider._chunks(iter(batches))) == [(0, [0, 1], ["a", "b"]), (1, [2, 3], ["c", "d"]), (2, [4], [None])]
+    out = provider._batch([("result", 0, 1, "a", "x", *(None,) * 8), ("event", 0, None, None, None, "batch", 1, 1, 3, True, None, False, 0)])
+    assert out.num_rows == 2 and out.schema.names == [f.split()[0] for f in provider.SCHEMA.split(", ")]
+    assert out.column("translated").to_pylist() == ["x", None] and out.column("latency_ms").to_pylist() == [None, 3]
