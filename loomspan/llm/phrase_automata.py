@@ -61,17 +61,17 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.select("h1", "h2", "doc", "text").mapInArrow(tidy(run), "hash long, h1 long, h2 long, doc long, at int, size byte, place byte")
 
 
-#: One stretch in a packed list: first word, number of words, place of the anchor.
-_PLACE = np.dtype([("at", "<i4"), ("size", "i1"), ("place", "i1")])
+#: One stretch in a packed list: first word, number of words, place of the anchor, shards of the anchor.
+_PLACE = np.dtype([("at", "<i4"), ("size", "i1"), ("place", "i1"), ("parts", "<i4")])
 
 
 def _packed(lists: DataFrame) -> DataFrame:
-    """``lists`` (h1, h2, doc, s) with s in six bytes a stretch."""
+    """``lists`` (h1, h2, doc, s) with s in ten bytes a stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, out = batch["s"], []
-            inner = [s.values.field(c).to_numpy() for c in ("at", "size", "place")]
+            inner = [s.values.field(c).to_numpy() for c in _PLACE.names]
             ends = s.offsets.to_numpy()
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 row = np.empty(b - a, _PLACE)
@@ -84,8 +84,8 @@ def _packed(lists: DataFrame) -> DataFrame:
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """(hash, h1, h2, doc, at, words): the words of the stretches that ``docs`` (h1, h2, doc, text, s) list, and a hash of the anchor's."""
-    fields = "hash long, h1 long, h2 long, doc long, at int, words string"
+    """(hash, h1, h2, doc, at, words, parts): the words of the stretches that ``docs`` (h1, h2, doc, text, s) list, and a hash of the anchor's."""
+    fields = "hash long, h1 long, h2 long, doc long, at int, words string, parts int"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +97,21 @@ def _stretches(docs: DataFrame) -> DataFrame:
                 key = [xxh64_intdigest(b" ".join(words[p : p + GRAM])) for p in (begin + place).tolist()]
                 cut = [b" ".join(words[a:b]).decode() for a, b in zip(begin.tolist(), (begin + listed["size"]).tolist(), strict=True)]
                 own = [pa.array(np.full(n, v.as_py(), np.int64)) for v in (h1, h2, doc)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).astype(np.int64)), *own, pa.array(begin.astype(np.int32)), pa.array(cut, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).astype(np.int64)), *own, pa.array(begin.astype(np.int32)), pa.array(cut, pa.string()), pa.array(listed["parts"].copy())], names)
 
     return docs.select("h1", "h2", "doc", "text", "s").mapInArrow(tidy(run), fields)
 
 
 def confirmed_phrases(stretches: DataFrame) -> DataFrame:
-    """(hash, phrase, first): windows that documents of two or more doc_ids have, and the smallest of these.
+    """(hash, phrase, first, parts): windows that documents of two or more doc_ids have, and the smallest of these.
 
     Equal stretches are one before their windows are taken apart, and equal windows are counted where they
     are, so a phrase that a third of all documents have is a row for each task.
     """
-    each = stretches.groupBy("hash", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumn("w", F.split("words", " "))
+    each = stretches.groupBy("hash", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("parts").alias("parts")).withColumn("w", F.split("words", " "))
     window = F.expr(f"explode(transform(sequence(0, size(w) - {WORDS}), i -> array_join(slice(w, i + 1, {WORDS}), ' ')))")
-    found = each.select("hash", window.alias("phrase"), "lo", "hi").groupBy("hash", "phrase").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-    return found.where("first < last").select("hash", "phrase", "first")
+    found = each.select("hash", window.alias("phrase"), "lo", "hi", "parts").groupBy("hash", "phrase").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("parts").alias("parts"))
+    return found.where("first < last").select("hash", "phrase", "first", "parts")
 
 
 class Automaton:
@@ -180,20 +180,18 @@ def _located(phrases: pa.Table, stretches: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("h1", "h2", "a", "b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
-def _occurrences(stretches: DataFrame, ws: Workspace, shard: int) -> DataFrame:
+def _occurrences(stretches: DataFrame, shard: int) -> DataFrame:
     """(h1, h2, a, b) of all phrases in all stretches.
 
-    A shard has all stretches of some anchors.  Those of an anchor with more than ``shard`` are split among several shards;
-    its phrases are confirmed beforehand, window by window in Spark, and each of its shards gets them.
+    A shard has all stretches of some anchors.  Those of an anchor with more than ``shard``, which each of them tells by its
+    ``parts``, are split among several shards; its phrases are confirmed beforehand, window by window in Spark, and each of
+    its shards gets them.
     """
-    spark = stretches.sparkSession
-    sizes = stretches.groupBy("hash").agg(F.count("*").alias("n"))
-    many = small_side(ws.save(sizes.where(F.col("n") > shard).select("hash", F.ceil(F.col("n") / shard).cast("int").alias("parts")), "frequent"))
-    shards = partitions_for(spark, stretches.count(), shard)
+    shards = partitions_for(stretches.sparkSession, stretches.count(), shard)
     of = lambda part: F.expr(f"pmod(xxhash64(hash, {part}), {shards})").alias("shard")
-    left = confirmed_phrases(stretches.join(many, "hash", "left_semi")).join(many, "hash").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = stretches.join(many, "hash", "left").withColumn("part", F.expr("cast(pmod(xxhash64(h1, h2), coalesce(parts, 1)) as int)"))
-    left, right = left.select(of("part"), "phrase", "first"), right.select(of("part"), "h1", "h2", "doc", "at", "words", F.col("parts").isNotNull().alias("split"))
+    left = confirmed_phrases(stretches.where("parts > 1")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = stretches.withColumn("part", F.expr("cast(pmod(xxhash64(h1, h2), parts) as int)"))
+    left, right = left.select(of("part"), "phrase", "first"), right.select(of("part"), "h1", "h2", "doc", "at", "words", (F.col("parts") > 1).alias("split"))
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(tidy(_located), "h1 long, h2 long, a int, b int")
 
 
@@ -219,16 +217,16 @@ def covered_words(docs: DataFrame, ws: Workspace, shard: int = SHARD) -> DataFra
     several = small_side(content.where("n > 1").select("h1", "h2", "first"))
     held = docs.where("doc_id is not null").join(several, ["h1", "h2"], "left").where("first is null or doc_id = first").select("h1", "h2", F.col("doc_id").alias("doc"), "text")
     anchored = ws.save(_anchored(held), "anchors")
-    again = anchored.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("hash")
+    again = anchored.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.ceil(F.count("*") / shard).cast("int").alias("parts")).where("lo < hi").select("hash", "parts")
     again = small_side(ws.save(again, "again"))
-    lists = anchored.join(again, "hash").groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct("at", "size", "place")).alias("s"))
+    lists = anchored.join(again, "hash").groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct(*_PLACE.names)).alias("s"))
     lists = ws.save(_packed(lists), "lists")
     ws.drop("anchors")
     ws.release()
     stretches = ws.save(_stretches(held.join(lists, ["h1", "h2", "doc"])), "stretches")
     ws.drop("lists")
     ws.release()
-    found = _occurrences(stretches, ws, shard)
+    found = _occurrences(stretches, shard)
     found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s")).mapInArrow(_joined, "h1 long, h2 long, spans binary")
     found = ws.save(found, "found")
     ws.drop("stretches")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import lexical_search as L
+from loomspan.llm import phrase_automata
 from loomspan.llm.phrase_automata import WORDS, Automaton, anchors, remove_earlier_phrases
 from loomspan.llm.radix_select import top_k
 from loomspan.llm.source_audit import source_divergence
@@ -199,3 +200,13 @@ def test_bounds_hold_the_impact():
     level = -(-exact // L.STEP)
     assert level.max() <= 255 and (level * L.STEP >= exact).all() and (level * L.STEP - (L.STEP - 1) * (level > 0) <= exact).all()
     assert (L.impacts(tf, n, 1 << 50, 1 << 55) == [10**9 * t // (1000 * t + 8 * (25 + 75 * m * 2**50 // 2**55)) for t, m in zip(tf.tolist(), n.tolist(), strict=True)]).all()
+
+
+def test_stretches_carry_the_shards_of_their_anchor(spark):
+    """A frequent anchor's stretches are told from others by a column of theirs, so no join repeats them."""
+    words = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, 1, k, 0, words, 3) for k in range(5)] + [(2, 2, k, 0, words.replace("w", "v"), 1) for k in range(5)]
+    stretches = spark.createDataFrame([(a, b, k, k, at, w, n) for a, b, k, at, w, n in rows], "hash long, h1 long, h2 long, doc long, at int, words string, parts int")
+    found = phrase_automata._occurrences(stretches, 2)
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.h1, r.h2, r.a, r.b) for r in found.collect()) == [(h, k, 0, 13) for h in (1, 2) for k in range(1, 5)]
