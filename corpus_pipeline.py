@@ -20,6 +20,8 @@ from loomspan.llm.workspace import Workspace, removed_after, small_side
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose nearest profile is farther away than this are in none of the known languages.
 LEAST_SCORE = 0.25
+#: A passage of over 50 words goes where it repeats: fifty words of four letters, each with a space, have so many bytes.
+PASSAGE = 250
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what is repeated elsewhere; n_chars follows.  A text that is all repeated becomes empty."""
-    kept = remove_repeats(docs, keep=["doc_id", "lang", "source"], with_text=True)
+    """Texts without strings of PASSAGE bytes that are repeated elsewhere; n_chars follows.  A text that is all repeated becomes empty."""
+    kept = remove_repeats(docs, keep=["doc_id", "lang", "source"], with_text=True, span=PASSAGE)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
