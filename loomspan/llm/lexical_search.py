@@ -30,6 +30,8 @@ SCALE, SLOPE = 1_000_000_000, 75
 STEP = -(-(SCALE // 1000) // 255)
 #: Bytes of text, and documents, of a block.
 BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 30_000
+#: A row group for each block.  Spark reads a row group at a time and would hold all blocks of a task as often as it copies them.
+_APART = {"parquet.block.row.count.limit": "1"}
 #: Bytes that stay as they are in a term, upper case lowered; all others separate terms.
 _TERM = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -107,7 +109,7 @@ def write_index(docs: DataFrame, out: str, block_bytes: int = BLOCK_BYTES, block
             yield _record(block.row())
 
     ws = Workspace(spark, "blocks")
-    blocks = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(build), _FIRST), "blocks")
+    blocks = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(build), _FIRST), "blocks", **_APART)
     sums = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
     n_docs, total = sums.docs, sums.total
 
@@ -119,7 +121,7 @@ def write_index(docs: DataFrame, out: str, block_bytes: int = BLOCK_BYTES, block
                 exact = impacts(tf, n[places], n_docs, total)
                 yield _record({**row, "bytes": (-(-exact // STEP)).astype(np.uint8).tobytes()})
 
-    blocks.mapInArrow(tidy(level), _FIRST + ", bytes binary").write.option("compression", "zstd").parquet(f"{out}/blocks")
+    blocks.mapInArrow(tidy(level), _FIRST + ", bytes binary").write.options(compression="zstd", **_APART).parquet(f"{out}/blocks")
     spark.createDataFrame([(n_docs, total)], "docs long, total long").write.json(f"{out}/sums")
     ws.drop("blocks")
 

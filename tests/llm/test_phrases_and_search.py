@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,15 @@ def test_search_without_documents(spark, tmp_path):
     assert L.search(spark, str(tmp_path / "index"), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
 
 
+def test_blocks_are_read_one_by_one(spark, tmp_path):
+    """Each block of the index is a row group of its own, so a task holds one of its blocks at a time."""
+    docs = spark.createDataFrame([(i, f"word{i} every") for i in range(50)], "doc_id long, text string").coalesce(1)
+    L.write_index(docs, str(tmp_path / "index"), block_docs=5)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index" / "blocks").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 10
+    assert {f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)} == {1}
+
+
 def test_bounds_hold_the_impact():
     tf, n = np.arange(1, 2000), np.arange(1, 2000) * 7 % 5000 + 1
     exact = L.impacts(tf, n, 1000, 300_000)
