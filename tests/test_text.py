@@ -1,10 +1,12 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from loomspan.functions import markup
 from loomspan.functions import text as T
+from loomspan.plans import queries
 
 
 def one(spark, text, expr):
@@ -84,3 +86,14 @@ def test_mask_counts_through_all_kinds(spark):
 def test_masked_spans_are_searched_once(spark):
     plan = spark.range(1).select(T.mask(F.lit("a").cast("string")).alias("m"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") == len(T.PROTECTED)
+
+
+def test_texts_without_a_word_are_assembled(spark, tmp_path):
+    """The query gives what its SQL gives for texts without a letter, or of white space only."""
+    rows = [(0, "a b " * 300), (1, "12 34, 56."), (2, " \n "), (3, ""), (4, None), (5, "привет 7"), (6, "1 " * 500), (7, "__KEEP_0__ 1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.assemble_cells(spark, str(tmp_path)).select("doc_id", "rendered").collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(queries.ORACLE_SQL["assemble_cells"]).fetchall())
+    assert len(found) == 6
